@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup
+from quarry.llm import bpe, exact_dedup, near_dedup
 from quarry.plans.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.codec_for(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     got = bpe.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), codec, keep=["doc_id"])
@@ -37,6 +41,7 @@ WINDOW g AS (PARTITION BY norm)
 
 def queries() -> dict:
     return {
+        "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_exact_dedup": op10_exact_dedup,
     }
