@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,8 @@ from pyspark.sql import types as T
 from quarry.plans.scratch import ship
 
 _MASK = (1 << 64) - 1
-#: Pre-tokens that one worker remembers before it starts again.
-MEMO_LIMIT = 400_000
+#: Pre-tokens in a generation of a worker's memo; at most two generations and one text's are held.
+MEMO_LIMIT = 120_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -100,6 +102,7 @@ class BytePairCodec:
         self.tokens = list(ranks)
         self.ids = [ranks[t] for t in self.tokens]
         self.table = PerfectHash(self.tokens, built=built)
+        self.key = f"{pattern} {xxhash.xxh3_128_hexdigest(repr(ranks))}"
         self.split = regex.compile(pattern).findall
         size = max(self.ids) + 1
         by_id = [b""] * size
@@ -165,20 +168,27 @@ class BytePairCodec:
 
 
 class _Memo(dict):
-    """Pre-token -> number of its ids in a growing table."""
+    """Pre-token -> its ids.  Two generations: what is not asked for between two turns is forgotten."""
 
     def __init__(self, codec: BytePairCodec):
         super().__init__()
-        self.codec, self.flat, self.cuts = codec, [], [0]
+        self.codec, self.old = codec, {}
 
-    def __missing__(self, piece: str) -> int:
-        self.flat.extend(self.codec.piece(piece.encode("utf-8")))
-        self.cuts.append(len(self.flat))
-        self[piece] = n = len(self.cuts) - 2
-        return n
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.old.get(piece)
+        if ids is None:
+            ids = tuple(self.codec.piece(piece.encode("utf-8")))
+        self[piece] = ids
+        return ids
 
+    def turn(self) -> None:
+        if len(self) > MEMO_LIMIT:
+            self.old = dict(self)
+            self.clear()
 
-_worker_codecs: dict = {}
+
+#: One vocabulary's codec and memo for each worker, kept from task to task.
+_worker: dict = {}
 _built: dict[tuple[str, str], BytePairCodec] = {}
 
 
@@ -189,29 +199,22 @@ def codec_for(path: str, pattern: str) -> BytePairCodec:
     return _built[path, pattern]
 
 
-def _worker_codec(bc) -> BytePairCodec:
-    key = id(bc.value)
-    if key not in _worker_codecs:
-        _worker_codecs.clear()
-        _worker_codecs[key] = BytePairCodec(*bc.value)
-    return _worker_codecs[key]
+def _worker_memo(key: str, bc) -> _Memo:
+    if key not in _worker:
+        _worker.clear()
+        _worker[key] = _Memo(BytePairCodec(*bc.value))
+    return _worker[key]
 
 
-def encode_texts(codec: BytePairCodec, memo: _Memo, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def encode_texts(memo: _Memo, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids and the offsets of each text."""
-    codes: list[int] = []
-    ends = np.zeros(len(texts) + 1, np.int64)
-    look, split = memo.__getitem__, codec.split
-    for k, t in enumerate(texts):
-        codes.extend(map(look, split(t)))
-        ends[k + 1] = len(codes)
-    at = np.asarray(codes, np.int64)
-    cuts = np.asarray(memo.cuts, np.int64)
-    flat = np.asarray(memo.flat, np.int32)
-    lens = cuts[at + 1] - cuts[at]
-    stops = np.concatenate([[0], np.cumsum(lens)])
-    ids = flat[np.repeat(cuts[at] - stops[:-1], lens) + np.arange(stops[-1])] if len(at) else np.zeros(0, np.int32)
-    return ids, stops[ends]
+    ids, cuts = array("i"), [0]
+    look, split = memo.__getitem__, memo.codec.split
+    for t in texts:
+        ids.extend(chain.from_iterable(map(look, split(t))))
+        cuts.append(len(ids))
+        memo.turn()
+    return np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32), np.array(cuts, np.int64)
 
 
 def _slices(texts: list[str], most: int):
@@ -246,23 +249,21 @@ def with_tokens(
     schema = T.StructType([*fields, T.StructField("token_ids", T.ArrayType(T.IntegerType(), False), False)])
     if decoded:
         schema = schema.add("decoded", T.BinaryType(), False)
+    key = codec.key
     bc = spark.sparkContext.broadcast(codec.parts())  # a vocabulary, whatever the corpus' size
 
     def run(batches):
-        own = _worker_codec(bc)
-        memo = _Memo(own)
+        memo = _worker_memo(key, bc)
         for batch in batches:
             texts = [t or "" for t in batch.column("_text").to_pylist()]
-            for a, b in _slices(texts, 4_000_000):
-                ids, cuts = encode_texts(own, memo, texts[a:b])
+            for a, b in _slices(texts, 2_000_000):
+                ids, cuts = encode_texts(memo, texts[a:b])
                 flat = pa.array(ids, pa.int32())
                 cols = [batch.column(c).slice(a, b - a) for c in names]
                 cols.append(pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), flat))
                 if decoded:
-                    cols.append(own.decode_flat(flat, cuts).cast(pa.binary()))
+                    cols.append(memo.codec.decode_flat(flat, cuts).cast(pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, *added])
-                if len(memo) > MEMO_LIMIT:
-                    memo = _Memo(own)
 
     return docs.select(*[docs[c] for c in names], docs[text_col].alias("_text")).mapInArrow(run, schema)
 
@@ -273,10 +274,11 @@ def decode(df: DataFrame, codec: BytePairCodec, ids_col: str = "token_ids", keep
     ship(spark)
     names = [c for c in (df.columns if keep is None else keep) if c != "decoded"]
     schema = T.StructType([*[df.schema[c] for c in names], T.StructField("decoded", T.BinaryType(), False)])
+    key = codec.key
     bc = spark.sparkContext.broadcast(codec.parts())
 
     def run(batches):
-        own = _worker_codec(bc)
+        own = _worker_memo(key, bc).codec
         for batch in batches:
             lists = batch.column("_ids")
             lens = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], np.int64)
