@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, near_dedup, substring_dedup
+from quarry.llm import bpe, exact_dedup, mixing, near_dedup, secrets, substring_dedup, url_filter
 from quarry.plans.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -16,11 +16,32 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = secrets.find_secrets(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    text = lambda p: F.concat_ws(":", p["kind"], p["start"].cast("string"), p["end"].cast("string"))
+    joined = lambda c: F.array_join(F.transform(c, text), ",")
+    count = lambda kind: F.size(F.filter("certain", lambda p: p["kind"] == kind)).cast("long")
+    return got.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in secrets.CERTAIN],
+        F.sha2(joined("certain"), 256).alias("base_sha256"),
+        joined("findings").alias("spans"),
+    )
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), keep=["page_id"])
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.codec_for(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     got = bpe.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), codec, keep=["doc_id"])
@@ -47,11 +68,14 @@ WINDOW g AS (PARTITION BY norm)
 def queries() -> dict:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
+        "op2_secret_scan": op2_secret_scan,
+        "op5_url_filter": op5_url_filter,
         "op6_substring_dedup": op6_substring_dedup,
+        "op7_source_mix": op7_source_mix,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_exact_dedup": op10_exact_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": OP10_SQL}
+    return {"op5_url_filter": url_filter.oracle_sql(), "op10_exact_dedup": OP10_SQL}
