@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, mixing, near_dedup, secrets, substring_dedup, url_filter
+from quarry.llm import bpe, exact_dedup, mixing, near_dedup, secrets, substring_dedup, toxicity, url_filter
 from quarry.plans.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -29,6 +29,14 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.with_score(docs, model, keep=["doc_id"]).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
+    )
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), keep=["page_id"])
 
@@ -69,6 +77,7 @@ def queries() -> dict:
     return {
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_secret_scan": op2_secret_scan,
+        "op3_toxicity": op3_toxicity,
         "op5_url_filter": op5_url_filter,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_source_mix": op7_source_mix,
