@@ -5,13 +5,15 @@
 2. Inverted lists of the retained values: of each representative only a prefix of its values,
    rarest first, is listed.  Two sketches that overlap in t values or more share one of the
    (size - t + 1) rarest of each, so values retained by one text alone and, for most texts, those
-   of wide-spread passages need no list.  t is exact for sets of at most 3k/4 shingles (all
-   partners have whole sketches); for larger ones it is ``k / 2``: of the k smallest values of the
-   union at least k/2 are shared but with probability under 4e-6 at similarity 0.75, less above.
+   of wide-spread passages need no list.  t is exact where the union has at most k
+   shingles (num / den of the set's size); beyond that it lies five standard deviations below what two
+   sets at the threshold share among the k smallest values of their union.  The few texts that are
+   listed get longer sketches of ``k_long`` values (for most, the whole set) and are listed anew.
 3. Lists do not give all pairs.  In each round every list has one pivot, compared with those members
    that are not yet in its component; it then leaves the list, as nothing is left to learn from it.
-   Lists whose members are in one component are done.  When what is left is no more than a small
-   multiple of the listed rows, the remaining pairs between components are compared at once.
+   Pivots after the first come from a list's smallest component.  Lists whose members are in one
+   component are done.  What one or two rounds leave are families of texts around the threshold;
+   their members are compared in blocks, on full sets, without a row for each pair.
 4. Pairs pass an estimate on the union sketch, then the exact test on full sets.
 
 Defined results: null and empty texts have n_shingles 0 and are linked with nothing; rows of one id
@@ -27,12 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.llm.words import shingle_sets, split_words, text_slices
 from quarry.plans.components import contract
 from quarry.plans.scratch import Scratch, ship
 
-#: Pairs per listed row up to which the rest is compared at once.
+#: Remaining pairs per listed row up to which one round of pivots is enough.
 REST_PER_ROW = 4
 
 
@@ -69,17 +72,24 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) ->
     return docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text")).mapInArrow(run, schema)
 
 
-def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """(doc, items): the sorted distinct shingle hashes as packed 64-bit integers."""
-    schema = T.StructType([T.StructField("doc", docs.schema[id_col].dataType), T.StructField("items", T.BinaryType())])
+def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
+    """(doc, n, sketch, items): items are the sorted distinct shingle hashes as packed 64-bit integers."""
+    names = ["doc", "n", "sketch", "items"]
+    types = [docs.schema[id_col].dataType, T.LongType(), T.ArrayType(T.LongType()), T.BinaryType()]
+    schema = T.StructType([T.StructField(c, t) for c, t in zip(names, types)])
 
     def run(batches):
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column("text")):
-                sets = [s.tobytes() for s in shingle_sets(split_words(data, offsets, lower=True), width)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), pa.array(sets, pa.binary())], names=schema.names)
+                sets = list(shingle_sets(split_words(data, offsets, lower=True), width))
+                low = [s[:k] for s in sets]
+                cuts = np.concatenate([[0], np.cumsum([len(s) for s in low])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(low), pa.int64()))
+                n = pa.array([len(s) for s in sets], pa.int64())
+                packed = pa.array([s.tobytes() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), n, lists, packed], names=names)
 
-    return docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text")).mapInArrow(run, schema).dropDuplicates(["doc", "n"])
 
 
 def _similar(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -107,6 +117,7 @@ def near_groups(
     num: int = 75,
     den: int = 100,
     k: int = 64,
+    k_long: int = 1024,
 ) -> DataFrame:
     """One row per document: id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
@@ -120,11 +131,13 @@ def near_groups(
         all_rows.withColumnRenamed("doc", "rep").join(classes, ["rep", *sig]).select("rep", "n", "sketch").dropDuplicates(["rep", "n"]),
         "reps",
     )
-    listed = scratch.table(_lists(reps, num, den, k), "lists")
-    need = listed.select(F.col("rep").alias("_rep")).distinct()
+    need = scratch.table(_lists(reps, num, den, k).select("rep", "n").distinct(), "listed")
+    ids = need.select(F.col("rep").alias("_rep")).distinct()
     sets = scratch.table(
-        full_sets(docs.join(need, docs[id_col] == need["_rep"], "left_semi"), id_col, text_col, width).distinct(), "sets"
+        full_sets(docs.join(ids, docs[id_col] == ids["_rep"], "left_semi"), id_col, text_col, width, k_long), "sets"
     )
+    longer = sets.select(F.col("doc").alias("rep"), "n", "sketch").join(need, ["rep", "n"])
+    listed = scratch.table(_lists(longer, num, den, k_long), "lists")
     roots = _link_lists(scratch, reps, listed, sets, num, den, k)
     out = all_rows.join(classes, sig, "left").select("doc", "n", "rep")
     if roots is not None:
@@ -140,6 +153,12 @@ def near_groups(
     )
 
 
+def _least(num: int, den: int, k: int) -> int:
+    """Values of the k smallest of a union that similar sets share, but for five standard deviations."""
+    q = num / den
+    return int(q * k - 5 * (k * q * (1 - q)) ** 0.5)
+
+
 def _lists(reps: DataFrame, num: int, den: int, k: int) -> DataFrame:
     """(v, rep, n): the prefix of each sketch that has to be listed, values that only one sketch has left out."""
     each = reps.select("rep", "n", F.explode("sketch").alias("v"))
@@ -151,7 +170,7 @@ def _lists(reps: DataFrame, num: int, den: int, k: int) -> DataFrame:
     )
     size = F.least("n", F.lit(k))
     whole = F.expr(f"cast((n * {num} + {den - 1}) div {den} as int)")
-    least = F.when(F.col("n") * den <= num * k, whole).otherwise(F.lit(k // 2))
+    least = F.least(whole, F.lit(_least(num, den, k)))
     alone = size - F.size("vs")
     take = (size - least + 1 - alone).cast("int")
     return (
@@ -165,33 +184,37 @@ def _lists(reps: DataFrame, num: int, den: int, k: int) -> DataFrame:
 def _link_lists(scratch: Scratch, reps, listed, sets, num: int, den: int, k: int):
     """(node, root) of linked representatives, or None."""
     fits = F.least("n", "pn") * den >= F.greatest("n", "pn") * num
-    roots, links, step = None, None, 0
+    roots, links, step, rows = None, None, 0, 0
     left = listed.withColumn("root", F.col("rep"))
     while True:
-        spread = left.groupBy("v").agg(
-            F.min("root").alias("r0"), F.max("root").alias("r1"), F.count(F.lit(1)).alias("c"),
+        one = left.groupBy("v", "root").agg(
+            F.count(F.lit(1)).alias("c"),
             F.min_by(F.struct("rep", "n", "root"), F.xxhash64("rep", F.lit(step)) if step else F.col("rep")).alias("p"),
-        ).filter("r0 <> r1")
+        )
+        spread = one.groupBy("v").agg(
+            F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count(F.lit(1)).alias("parts"),
+            F.min_by("p", F.struct("c", "p.rep") if step else F.col("p.rep")).alias("p"),
+        ).filter("parts > 1")
         spread = scratch.table(spread, "open")
-        total = spread.agg(F.sum("c").alias("rows"), F.sum(F.col("c") * (F.col("c") - 1) / 2).alias("pairs")).first()
+        across = (F.col("c") * F.col("c") - F.col("within")) / 2
+        total = spread.agg(F.sum("c").alias("rows"), F.sum(across).alias("pairs")).first()
         if not total["rows"]:
             return roots
-        last = step > 0 and total["pairs"] <= REST_PER_ROW * total["rows"]
+        rows = rows or total["rows"]
+        if step > 1 or step and total["pairs"] <= REST_PER_ROW * rows:
+            rest = left.join(spread.select("v"), "v", "left_semi")
+            found = scratch.table(_in_blocks(scratch, rest, sets, num, den), "links")
+            if found.isEmpty():
+                return roots
+            return contract(found if links is None else links.unionByName(found), scratch)
         left = left.join(spread.select("v", "p"), "v")
-        if last:
-            other = left.select("v", F.col("rep").alias("q"), F.col("n").alias("pn"), F.col("root").alias("qroot"))
-            pairs = left.drop("p").join(other, "v").filter((F.col("root") < F.col("qroot")) & fits)
-            pairs = pairs.select(F.least("rep", "q").alias("a"), F.greatest("rep", "q").alias("b"))
-        else:
-            members = left.select("v", "rep", "n", "root", F.col("p.rep").alias("q"), F.col("p.n").alias("pn"), F.col("p.root").alias("qroot"))
-            pairs = members.filter((F.col("rep") != F.col("q")) & (F.col("root") != F.col("qroot")) & fits)
-            pairs = pairs.select(F.least("rep", "q").alias("a"), F.greatest("rep", "q").alias("b"))
+        members = left.select("v", "rep", "n", "root", F.col("p.rep").alias("q"), F.col("p.n").alias("pn"), F.col("p.root").alias("qroot"))
+        pairs = members.filter((F.col("rep") != F.col("q")) & (F.col("root") != F.col("qroot")) & fits)
+        pairs = pairs.select(F.least("rep", "q").alias("a"), F.greatest("rep", "q").alias("b"))
         found = scratch.table(_verified(scratch, pairs.distinct(), reps, sets, num, den, k), "links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             roots = contract(links, scratch)
-        if last:
-            return roots
         left = left.filter(F.col("rep") != F.col("p.rep")).select("v", "rep", "n")
         if roots is not None:
             left = left.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(
@@ -203,6 +226,66 @@ def _link_lists(scratch: Scratch, reps, listed, sets, num: int, den: int, k: int
         step += 1
 
 
+def _in_blocks(scratch: Scratch, rest, sets, num: int, den: int, block: int = 400):
+    """Links (a, b) between components among the documents that the remaining lists hold together.
+
+    Documents that meet in lists, directly or by others, form a group; it is cut into blocks of about
+    ``block`` documents, and each pair of blocks is one task's unit, compared on full sets by products
+    of incidence matrices.  A unit's memory does not depend on the group, and only links leave it.
+    """
+    first = rest.groupBy("v").agg(F.min("rep").alias("a"))
+    groups = contract(rest.join(first, "v").select("a", F.col("rep").alias("b")).distinct(), scratch)
+    docs = rest.select("rep", "n", "root").distinct().join(groups.withColumnRenamed("node", "rep").withColumnRenamed("root", "grp"), "rep")
+    docs = scratch.table(docs, "rest")
+    many = docs.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
+    own = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
+    units = docs.join(many, "grp").withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    units = units.select("grp", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "rep", "n", "root")
+    items = sets.select(F.col("doc").alias("rep"), "n", "items")
+    dealt = units.join(items, ["rep", "n"]).repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
+
+    def links(unit):
+        sets_ = [np.frombuffer(r[6], np.int64) for r in unit]
+        size = np.array([len(x) for x in sets_])
+        row = np.repeat(np.arange(len(unit)), size)
+        _, col, df = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
+        rank = np.cumsum(df > 1) - 1
+        met = df[col] > 1
+        row, col = row[met], rank[col[met]]
+        order = np.argsort(col, kind="stable")
+        row, col = row[order], col[order]
+        both = np.zeros((len(unit), len(unit)), np.float32)
+        for c in range(0, int(col[-1]) + 1 if len(col) else 0, 2048):
+            x, y = np.searchsorted(col, [c, c + 2048])
+            m = np.zeros((len(unit), 2048), np.float32)
+            m[row[x:y], col[x:y] - c] = 1
+            both += m @ m.T
+        root = np.unique([r[5] for r in unit], return_inverse=True)[1]
+        side = np.array([r[3] for r in unit])
+        ok = den * both >= num * (size[:, None] + size[None, :] - both)
+        ok &= root[:, None] < root[None, :]
+        if unit[0][1] != unit[0][2]:
+            ok &= side[:, None] != side[None, :]
+        return [(unit[a][4], unit[b][4]) for a, b in zip(*np.nonzero(ok))]
+
+    def run(batches):
+        unit, out = [], []
+        for batch in batches:
+            for r in zip(*[batch.column(c).to_pylist() for c in ("grp", "lo", "hi", "i", "rep", "root", "items")]):
+                if unit and unit[0][:3] != r[:3]:
+                    out.extend(links(unit))
+                    unit = []
+                unit.append(r)
+        if unit:
+            out.extend(links(unit))
+        one, two = zip(*out) if out else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(one, kind), pa.array(two, kind)], names=["a", "b"])
+
+    kind = to_arrow_type(rest.schema["rep"].dataType)
+    pairs = dealt.select("grp", "lo", "hi", "i", "rep", "root", "items").mapInArrow(run, T.StructType([T.StructField(c, rest.schema["rep"].dataType) for c in "ab"]))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def _verified(scratch: Scratch, pairs, reps, sets, num: int, den: int, k: int):
     """The pairs that are similar on full sets, after the estimate on the union sketch."""
     one = reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
@@ -211,7 +294,7 @@ def _verified(scratch: Scratch, pairs, reps, sets, num: int, den: int, k: int):
     both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u")))
     likely = (
         pairs.join(one, "a").join(two, "b").withColumn("u", union)
-        .filter(F.when(F.size("u") < k, both * den >= F.size("u") * num).otherwise(both >= k // 2))
+        .filter(F.when(F.size("u") < k, both * den >= F.size("u") * num).otherwise(both >= _least(num, den, k)))
         .select("a", "b")
     )
     x = sets.select(F.col("doc").alias("a"), F.col("items").alias("x"))
