@@ -23,7 +23,7 @@ _BYTE_LOWER = _BYTE[_LOWER]
 _R = _U(0x9E3779B97F4A7C15)
 _R_INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes of text that are expanded to arrays at a time.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 400_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
