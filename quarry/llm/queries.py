@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, mixing, near_dedup, secrets, substring_dedup, toxicity, url_filter
+from quarry.llm import bpe, exact_dedup, mixing, near_dedup, secrets, substring_dedup, topk_search, toxicity, url_filter
 from quarry.plans.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -37,6 +37,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_maxscore_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search.search(table(spark, sf_dir, "embeddings"))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(table(spark, sf_dir, "pages").select("page_id", "url"), keep=["page_id"])
 
@@ -78,6 +82,7 @@ def queries() -> dict:
         "op1_minhash_near_dedup": op1_minhash_near_dedup,
         "op2_secret_scan": op2_secret_scan,
         "op3_toxicity": op3_toxicity,
+        "op4_maxscore_search": op4_maxscore_search,
         "op5_url_filter": op5_url_filter,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_source_mix": op7_source_mix,
@@ -87,4 +92,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_url_filter": url_filter.oracle_sql(), "op10_exact_dedup": OP10_SQL}
+    return {"op4_maxscore_search": topk_search.ORACLE_SQL, "op5_url_filter": url_filter.oracle_sql(), "op10_exact_dedup": OP10_SQL}
