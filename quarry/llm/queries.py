@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import bpe, exact_dedup, mixing, near_dedup, secrets, substring_dedup, topk_search, toxicity, url_filter
+from quarry.llm import bpe, exact_dedup, html_extract, mixing, near_dedup, secrets, substring_dedup, topk_search, toxicity, url_filter
 from quarry.plans.tables import table
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
@@ -54,6 +54,11 @@ def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"), keep=["page_id", "url"])
+    return got.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op9_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     codec = bpe.codec_for(public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
     got = bpe.with_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), codec, keep=["doc_id"])
@@ -86,6 +91,7 @@ def queries() -> dict:
         "op5_url_filter": op5_url_filter,
         "op6_substring_dedup": op6_substring_dedup,
         "op7_source_mix": op7_source_mix,
+        "op8_html_extract": op8_html_extract,
         "op9_byte_bpe": op9_byte_bpe,
         "op10_exact_dedup": op10_exact_dedup,
     }
