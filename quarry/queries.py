@@ -1,11 +1,696 @@
-"""Every registered query of the snapshot and block-graph operators."""
+"""Every registered query of the snapshot and block-graph operators, with its SQL twin.
+
+Each entry binds an operator to the documented mapping of the driver's tables (quarry.plans.mapping)
+and runs over whole tables.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quarry.functions import glob, scalars as s
+from quarry.operators import blocks as blk
+from quarry.operators import chunking, graph, retention, snapshot, sync, txlog
+from quarry.plans import mapping as m
+from quarry.plans.mapping import with_
+from quarry.plans.tables import table
+
+_Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, _Query] = {}
+_SQL: dict[str, str] = {}
+#: The instant at which retention is planned.
+NOW = 946_684_800
+
+
+def query(name: str, sql: str | None = None) -> Callable[[_Query], _Query]:
+    def add(f: _Query) -> _Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return add
+
+
+def _live(spark, d):
+    return txlog.live_states(m.tx(spark, d))
+
+
+def _flagged(spark, d):
+    return m.flagged(_live(spark, d))
+
+
+def _tree(spark, d):
+    return snapshot.with_directories(m.files(spark, d))
+
+
+# --- transaction logs and catalogue -------------------------------------------------------------
+
+query("tx_live_states", with_("tx", "live") + "SELECT * FROM live")(_live)
+
+
+@query(
+    "tx_dataset_size",
+    with_("tx", "live") + """SELECT account, dataset, count(*) AS n_states, max(state) AS latest_state,
+    CAST(greatest(0, max(size)) + sum(unique_size) AS BIGINT) AS size FROM live GROUP BY account, dataset""",
+)
+def _(spark, d):
+    return txlog.dataset_size(_live(spark, d))
+
+
+@query(
+    "tx_list_hash",
+    with_("tx", "live") + """SELECT account, dataset, md5(unhex(string_agg('00' || state || block || lpad(lower(to_hex(size)), 16, '0')
+    || lpad(lower(to_hex(unique_size)), 16, '0'), '' ORDER BY state))) AS list_h FROM live GROUP BY account, dataset""",
+)
+def _(spark, d):
+    return txlog.list_hash(_live(spark, d))
+
+
+@query(
+    "tx_deleted_flag",
+    with_("tx") + "SELECT account, dataset, seq, op, state, bool_or(op = 'DEL') OVER (PARTITION BY account, dataset, state) AS deleted FROM tx",
+)
+def _(spark, d):
+    return txlog.with_deleted_mark(m.tx(spark, d)).select("account", "dataset", "seq", "op", "state", "deleted")
+
+
+@query(
+    "tx_later_delete",
+    with_("tx") + """SELECT account, dataset, seq, op, state, coalesce(bool_or(op = 'DEL') OVER (PARTITION BY account, dataset, state ORDER BY seq
+    ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) AS later_delete FROM tx""",
+)
+def _(spark, d):
+    return txlog.with_later_delete(m.tx(spark, d)).select("account", "dataset", "seq", "op", "state", "later_delete")
+
+
+@query(
+    "tx_purge",
+    with_("tx") + """SELECT account, dataset, seq, state, size FROM tx a WHERE op = 'ADD' AND NOT EXISTS (SELECT 1 FROM tx b WHERE b.op = 'DEL'
+    AND b.account = a.account AND b.dataset = a.dataset AND b.state = a.state AND b.seq > a.seq)""",
+)
+def _(spark, d):
+    return txlog.purge(m.tx(spark, d)).select("account", "dataset", "seq", "state", "size")
+
+
+@query(
+    "tx_merge_move",
+    with_("tx") + """SELECT account, side, seq, ts_ns, row_number() OVER (PARTITION BY account ORDER BY ts_ns, side, seq) AS new_seq
+    FROM (SELECT account, seq, ts_ns, CASE WHEN dataset = 0 THEN 0 ELSE 1 END AS side FROM tx WHERE dataset IN (0, 1))""",
+)
+def _(spark, d):
+    """In every account the first dataset's log moves into the second's."""
+    log = m.tx(spark, d)
+    moved = log.filter("dataset = 0").withColumn("dataset", F.lit(1).cast("long"))
+    return txlog.merge_logs(moved, log.filter("dataset = 1")).select("account", "side", "seq", "ts_ns", "new_seq")
+
+
+@query(
+    "tx_clock_violations",
+    """WITH log AS (SELECT conv_id, turn, strlen(text) AS stamp FROM conversations)
+    SELECT conv_id, turn, stamp, prev FROM (SELECT *, lag(stamp) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM log) WHERE stamp < prev""",
+)
+def _(spark, d):
+    """Conversations as logs whose stamps (text lengths) are not in order."""
+    log = table(spark, d, "conversations").select(
+        F.col("conv_id").alias("account"), F.lit(0).alias("dataset"), F.col("turn").alias("seq"), F.octet_length("text").cast("long").alias("ts_ns")
+    )
+    return txlog.clock_violations(log).select(
+        F.col("account").alias("conv_id"), F.col("seq").alias("turn"), F.col("ts_ns").alias("stamp"), F.col("prev_ts_ns").alias("prev")
+    )
+
+
+@query(
+    "tx_delete_states",
+    with_("tx", "live") + """, log AS (SELECT account, dataset, seq, op, state FROM tx), doomed AS (SELECT account, dataset, state FROM live WHERE size < 1000),
+    ends AS (SELECT account, dataset, max(seq) AS e FROM tx GROUP BY ALL)
+    SELECT * FROM log UNION ALL SELECT account, dataset, e + row_number() OVER (PARTITION BY account, dataset ORDER BY state), 'DEL', state FROM doomed JOIN ends USING (account, dataset)""",
+)
+def _(spark, d):
+    log = m.tx(spark, d)
+    return txlog.delete_states(log, _live(spark, d).filter("size < 1000").select(*txlog.STATE), 0).select("account", "dataset", "seq", "op", "state")
+
+
+_BY_FLAG = """SELECT account, dataset, max(state) AS state, arg_max(block, state) AS block, arg_max(size, state) AS size,
+    arg_max(unique_size, state) AS unique_size, arg_max(flags, state) AS flags FROM flagged {} GROUP BY account, dataset"""
+
+
+@query("catalog_latest_valid", with_("tx", "live", "flagged") + _BY_FLAG.format("WHERE flags & 128 = 0"))
+def _(spark, d):
+    return txlog.latest_state(_flagged(spark, d), valid_only=True)
+
+
+@query("catalog_latest_any", with_("tx", "live", "flagged") + _BY_FLAG.format(""))
+def _(spark, d):
+    return txlog.latest_state(_flagged(spark, d), valid_only=False)
+
+
+@query(
+    "catalog_states",
+    with_("tx", "live", "flagged") + "SELECT account, dataset, state, block, size, flags, CASE WHEN flags & 128 <> 0 THEN ' (INVALID)' ELSE '' END AS note FROM flagged",
+)
+def _(spark, d):
+    return txlog.state_listing(_flagged(spark, d)).select("account", "dataset", "state", "block", "size", "flags", "note")
+
+
+@query(
+    "catalog_accounts",
+    with_("tx", "live") + """SELECT account, count(*) AS n_datasets, CAST(sum(n) AS BIGINT) AS n_states, CAST(sum(size) AS BIGINT) AS size FROM
+    (SELECT account, dataset, count(*) AS n, greatest(0, max(size)) + sum(unique_size) AS size FROM live GROUP BY account, dataset) GROUP BY account""",
+)
+def _(spark, d):
+    return txlog.account_summary(txlog.dataset_size(_live(spark, d)))
+
+
+@query(
+    "catalog_dataset_rank",
+    with_("tx", "live") + "SELECT account, dataset, row_number() OVER (PARTITION BY account ORDER BY dataset) AS rank FROM (SELECT DISTINCT account, dataset FROM live)",
+)
+def _(spark, d):
+    return txlog.with_name_rank(txlog.dataset_size(_live(spark, d))).select("account", "dataset", F.col("rank").cast("long").alias("rank"))
+
+
+@query("catalog_visible", "SELECT p_partkey, p_name FROM part WHERE ascii(p_name) > 32")
+def _(spark, d):
+    return txlog.visible(table(spark, d, "part").select("p_partkey", "p_name"), "p_name")
+
+
+@query(
+    "roots_valid",
+    with_("tx", "live", "flagged") + "SELECT DISTINCT block FROM flagged WHERE flags & 128 = 0 AND account IN (SELECT c_custkey FROM customer)",
+)
+def _(spark, d):
+    accounts = table(spark, d, "customer").select(F.col("c_custkey").alias("account"))
+    return txlog.roots(_flagged(spark, d), accounts).select("block").distinct()
+
+
+@query(
+    "catalog_invalidated",
+    with_("tx", "live") + "SELECT account, dataset, state, CASE WHEN op IS NULL THEN 0 ELSE 128 END AS flags FROM live LEFT JOIN (SELECT DISTINCT account, dataset, state, op FROM tx WHERE op = 'DEL') USING (account, dataset, state)",
+)
+def _(spark, d):
+    """States that were deleted once are marked invalid."""
+    bad = m.tx(spark, d).filter("op = 'DEL'")
+    return txlog.invalidate(_live(spark, d), bad).select("account", "dataset", "state", "flags")
+
+
+# --- blocks -------------------------------------------------------------------------------------
+
+
+@query(
+    "dedup_blocks",
+    with_("blocks") + "SELECT block, min(ord) AS ord, arg_min(size, ord) AS size, arg_min(source, ord) AS source, arg_min(lang, ord) AS lang, count(*) AS copies FROM blocks GROUP BY block",
+)
+def _(spark, d):
+    return blk.distinct_blocks(m.blocks(spark, d), "ord")
+
+
+@query(
+    "dedup_ratio_by_source",
+    with_("blocks") + """SELECT source, CAST(sum(n) AS BIGINT) AS n_blocks, count(*) AS n_unique, CAST(sum(n * size) AS BIGINT) AS raw_bytes, CAST(sum(size) AS BIGINT) AS unique_bytes,
+    (sum(n * size) - sum(size)) * 100.0::DOUBLE / sum(n * size) AS saved FROM (SELECT source, block, count(*) AS n, max(size) AS size FROM blocks GROUP BY source, block) GROUP BY source""",
+)
+def _(spark, d):
+    return blk.dedup_ratio(m.blocks(spark, d), "source")
+
+
+@query("upload_new_blocks", with_("blocks") + "SELECT DISTINCT block FROM blocks WHERE block NOT IN (SELECT block FROM blocks WHERE lang = 'en')")
+def _(spark, d):
+    b = m.blocks(spark, d)
+    return blk.to_upload(b, b.filter("lang = 'en'")).select("block")
+
+
+@query("upload_skipped", with_("blocks") + "SELECT DISTINCT block FROM blocks WHERE block IN (SELECT block FROM blocks WHERE lang = 'en')")
+def _(spark, d):
+    b = m.blocks(spark, d)
+    return blk.already_stored(b, b.filter("lang = 'en'")).select("block")
+
+
+@query(
+    "insert_if_absent",
+    with_("blocks") + """, store AS (SELECT block, min(ord) AS ord FROM blocks WHERE lang = 'en' GROUP BY block)
+    SELECT * FROM store UNION ALL SELECT block, min(ord) FROM blocks WHERE lang <> 'en' AND block NOT IN (SELECT block FROM store) GROUP BY block""",
+)
+def _(spark, d):
+    b = m.blocks(spark, d).select("block", "ord", "lang")
+    store = blk.distinct_blocks(b.filter("lang = 'en'"), "ord").select("block", "ord")
+    return blk.insert_if_absent(store, b.filter("lang <> 'en'").select("block", "ord"), "ord")
+
+
+@query(
+    "block_ids",
+    """SELECT doc_id, md5(unhex('00000001' || md5(source) || lpad(lower(to_hex(strlen(text))), 8, '0')) || encode(text)) AS block FROM documents""",
+)
+def _(spark, d):
+    """Blocks with one link, to their source's block."""
+    docs = table(spark, d, "documents")
+    return docs.select("doc_id", s.block_id(F.array(F.md5("source")), F.col("text")).alias("block"))
+
+
+@query("block_verify", "SELECT doc_id, true AS ok FROM documents")
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    links = F.array(F.md5("lang"))
+    rows = docs.select("doc_id", "text", links.alias("links"), s.block_id(links, F.col("text")).alias("block"))
+    return rows.select("doc_id", s.verify_block(F.col("block"), F.col("links"), F.col("text")).alias("ok"))
+
+
+@query("block_compress_round_trip", "SELECT doc_id, md5(text) AS block, true AS same FROM documents")
+def _(spark, d):
+    from quarry.functions.codecs import ZLIB, deflate, payload
+
+    docs = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
+    back = payload(deflate("raw"), F.lit(ZLIB))
+    return docs.select("doc_id", "raw", back.alias("back")).select("doc_id", F.md5("back").alias("block"), (F.col("raw") == F.col("back")).alias("same"))
+
+
+@query("index_home_slots", with_("blocks") + "SELECT block, CAST('0x' || right(block, 6) AS BIGINT) AS home, row_number() OVER (PARTITION BY right(block, 6) ORDER BY block) - 1 AS place FROM (SELECT DISTINCT block FROM blocks)")
+def _(spark, d):
+    return blk.home_slots(m.blocks(spark, d)).select("block", "home", F.col("place").cast("long").alias("place"))
+
+
+@query(
+    "copies_current",
+    with_("copies", "ix") + 'SELECT block, file, "offset", size, ix.block IS NOT NULL AS is_current FROM copies LEFT JOIN ix USING (block, file, "offset")'.replace("ix.block IS NOT NULL", 'EXISTS (SELECT 1 FROM ix i WHERE i.block = copies.block AND i.file = copies.file AND i."offset" = copies."offset")'),
+)
+def _(spark, d):
+    return blk.current_copies(m.copies(spark, d), m.index(spark, d)).select("block", "file", "offset", "size", "is_current")
+
+
+@query("copies_compacted", with_("copies", "ix") + 'SELECT block, file, "offset", size FROM copies JOIN ix USING (block, file, "offset")')
+def _(spark, d):
+    return blk.compacted(m.copies(spark, d), m.index(spark, d)).select("block", "file", "offset", "size")
+
+
+_REBUILT = 'rebuilt AS (SELECT block, file, "offset", size, count(*) OVER (PARTITION BY block) AS copies FROM copies QUALIFY row_number() OVER (PARTITION BY block ORDER BY file DESC, "offset" DESC) = 1)'
+
+
+@query("recover_index", with_("copies") + ", " + _REBUILT + " SELECT * FROM rebuilt")
+def _(spark, d):
+    return blk.recovered(m.copies(spark, d))
+
+
+@query("recover_repairs", with_("copies", "ix") + ", " + _REBUILT + """ SELECT r.block, 'moved' AS change FROM rebuilt r JOIN ix i ON r.block = i.block WHERE r.file <> i.file OR r."offset" <> i."offset" """)
+def _(spark, d):
+    return blk.repairs(blk.recovered(m.copies(spark, d)), m.index(spark, d))
+
+
+@query(
+    "lookup_payload",
+    with_("copies", "ix") + 'SELECT ix.block, ix.file, ix."offset", c.size FROM ix JOIN copies c ON ix.block = c.block AND ix.file = c.file AND ix."offset" = c."offset"',
+)
+def _(spark, d):
+    ix = m.index(spark, d)
+    index = ix.select("block", F.lit(0).alias("meta_file"), F.pmod(F.hash("block"), F.lit(1000)).alias("meta_offset"))
+    meta = ix.select("block", F.lit(0).alias("meta_file"), F.pmod(F.hash("block"), F.lit(1000)).alias("meta_offset"), "file", "offset")
+    return blk.lookup(index, meta, m.copies(spark, d)).select("block", "file", "offset", "size")
+
+
+@query(
+    "integrity_mismatches",
+    """SELECT block, reason FROM (SELECT 'O:' || o_orderkey AS block, CASE WHEN l.n IS NULL THEN 'missing' WHEN l.n <> length(o_orderpriority) THEN 'link count' END AS reason
+    FROM orders LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey) WHERE reason IS NOT NULL""",
+)
+def _(spark, d):
+    """Orders as metadata whose link counts (priority's length) are checked against their lines."""
+    some = lambda n: F.transform(F.sequence(F.lit(1), n), lambda i: F.lit("x"))
+    meta = table(spark, d, "orders").select(m._node("O", "o_orderkey").alias("block"), some(F.length("o_orderpriority")).alias("links"), F.lit(0).alias("size"))
+    data = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_linenumber").cast("int").alias("n"))
+    data = data.select(m._node("O", "l_orderkey").alias("block"), some(F.col("n")).alias("links"), F.lit(0).alias("size"))
+    return blk.mismatches(meta, data)
+
+
+# --- block graph --------------------------------------------------------------------------------
+
+_MARK = with_("line", "edges", "marked", recursive=True)
+_DEAD = with_("line", "edges", "nodes", "marked", recursive=True) + """, dead AS (SELECT * FROM nodes WHERE block NOT IN (SELECT node FROM marked)),
+    per AS (SELECT file, CAST(sum(size) AS BIGINT) AS file_size FROM nodes GROUP BY file),
+    gone AS (SELECT file, count(*) AS n, CAST(sum(size) AS BIGINT) AS dead FROM dead GROUP BY file),
+    space AS (SELECT per.file, file_size, coalesce(n, 0) AS n_dead, coalesce(dead, 0) AS dead FROM per LEFT JOIN gone ON per.file = gone.file) """
+
+
+def _marked(spark, d):
+    return graph.reachable(m.edges(spark, d), m.root_nodes(spark, d))
+
+
+def _space(spark, d):
+    nodes = m.nodes(spark, d)
+    return graph.dead_space(nodes, graph.garbage(nodes, _marked(spark, d)))
+
+
+@query("gc_reachable", _MARK + "SELECT node FROM marked")
+def _(spark, d):
+    return _marked(spark, d).select("node")
+
+
+@query("gc_garbage", _DEAD + "SELECT block, size, file FROM dead")
+def _(spark, d):
+    return graph.garbage(m.nodes(spark, d), _marked(spark, d)).select("block", "size", "file")
+
+
+query("gc_dead_space", _DEAD + "SELECT * FROM space")(_space)
+
+
+@query("gc_compact_candidates", _DEAD + "SELECT *, dead * 100 // file_size AS dead_percent FROM space WHERE file_size < 171798691 OR dead * 100 // file_size >= 5")
+def _(spark, d):
+    return graph.compact_candidates(_space(spark, d))
+
+
+@query("gc_compaction_totals", _DEAD + "SELECT (SELECT count(*) FROM dead) AS n_deleted, (SELECT count(*) FROM nodes) - (SELECT count(*) FROM dead) AS n_moved, (SELECT CAST(sum(size) AS BIGINT) FROM dead) AS released")
+def _(spark, d):
+    nodes = m.nodes(spark, d)
+    dead = graph.garbage(nodes, _marked(spark, d))
+    return graph.compaction_totals(nodes, dead, nodes.select("file").distinct())
+
+
+@query("fk_missing_links", with_("line", "edges") + ", have AS (SELECT DISTINCT dst FROM edges WHERE dst NOT IN (SELECT 'P:' || p_partkey FROM part WHERE p_size < 10)) SELECT DISTINCT src, dst FROM edges WHERE dst NOT IN (SELECT dst FROM have)")
+def _(spark, d):
+    """Links to small parts are broken, as these are not stored."""
+    small = table(spark, d, "part").filter("p_size < 10").select(m._node("P", "p_partkey").alias("block"))
+    return graph.missing_links(m.edges(spark, d), m.nodes(spark, d).join(small, "block", "left_anti"))
+
+
+@query(
+    "fk_missing_roots",
+    with_("tx", "live", "blocks") + "SELECT account, dataset, state, block FROM live WHERE block NOT IN (SELECT block FROM blocks)",
+)
+def _(spark, d):
+    return graph.missing_roots(_live(spark, d), m.blocks(spark, d)).select("account", "dataset", "state", "block")
+
+
+@query(
+    "verify_invalid_closure",
+    with_("line", "edges", recursive=True) + """, bad AS (SELECT 'P:' || p_partkey AS node FROM part WHERE p_size = 1
+    UNION SELECT e.src FROM edges e JOIN bad b ON e.dst = b.node) SELECT node FROM bad""",
+)
+def _(spark, d):
+    bad = table(spark, d, "part").filter("p_size = 1").select(m._node("P", "p_partkey").alias("node"))
+    return graph.invalid_blocks(m.edges(spark, d), bad).select("node")
+
+
+@query(
+    "sync_blocks_to_send",
+    with_("line", "edges", recursive=True) + """, remote AS (SELECT 'S:' || s_suppkey AS node FROM supplier UNION ALL SELECT 'O:' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'),
+    send AS (SELECT 'O:' || o_orderkey AS node FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT'
+    UNION SELECT e.dst FROM edges e JOIN send ON e.src = send.node WHERE e.dst NOT IN (SELECT node FROM remote)) SELECT node FROM send""",
+)
+def _(spark, d):
+    have = table(spark, d, "supplier").select(m._node("S", "s_suppkey").alias("node"))
+    have = have.unionByName(table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(m._node("O", "o_orderkey").alias("node")))
+    return graph.blocks_to_send(m.edges(spark, d), m.root_nodes(spark, d), have).select("node")
+
+
+# --- retention ----------------------------------------------------------------------------------
+
+
+def _retention_sql(days: int, weeks: int, yearly: bool) -> str:
+    today = NOW - NOW % s.DAY
+    daily, weekly = today - days * s.DAY if days else 0, today - weeks * 7 * s.DAY if weeks else 0
+    last = f"(day < {weekly})" if weekly < daily else f"(day < {daily})"
+    rule = f"i >= 2 AND {NOW} - ts > 86400 {'AND yr = kyr' if yearly else ''} AND (day = kday OR (kday - day < 604800 AND day < {daily}) OR {last})"
+    return f"""WITH RECURSIVE st AS (SELECT o_custkey AS dataset, o_orderkey AS id, CAST(epoch(o_orderdate) AS BIGINT) AS ts,
+        row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) - 1 AS i FROM orders),
+    x AS (SELECT *, ts - ts % 86400 AS day, year(make_timestamp(ts * 1000000)) AS yr FROM st),
+    f AS (SELECT dataset, id, ts, i, day AS kday, yr AS kyr, true AS kept FROM x WHERE i = 0
+      UNION ALL SELECT x.dataset, x.id, x.ts, x.i, CASE WHEN {rule.replace('i >=', 'x.i >=').replace('ts >', 'x.ts >')} THEN kday ELSE x.day END,
+        CASE WHEN {rule.replace('i >=', 'x.i >=').replace('ts >', 'x.ts >')} THEN kyr ELSE x.yr END, NOT ({rule.replace('i >=', 'x.i >=').replace('ts >', 'x.ts >')})
+      FROM f JOIN x ON x.dataset = f.dataset AND x.i = f.i + 1)
+    SELECT dataset, id, ts, kept FROM f"""
+
+
+def _retention(days: int, weeks: int, yearly: bool) -> _Query:
+    def run(spark, d):
+        o = table(spark, d, "orders")
+        states = o.select(F.col("o_custkey").alias("dataset"), F.col("o_orderkey").alias("id"), F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("ts"))
+        return retention.plan(states, NOW, days, weeks, yearly)
+
+    return run
+
+
+for _name, _args in {"daily": (365, 0, False), "weekly": (0, 52, False), "yearly": (0, 0, True), "combined": (365, 200, True), "days_weeks": (365, 200, False)}.items():
+    query(f"retention_{_name}", _retention_sql(*_args))(_retention(*_args))
+
+
+# --- file trees ---------------------------------------------------------------------------------
+
+_TREE = with_("files", "tree")
+
+query("tree_flatten", _TREE + "SELECT path, parent, name, is_dir, CAST(depth AS INTEGER) AS depth, size, content FROM tree")(_tree)
+
+
+@query("path_glob_list", _TREE + "SELECT path, is_dir FROM tree WHERE regexp_matches(path, '^(?s:[^/]*\\.example\\.org/[a-e][^/]/[^/]*)$')")
+def _(spark, d):
+    return snapshot.glob_list(_tree(spark, d), "*.example.org/[a-e]?/*").select("path", "is_dir")
+
+
+@query("path_children", _TREE + "SELECT path, is_dir FROM tree WHERE parent = '' AND regexp_matches(name, '^(?s:www\\.[^/]*)$')")
+def _(spark, d):
+    """No directory is called so; the last segment is then a pattern in its parent."""
+    return snapshot.children(_tree(spark, d), "/www.*").select("path", "is_dir")
+
+
+_IGNORES = ["/dev/*", "*.html", "en/", "*.example.net/fr/", "index", "$UNSET"]
+
+
+@query(
+    "ignore_filter",
+    _TREE + """SELECT path, is_dir, CASE WHEN regexp_matches(path, '^(?s:/dev/[^/]*)$') THEN '/dev/*' WHEN regexp_matches(name, '^(?s:[^/]*\\.html)$') THEN '*.html'
+    WHEN is_dir AND name = 'en' THEN 'en/' WHEN is_dir AND regexp_matches(path, '^(?s:[^/]*\\.example\\.net/fr)$') THEN '*.example.net/fr/' WHEN name = 'index' THEN 'index' END AS ignored_by FROM tree""",
+)
+def _(spark, d):
+    return snapshot.with_ignores(_tree(spark, d), glob.compile_ignores(_IGNORES)).select("path", "is_dir", "ignored_by")
+
+
+@query("path_order", _TREE + "SELECT path, string_split(path, '/')[1] AS top, row_number() OVER (PARTITION BY string_split(path, '/')[1] ORDER BY replace(path, '/', chr(1))) AS rank FROM tree")
+def _(spark, d):
+    return snapshot.ranked_by_path(_tree(spark, d)).select("path", "top", F.col("rank").cast("long").alias("rank"))
+
+
+def _merkle_sql(levels: int = 12) -> str:
+    """Hashes from the deepest level up; levels beyond the tree's depth add nothing."""
+    entry = "name || chr(0) || lpad(lower(to_hex(size)), 16, '0') || id"
+    ctes = [f"d{levels + 1} AS (SELECT path, parent, name, is_dir, depth, size, content AS id FROM tree WHERE NOT is_dir)"]
+    for k in range(levels, -1, -1):
+        ctes.append(
+            f"d{k} AS (SELECT * FROM d{k + 1} UNION ALL SELECT t.path, t.parent, t.name, true, t.depth, 0, coalesce(h, md5('')) FROM tree t LEFT JOIN "
+            f"(SELECT parent AS pp, md5(string_agg({entry}, chr(1) ORDER BY name)) AS h FROM d{k + 1} WHERE depth = {k + 1} GROUP BY parent) c ON c.pp = t.path WHERE t.is_dir AND t.depth = {k})"
+        )
+    return _TREE + ", " + ",\n".join(ctes) + " SELECT path, is_dir, CAST(depth AS INTEGER) AS depth, id FROM d0"
+
+
+@query("dir_merkle", _merkle_sql())
+def _(spark, d):
+    return graph.tree_hashes(_tree(spark, d))
+
+
+_SAME = "n.name = o.name AND n.size = o.size AND n.mode = o.mode AND n.mtime_ns = o.mtime_ns"
+_CHANGES = with_("entries", "olds", "news") + f", ch AS (SELECT n.*, CASE WHEN o.path IS NULL THEN 'added' WHEN {_SAME} THEN 'same' ELSE 'changed' END AS change FROM news n LEFT JOIN olds o ON n.path = o.path) "
+
+
+def _changes(spark, d):
+    return snapshot.changes(m.new_entries(spark, d), m.old_entries(spark, d))
+
+
+@query("change_detect", _CHANGES + "SELECT path, size, change FROM ch")
+def _(spark, d):
+    return _changes(spark, d).select("path", "size", "change")
+
+
+@query(
+    "snapshot_sizes",
+    _CHANGES + """SELECT source, CAST(sum(size) AS BIGINT) AS size, CAST(coalesce(sum(size) FILTER (change <> 'same'), 0) AS BIGINT) AS unique_size, count(*) AS n_files,
+    count(*) FILTER (change = 'same') AS n_unchanged, count(*) FILTER (change = 'changed') AS n_different FROM ch GROUP BY source""",
+)
+def _(spark, d):
+    return snapshot.snapshot_sizes(_changes(spark, d), "source")
+
+
+_DIFF = with_("entries", "olds", "news") + """, df AS (SELECT coalesce(l.parent, r.parent) AS parent, coalesce(l.name, r.name) AS name, l.name AS ln, r.name AS rn,
+    CASE WHEN r.name IS NULL THEN 'extra' WHEN l.name IS NULL THEN 'missing' WHEN l.size = r.size AND l.content = r.content THEN 'same' ELSE 'different' END AS status
+    FROM news l FULL OUTER JOIN olds r ON l.parent = r.parent AND l.name = r.name) """
+
+
+@query("diff_strict", _DIFF + "SELECT parent, name, status FROM df")
+def _(spark, d):
+    return snapshot.diff(m.new_entries(spark, d), m.old_entries(spark, d), strict=True)
+
+
+_COARSE = "SELECT * REPLACE (source AS parent) FROM"
+
+
+@query(
+    "diff_reference_mode",
+    _DIFF.replace("FROM news l FULL OUTER JOIN olds r", f"FROM ({_COARSE} news) l FULL OUTER JOIN ({_COARSE} olds) r")
+    + """SELECT parent, name, status FROM df JOIN (SELECT parent, max(ln) AS le, max(rn) AS re FROM df GROUP BY parent) USING (parent) WHERE name <= le AND name <= re""",
+)
+def _(spark, d):
+    by_source = lambda df: df.withColumn("parent", F.col("source"))
+    return snapshot.diff(by_source(m.new_entries(spark, d)), by_source(m.old_entries(spark, d)))
+
+
+@query(
+    "diff_first_mismatch",
+    """SELECT l.doc_id, (SELECT min(o) FROM unnest(range(0, greatest(octet_length(encode(l.text)), octet_length(encode(l.other))), 16)) AS t(o)
+    WHERE substr(hex(encode(l.text)), 2 * o + 1, 32) <> substr(hex(encode(l.other)), 2 * o + 1, 32)) AS "offset"
+    FROM (SELECT doc_id, text, replace(text, 'x', 'y') AS other FROM documents) l""",
+)
+def _(spark, d):
+    docs = table(spark, d, "documents")
+    other = F.replace(F.col("text"), F.lit("x"), F.lit("y"))
+    return docs.select("doc_id", snapshot.first_mismatch(F.col("text"), other).cast("long").alias("offset"))
+
+
+@query("restore_concat", "SELECT conv_id, md5(string_agg(text, '' ORDER BY turn)) AS content, count(*) AS n_chunks FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    got = snapshot.restored(table(spark, d, "conversations"), "conv_id", "turn", "text")
+    return got.select("conv_id", F.md5("content").alias("content"), "n_chunks")
+
+
+@query("chain_offsets", 'SELECT conv_id, turn, strlen(text) AS length, CAST(coalesce(sum(strlen(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset" FROM conversations')
+def _(spark, d):
+    chunks = table(spark, d, "conversations").select("conv_id", "turn", F.octet_length("text").cast("long").alias("length"))
+    return snapshot.chain_offsets(chunks, "conv_id", "turn", "length")
+
+
+@query("chain_content_type", "SELECT conv_id, CASE WHEN sum(strlen(text)) = 0 THEN 0 WHEN count(*) = 1 THEN 2 ELSE 3 END AS content_type FROM conversations GROUP BY conv_id")
+def _(spark, d):
+    per = table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("size"))
+    return per.select("conv_id", snapshot.content_type(F.col("n"), F.col("size")).alias("content_type"))
+
+
+@query("chunk_coverage", "SELECT doc_id, strlen(text) AS covered, true AS contiguous FROM documents WHERE strlen(text) > 0")
+def _(spark, d):
+    chunks = chunking.chunk_files(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", least=64, most=1024)
+    placed = snapshot.chain_offsets(chunks.withColumnRenamed("offset", "at"), "doc_id", "ordinal", "length")
+    return placed.groupBy("doc_id").agg(F.sum("length").alias("covered"), F.min(F.col("at") == F.col("offset")).alias("contiguous"))
+
+
+@query("chunk_dedup")
+def _(spark, d):
+    """Chunks, distinct chunks and bytes saved by source: content-defined chunking finds repeats inside texts."""
+    chunks = chunking.chunk_files(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", least=64, most=1024)
+    docs = table(spark, d, "documents").select("doc_id", "source")
+    return blk.dedup_ratio(chunks.join(docs, "doc_id").select("source", "block", F.col("length").alias("size")), "source")
+
+
+@query("resume_verified", _TREE + """, have AS (SELECT content FROM files WHERE size % 3 = 0), trusted AS (SELECT path FROM tree WHERE is_dir AND md5(path) IN (SELECT md5(path) FROM tree WHERE name = 'en'))
+    SELECT path FROM tree t WHERE content IN (SELECT content FROM have) OR name = 'en' AND is_dir OR EXISTS (SELECT 1 FROM trusted r WHERE starts_with(t.path, r.path || '/'))""")
+def _(spark, d):
+    """An interrupted run: the store has the directories called en and some files."""
+    nodes = _tree(spark, d).withColumn("content", F.when(F.col("is_dir"), F.md5("path")).otherwise(F.col("content")))
+    store = nodes.filter("is_dir and name = 'en'").select(F.col("content").alias("block"))
+    store = store.unionByName(m.files(spark, d).filter("size % 3 = 0").select(F.col("content").alias("block"))).distinct()
+    return snapshot.resumed(nodes.select("path", "is_dir", "content"), store).select("path")
+
+
+@query("stream_depth", "SELECT conv_id, turn, CAST(sum(CASE WHEN role = 'user' THEN 1 ELSE -1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS depth FROM conversations")
+def _(spark, d):
+    c = table(spark, d, "conversations")
+    return snapshot.depth_of_stream(c, "conv_id", "turn", F.col("role") == "user", F.col("role") != "user").select("conv_id", "turn", "depth")
+
+
+@query("first_per_path", with_("entries", "olds", "news") + "SELECT path, content FROM news UNION ALL SELECT path, content FROM olds WHERE path NOT IN (SELECT path FROM news)")
+def _(spark, d):
+    return snapshot.first_per_path(m.new_entries(spark, d).select("path", "content"), m.old_entries(spark, d).select("path", "content"))
+
+
+# --- replication --------------------------------------------------------------------------------
+
+
+def _decisions(spark, d):
+    log = m.tx(spark, d)
+    return sync.sync_decisions(log, _live(spark, d).filter("dataset <> 0"))
+
+
+_SYNC = with_("tx", "live") + """, remote AS (SELECT DISTINCT account, dataset, state, true AS has FROM live WHERE dataset <> 0),
+    dec AS (SELECT account, dataset, seq, op, state, size, CASE WHEN op = 'DEL' AND has THEN 'delete' WHEN op = 'DEL' THEN 'skip: not there'
+    WHEN coalesce(bool_or(op = 'DEL') OVER (PARTITION BY account, dataset, state ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), false) THEN 'skip: deleted later'
+    WHEN has THEN 'skip: already there' ELSE 'add' END AS action FROM tx LEFT JOIN remote USING (account, dataset, state)) """
+
+
+@query("stream_sync_decisions", _SYNC + "SELECT account, dataset, seq, state, action FROM dec")
+def _(spark, d):
+    return _decisions(spark, d).select("account", "dataset", "seq", "state", "action")
+
+
+@query(
+    "sync_totals",
+    _SYNC + """SELECT account, dataset, count(*) FILTER (action = 'add') AS n_added, count(*) FILTER (action = 'delete') AS n_deleted, count(*) FILTER (starts_with(action, 'skip')) AS n_skipped,
+    CAST(coalesce(sum(size) FILTER (action = 'add'), 0) AS BIGINT) AS bytes, max(seq) AS position FROM dec GROUP BY account, dataset""",
+)
+def _(spark, d):
+    return sync.sync_totals(_decisions(spark, d))
+
+
+@query(
+    "sync_include",
+    """SELECT DISTINCT source, lang, NOT (source = 'src3' OR (source = 'src4' AND lang = 'en')) AND (source IN ('src3', 'src4', 'src5') OR (source = 'src6' AND lang = 'de')) AS included FROM documents""",
+)
+def _(spark, d):
+    rows = table(spark, d, "documents").select("source", "lang").distinct()
+    inc, exc = sync.parse_patterns("src3, src4,src5,,src6:de"), sync.parse_patterns("src3,src4:en")
+    return rows.withColumn("included", sync.should_include(F.col("source"), F.col("lang"), inc, exc))
+
+
+# --- scalar functions ---------------------------------------------------------------------------
+
+_UNITS = "['B','KiB','MiB','GiB','TiB','PiB','EiB']"
+
+
+@query(
+    "human_size",
+    f"""SELECT o_orderkey, printf(CASE WHEN u > 0 AND v < 10 THEN '%.2f' WHEN u > 0 AND v < 100 THEN '%.1f' ELSE '%.0f' END, v) || ' ' || {_UNITS}[u + 1] AS human FROM
+    (SELECT o_orderkey, u, x / pow(1024, u) AS v FROM (SELECT o_orderkey, x, CASE WHEN x / 1024 / 1024 > 1000 THEN 3 WHEN x / 1024 > 1000 THEN 2 WHEN x > 1000 THEN 1 ELSE 0 END AS u
+    FROM (SELECT o_orderkey, CAST(o_orderkey * o_orderkey AS DOUBLE) AS x FROM orders)))""",
+)
+def _(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", s.human_size(F.col("o_orderkey") * F.col("o_orderkey")).alias("human"))
+
+
+@query("escape_text", r"""SELECT doc_id, replace(replace(replace(text, chr(9), '\x09'), chr(10), '\x0a'), chr(13), '\x0d') AS escaped FROM documents""")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", s.escape_controls(F.col("text")).alias("escaped"))
+
+
+@query(
+    "ids_and_locations",
+    with_("blocks") + """SELECT DISTINCT block, 16 + 24 * CAST('0x' || right(block, 6) AS BIGINT) AS slot, (CAST('0x' || left(block, 3) AS BIGINT) << 34) | size AS packed,
+    upper(lpad(left(block, 3), 8, '0')) || '.dat' AS file_name, rtrim(translate(base64(unhex(block)), '+/', '-_'), '=') AS b64, block AS parsed FROM blocks""",
+)
+def _(spark, d):
+    b = m.blocks(spark, d).select("block", "size").distinct()
+    no = F.conv(F.substring("block", 1, 3), 16, 10).cast("long")
+    b64 = s.base64_name(F.unhex("block"))
+    return b.select(
+        "block", s.index_slot(F.col("block")).alias("slot"), s.pack_location(no, F.col("size")).alias("packed"),
+        s.numbered_file(no, "dat").alias("file_name"), b64.alias("b64"), s.parse_hash(b64).alias("parsed"),
+    )
+
+
+@query(
+    "state_times",
+    """SELECT event_id, epoch_us(ts) * 1000 AS ns, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS note, epoch_us(date_trunc('day', ts)) // 1000000 AS day FROM events""",
+)
+def _(spark, d):
+    ns = F.unix_micros(F.col("ts").cast("timestamp")) * 1000
+    state = F.concat(s.hex64(ns), F.lit("00" * 8))
+    e = table(spark, d, "events").select("event_id", s.state_time_ns(state).alias("ns"))
+    return e.select("event_id", "ns", s.plausible_time(F.col("ns")).alias("note"), s.day_floor(F.floor(F.col("ns") / 1_000_000_000).cast("long")).alias("day"))
+
+
+@query("path_functions", _TREE + "SELECT path, len(string_split(path, '/')) AS n_segments, string_split(path, '/')[-1] AS base, translate(path, '\\/:*?\"<>|', '_________') AS safe FROM tree WHERE path <> ''")
+def _(spark, d):
+    t = _tree(spark, d).filter("path <> ''")
+    messy = F.concat(F.lit("/./"), F.replace(F.col("path"), F.lit("/"), F.lit("//")), F.lit("/x/.."))
+    return t.select("path", F.size(s.split_path(messy)).cast("long").alias("n_segments"), s.base_name(F.col("path")).alias("base"), s.safe_file_name(F.col("path")).alias("safe"))
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, _Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
