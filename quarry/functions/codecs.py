@@ -8,17 +8,18 @@ import zlib
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # How a block's payload is stored.
 ZLIB, RAW = 0x01, 0xFF
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def deflate(data: pd.Series) -> pd.Series:
     return data.map(lambda b: None if b is None else zlib.compress(b))
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def payload(data: pd.Series, kind: pd.Series) -> pd.Series:
     """The uncompressed payload; null where it can't be inflated.  Unknown kinds raise ValueError."""
 
@@ -46,7 +47,7 @@ def keyed_hash(key: bytes, data: bytes, depth: int = 1) -> bytes:
 
 
 def keyed_hash_udf(key: bytes, depth: int = 1):
-    @F.pandas_udf("binary")
+    @F.pandas_udf(T.BinaryType())
     def run(data: pd.Series) -> pd.Series:
         return data.map(lambda b: None if b is None else keyed_hash(key, bytes(b), depth))
 
