@@ -207,7 +207,8 @@ def mix(
         "_pid", "_row", "_source", "_size", "_from",
         F.explode(F.sequence((F.col("_from") / block).cast("long"), ((F.col("_from") + F.col("_size") - 1) / block).cast("long"))).alias("blk"),
     )
-    joined = chunks.join(slots, (chunks["blk"] == slots["blk"]) & chunks["_source"].eqNullSafe(slots["source"]))
+    # the planner takes slots for as small as the table of sources that they are made from
+    joined = chunks.hint("merge").join(slots, (chunks["blk"] == slots["blk"]) & chunks["_source"].eqNullSafe(slots["source"]))
     begin = F.greatest(F.col("_from"), chunks["blk"] * block)
     end = F.least(F.col("_from") + F.col("_size"), chunks["blk"] * block + F.col("words"))
     pieces = joined.select("_pid", "_row", "turn", (begin - F.col("_from")).alias("a"), (end - F.col("_from")).alias("b")).filter("b > a")
