@@ -34,12 +34,13 @@ def contract(links: DataFrame, scratch: Scratch) -> DataFrame:
             old = roots.join(to, F.col("root") == F.col("_at"), "left").select("node", F.coalesce("_to", "root").alias("root"))
             new = moved.join(old.select("node"), "node", "left_anti")
             moved = old.unionByName(new)
-        roots = scratch.table(moved, "roots")
+        before, roots = roots, scratch.table(moved, "roots")
         ends = edges.join(to, F.col("a") == F.col("_at")).select(F.col("_to").alias("a"), "b")
         ends = ends.join(to, F.col("b") == F.col("_at")).select("a", F.col("_to").alias("b"))
-        edges = scratch.table(
+        done, edges = edges, scratch.table(
             ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
         )
+        scratch.drop(done, up, jump, *([] if before is None else [before]))
     if roots is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
     return roots
