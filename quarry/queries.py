@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import glob, scalars as s
 from quarry.operators import blocks as blk
-from quarry.operators import chunking, graph, retention, snapshot, sync, txlog
+from quarry.operators import chunking, graph, maintenance, retention, snapshot, sync, txlog
 from quarry.plans import mapping as m
 from quarry.plans.mapping import with_
 from quarry.plans.tables import table
@@ -688,6 +688,85 @@ def _(spark, d):
     return t.select("path", F.size(s.split_path(messy)).cast("long").alias("n_segments"), s.base_name(F.col("path")).alias("base"), s.safe_file_name(F.col("path")).alias("safe"))
 
 
+@query(
+    "hexdump_head",
+    r"""SELECT p_partkey, '00000000  ' || regexp_replace(regexp_replace(lower(hex(encode(left(p_name, 12)))), '([0-9a-f]{2})', '\1 ', 'g'), '((?:[0-9a-f]{2} ){8})', '\1 ', 'g')
+    || '|' || left(p_name, 12) || '|' AS line FROM part""",
+)
+def _(spark, d):
+    part = table(spark, d, "part")
+    return part.select("p_partkey", s.hexdump_line(F.lit(0), F.encode(F.substring("p_name", 1, 12), "UTF-8")).alias("line"))
+
+
+@query("short_sizes", """SELECT doc_id, CASE WHEN n > 1000 THEN printf(CASE WHEN n / 1024 < 10 THEN '%.2fK' WHEN n / 1024 < 100 THEN '%.1fK' ELSE '%.0fK' END, n / 1024) ELSE printf('%.0fB', n) END AS short
+    FROM (SELECT doc_id, CAST(strlen(text) AS DOUBLE) AS n FROM documents)""")
+def _(spark, d):
+    return table(spark, d, "documents").select("doc_id", s.short_human_size(F.octet_length("text")).alias("short"))
+
+
+# --- sessions and maintenance -------------------------------------------------------------------
+
+
+@query(
+    "session_counters",
+    _CHANGES + """SELECT 0 AS directories, count(*) AS files, count(*) FILTER (change = 'same') AS unchanged, count(*) FILTER (change <> 'same') AS different,
+    CAST(sum(size) FILTER (change <> 'same') AS BIGINT) AS read_bytes, CAST(sum(size // 2) AS BIGINT) AS write_bytes,
+    (sum(size) FILTER (change <> 'same') - sum(size // 2)) * 100.0::DOUBLE / sum(size) FILTER (change <> 'same') AS compression FROM ch""",
+)
+def _(spark, d):
+    rows = _changes(spark, d).withColumn("stored", F.expr("size div 2"))
+    return maintenance.session_counters(rows)
+
+
+@query(
+    "carried_references",
+    with_("entries", "olds", "news") + """SELECT n.path, CASE WHEN n.content = o.content THEN 'old-' || o.lang ELSE 'now' END AS reference_id FROM news n LEFT JOIN olds o ON n.path = o.path""",
+)
+def _(spark, d):
+    old = m.old_entries(spark, d).withColumn("reference_id", F.concat(F.lit("old-"), "lang"))
+    return maintenance.carried_references(m.new_entries(spark, d), old, "now").select("path", "reference_id")
+
+
+@query(
+    "file_history",
+    "SELECT path, reference_id, row_number() OVER (PARTITION BY path ORDER BY reference_id) AS version FROM (SELECT DISTINCT source || '/' || lang AS path, md5(text) AS reference_id FROM documents)",
+)
+def _(spark, d):
+    rows = table(spark, d, "documents").select(F.concat_ws("/", "source", "lang").alias("path"), F.md5("text").alias("reference_id"))
+    return maintenance.file_history(rows).withColumn("version", F.col("version").cast("long"))
+
+
+_SLOTS = """WITH slots AS (SELECT md5(text) AS block, CASE WHEN strlen(text) % 5 = 0 THEN 9 ELSE 5 END AS flags, CAST(substr(source, 4) AS INTEGER) AS ix_file, 16 + 24 * doc_id AS ix_offset FROM documents) """
+
+
+def _slots(spark, d):
+    return table(spark, d, "documents").select(
+        F.md5("text").alias("block"), F.when(F.octet_length("text") % 5 == 0, 9).otherwise(5).alias("flags"),
+        F.substring("source", 4, 9).cast("int").alias("ix_file"), (F.col("doc_id") * 24 + 16).alias("ix_offset"),
+    )
+
+
+@query("index_compacted", _SLOTS + "SELECT block, flags & 65531 AS flags, ix_file, ix_offset, max(ix_offset + 24) OVER (PARTITION BY ix_file) AS file_end FROM slots WHERE flags & 8 = 0")
+def _(spark, d):
+    return maintenance.compact_index(_slots(spark, d))
+
+
+@query("index_faults", _SLOTS + "SELECT block, ix_offset FROM slots WHERE ix_file = 0 AND ix_offset < 16 + 24 * CAST('0x' || right(block, 6) AS BIGINT)")
+def _(spark, d):
+    return maintenance.slot_faults(_slots(spark, d)).select("block", "ix_offset")
+
+
+@query(
+    "unreadable_kept",
+    with_("entries", "olds", "news") + """SELECT path, content FROM news WHERE source <> 'src2' UNION ALL SELECT path, content FROM olds WHERE source = 'src2' AND path IN (SELECT path FROM news WHERE source = 'src2')""",
+)
+def _(spark, d):
+    """Files of one source could not be read; their reference entries stand in."""
+    new = m.new_entries(spark, d).select("path", "content", "source")
+    old = m.old_entries(spark, d).select("path", "content", "source")
+    return maintenance.keep_unreadable(new, old, new.filter("source = 'src2'")).select("path", "content")
+
+
 def queries() -> dict[str, _Query]:
     return dict(_QUERIES)
 

@@ -210,6 +210,15 @@ def write_log(path: str, dataset: str, rows: list[tuple], append: bool = False)
         os.fsync(f.fileno())
 
 
+def dataset_of_log(path: str) -> str:
+    """The dataset's name from a log's header, which must hash to what the file's name says."""
+    with open(path, "rb") as f:
+        name = formats.read_name_header(f, formats.LOG_TYPE)
+    if _name_hash(path, 1) != hashlib.md5(name.encode("utf-8")).hexdigest():
+        raise ValueError(f"{path} is not named after the dataset {name!r}")
+    return name
+
+
 def log_file_name(account: str, dataset: str) -> str:
     part = lambda s: base64.urlsafe_b64encode(hashlib.md5(s.encode("utf-8")).digest()).decode().rstrip("=")
     return f"{part(account)}.{part(dataset)}.trn"

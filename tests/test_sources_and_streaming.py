@@ -118,6 +118,12 @@ def test_log_source_and_cache(spark, tmp_path):
     live = {(r["dataset"], r["state"]) for r in txlog.live_states(log).collect()}
     assert live == {("photos", md5("two")), ("docs", md5("one"))}
     assert store.read(spark, "log", str(tmp_path), dataset="docs").count() == 1
+    path = os.path.join(tmp_path, store.log_file_name("acc", "docs"))
+    assert store.dataset_of_log(path) == "docs"
+    os.rename(path, path.replace(store.log_file_name("acc", "docs"), store.log_file_name("acc", "else")))
+    with pytest.raises(ValueError):
+        store.dataset_of_log(os.path.join(tmp_path, store.log_file_name("acc", "else")))
+    os.rename(os.path.join(tmp_path, store.log_file_name("acc", "else")), path)
     (tmp_path / "x.y.db").write_bytes(formats.pack_cache("photos", [(0x80, md5("s"), md5("b"), 1, -2)]))
     assert store.read(spark, "cache", str(tmp_path)).first()["unique_size"] == -2
 
