@@ -137,12 +137,19 @@ def diff(local: DataFrame, remote: DataFrame, by: str = "parent", strict: bool =
 
 
 def first_mismatch(a: Column, b: Column, step: int = 16) -> Column:
-    """Offset of the first row of ``step`` bytes in which two contents differ, or null."""
-    x, y = a.cast("binary"), b.cast("binary")
-    n = F.greatest(F.length(x), F.length(y))
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step)))
-    differs = lambda s: F.substring(x, s + 1, F.lit(step)) != F.substring(y, s + 1, F.lit(step))
-    return F.array_min(F.filter(starts, differs))
+    """Offset of the first row of ``step`` bytes in which two contents differ, or null.
+
+    The contents are bound to a variable once; lambdas would evaluate the casts for every row anew.
+    """
+
+    def of(p: Column) -> Column:
+        n = F.greatest(F.length(p["a"]), F.length(p["b"]))
+        starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(step)))
+        differs = lambda s: F.substring(p["a"], s + 1, F.lit(step)) != F.substring(p["b"], s + 1, F.lit(step))
+        return F.array_min(F.filter(starts, differs))
+
+    bound = F.array(F.struct(a.cast("binary").alias("a"), b.cast("binary").alias("b")))
+    return F.element_at(F.transform(bound, of), 1)
 
 
 def chain_offsets(chunks: DataFrame, file: str, ordinal: str, length: str) -> DataFrame:
