@@ -139,6 +139,7 @@ def near_groups(
     longer = sets.select(F.col("doc").alias("rep"), "n", "sketch").join(need, ["rep", "n"])
     listed = scratch.table(_lists(longer, num, den, k_long), "lists")
     roots = _link_lists(scratch, reps, listed, sets, num, den, k)
+    scratch.drop(reps, need, sets, listed)
     out = all_rows.join(classes, sig, "left").select("doc", "n", "rep")
     if roots is not None:
         out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
@@ -230,14 +231,15 @@ def _in_blocks(scratch: Scratch, rest, sets, num: int, den: int, block: int = 40
     """Links (a, b) between components among the documents that the remaining lists hold together.
 
     Documents that meet in lists, directly or by others, form a group; it is cut into blocks of about
-    ``block`` documents, and each pair of blocks is one task's unit, compared on full sets by products
+    ``block`` documents (fewer, if they are long), and each pair of blocks is one task's unit, compared on full sets by products
     of incidence matrices.  A unit's memory does not depend on the group, and only links leave it.
     """
     first = rest.groupBy("v").agg(F.min("rep").alias("a"))
     groups = contract(rest.join(first, "v").select("a", F.col("rep").alias("b")).distinct(), scratch)
     docs = rest.select("rep", "n", "root").distinct().join(groups.withColumnRenamed("node", "rep").withColumnRenamed("root", "grp"), "rep")
     docs = scratch.table(docs, "rest")
-    many = docs.groupBy("grp").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("nb"))
+    load = F.greatest(F.count(F.lit(1)) / block, F.sum("n") / (block * 1000))
+    many = docs.groupBy("grp").agg(F.ceil(load).cast("int").alias("nb"))
     own = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
     units = docs.join(many, "grp").withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     units = units.select("grp", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "rep", "n", "root")

@@ -254,6 +254,7 @@ def mark_repeats(docs: DataFrame, scratch: Scratch, window: int, gram: int, crow
         .agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "first"))), lambda e: e["first"]).alias("firsts"))
     )
     firsts = scratch.table(firsts.unionByName(by_hash), "firsts")
+    scratch.drop(rows, shared, distinct, strings)
     judged = mixed.join(firsts, ["anchor", "content"]).select(
         "o", "th", "start", "wins", F.transform("firsts", lambda f: f < F.col("o")).alias("mask")
     )
