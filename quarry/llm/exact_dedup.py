@@ -20,6 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.plans.columns import named
 from quarry.plans.scratch import Scratch
 
 _KEY = ["_sha", "_check"]
@@ -57,10 +58,10 @@ def tree_merge(
     n_runs = _run_count(docs, runs)
     uid = F.monotonically_increasing_id()
     cols = docs.columns if carry else [id_col]
-    norm = normalised(docs[text_col])
+    norm = normalised(named(docs, text_col))
     source = scratch.table(
         docs.select(
-            *[docs[c].alias(f"c_{c}") for c in cols],
+            *[named(docs, c).alias(f"c_{i}") for i, c in enumerate(cols)],
             uid.alias("_uid"),
             F.unhex(F.sha2(norm, 256)).alias("_sha"),
             F.xxhash64(norm, F.length(norm)).alias("_check"),
@@ -68,7 +69,7 @@ def tree_merge(
         "digests",
     )
     rows = source.select(
-        F.col(f"c_{id_col}").alias("_id"),
+        F.col(f"c_{cols.index(id_col)}").alias("_id"),
         "_uid",
         *_KEY,
         F.pmod(F.xxhash64("_uid"), F.lit(n_runs)).cast("int").alias("_run"),
@@ -113,4 +114,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """The documents that stay, with their own columns and texts unchanged."""
     got = tree_merge(docs, id_col, text_col, carry=True, **kw)
     gone = got.rows.filter(~F.col("kept")).select("_uid")
-    return got.source.join(gone, "_uid", "left_anti").select(*[F.col(f"c_{c}").alias(c) for c in docs.columns])
+    return got.source.join(gone, "_uid", "left_anti").select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(docs.columns)])

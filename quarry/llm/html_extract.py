@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from quarry.llm.html_blocks import DIMS, Block, leaf_blocks, vectors
+from quarry.plans.columns import fresh, map_in_arrow, named
 from quarry.plans.scratch import ship
 
 WEIGHTS = os.path.join(os.path.dirname(os.path.abspath(__file__)), "html_weights.npz")
@@ -112,6 +113,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = N
     ship(spark)
     names = [c for c in (pages.columns if keep is None else keep) if c not in (text_col, html_col if keep is None else None)]
     schema = T.StructType([*[pages.schema[c] for c in names], T.StructField(text_col, T.StringType(), False)])
+    source = fresh("_html", [*names, text_col])
     bc = spark.sparkContext.broadcast(load().w)  # a fixed number of weights
 
     def run(batches):
@@ -119,7 +121,7 @@ def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = N
         for batch in batches:
             for a in range(0, len(batch), 100):
                 part = batch.slice(a, 100)
-                texts = main_texts(model, part.column("_html").to_pylist())
+                texts = main_texts(model, part.column(source).to_pylist())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(texts, pa.string())], names=schema.names)
 
-    return pages.select(*[pages[c] for c in names], pages[html_col].alias("_html")).mapInArrow(run, schema)
+    return map_in_arrow(pages.select(*[named(pages, c) for c in names], named(pages, html_col).alias(source)), run, schema)

@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.words import SPACE, text_slices
+from quarry.plans.columns import fresh, map_in_arrow, named
 from quarry.plans.scratch import Scratch, ship
 
 #: The contract's weights, repeating over the sources in code point order.
@@ -182,12 +183,12 @@ def mix(
     shard_slots: int = 65_536,
     carry: bool = False,
 ) -> tuple[DataFrame, DataFrame, Scratch]:
-    """(rows, pieces): rows with _id, _size, source_size, target, taken and, if asked, all of docs' columns
-    under c_ names; pieces (_pid, _row, turn, a, b): the words a to b of a row that a pass takes."""
+    """(rows, pieces): rows with _id, _size, source_size, target, taken and, if asked, docs' columns
+    as c_0, c_1 and so on; pieces (_pid, _row, turn, a, b): the words a to b of a row that a pass takes."""
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "mix")
     cols = docs.columns if carry else []
-    sized = word_counts(docs.select(docs[id_col].alias("_id"), docs[source_col].cast("string").alias("_source"), docs[text_col].alias("_text"), *[docs[c].alias(f"c_{c}") for c in cols]), "_text").drop("_text")
+    sized = word_counts(docs.select(named(docs, id_col).alias("_id"), named(docs, source_col).cast("string").alias("_source"), named(docs, text_col).alias("_text"), *[named(docs, c).alias(f"c_{i}") for i, c in enumerate(cols)]), "_text").drop("_text")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = sized.repartitionByRange(parts, "_source", "_id", "_size")
     rows = scratch.table(ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "rows")
@@ -243,14 +244,15 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows, pieces, _ = mix(docs, id_col, text_col, carry=True, **kw)
     runs = pieces.groupBy("_pid", "_row", "turn").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_runs"))
     names = docs.columns
-    picked = rows.join(runs, ["_pid", "_row"]).select(*[F.col(f"c_{c}").alias(c) for c in names], F.col("_runs"), F.col("_size"))
+    run_col, size_col = fresh("_runs", names), fresh("_size", names)
+    picked = rows.join(runs, ["_pid", "_row"]).select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(names)], F.col("_runs").alias(run_col), F.col("_size").alias(size_col))
     schema = docs.schema
 
     def cut(batches):
         for batch in batches:
             texts = []
             column = batch.column(text_col)
-            for k, (runs_, size) in enumerate(zip(batch.column("_runs").to_pylist(), batch.column("_size").to_pylist())):
+            for k, (runs_, size) in enumerate(zip(batch.column(run_col).to_pylist(), batch.column(size_col).to_pylist())):
                 merged: list[list[int]] = []
                 for r in runs_:
                     if merged and merged[-1][1] == r["a"]:
@@ -269,5 +271,5 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             new = {text_col: pa.array(texts, pa.string())}
             yield pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in names], names=names)
 
-    out = picked.mapInArrow(cut, schema)
+    out = map_in_arrow(picked, cut, schema)
     return out.withColumn(length_col, F.length(text_col).cast(schema[length_col].dataType)) if length_col in names else out

@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quarry.plans.columns import fresh, map_in_arrow, named
 from quarry.plans.scratch import ship
 
 KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
@@ -107,14 +108,15 @@ def find_secrets(docs: DataFrame, text_col: str = "text", keep: list[str] | None
     """docs' columns in ``keep`` (all, if None) with ``certain`` and ``findings``: arrays of (kind, start, end)."""
     ship(docs.sparkSession)
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("certain", "findings")]
+    source = fresh("_text", names)
     span = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     schema = T.StructType([*[docs.schema[c] for c in names], T.StructField("certain", span), T.StructField("findings", span)])
     arrow = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         for batch in batches:
-            got = [scan(t, reach) for t in batch.column("_text").to_pylist()]
+            got = [scan(t, reach) for t in batch.column(source).to_pylist()]
             cols = [pa.array([[dict(zip(("kind", "start", "end"), p)) for p in g[i]] for g in got], arrow) for i in (0, 1)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], *cols], names=schema.names)
 
-    return docs.select(*[docs[c] for c in names], docs[text_col].alias("_text")).mapInArrow(run, schema)
+    return map_in_arrow(docs.select(*[named(docs, c) for c in names], named(docs, text_col).alias(source)), run, schema)

@@ -29,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.plans.columns import fresh, map_in_arrow, named
 from quarry.plans.scratch import ship
 
 #: Labelled rows that the model is fitted on, at most.
@@ -281,10 +282,11 @@ def held_out(doc_id: Column) -> Column:
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
     """Fit on at most ``sample`` labelled rows outside the held-out fifth."""
-    known = labels.filter(labels[label_col].isNotNull() & labels[id_col].isNotNull() & ~held_out(labels[id_col]))
-    known = known.groupBy(F.col(id_col).alias("_id")).agg(F.max(F.col(label_col).cast("int")).alias("_y"))
+    known = labels.select(named(labels, id_col).alias("_id"), named(labels, label_col).cast("int").alias("_y"))
+    known = known.filter(F.col("_y").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # bounded, so it may be broadcast
-    rows = docs.join(F.broadcast(chosen), docs[id_col] == F.col("_id")).select("_id", docs[text_col].alias("t"), "_y").collect()
+    texts = docs.select(named(docs, id_col).alias("_id"), named(docs, text_col).alias("t"))
+    rows = texts.join(F.broadcast(chosen), "_id").select("_id", "t", "_y").collect()
     rows.sort(key=lambda r: (r["_id"], r["t"] or ""))
     return fit([r["t"] for r in rows], [int(r["_y"] > 0) for r in rows])
 
@@ -295,19 +297,21 @@ def with_score(docs: DataFrame, model: Model, text_col: str = "text", keep: list
     ship(spark)
     names = [c for c in (docs.columns if keep is None else keep) if c != score_col]
     schema = T.StructType([*[docs.schema[c] for c in names], T.StructField(score_col, T.DoubleType())])
+    source = fresh("_text", [*names, score_col])
     bc = spark.sparkContext.broadcast(model)  # lexicon and trees of a bounded sample
 
     def run(batches):
         for batch in batches:
             for a in range(0, len(batch), 200):
                 part = batch.slice(a, 200)
-                score = pa.array(bc.value.score(part.column("_text").to_pylist()), pa.float64())
+                score = pa.array(bc.value.score(part.column(source).to_pylist()), pa.float64())
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], score], names=schema.names)
 
-    return docs.select(*[docs[c] for c in names], docs[text_col].alias("_text")).mapInArrow(run, schema)
+    return map_in_arrow(docs.select(*[named(docs, c) for c in names], named(docs, text_col).alias(source)), run, schema)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, **kw) -> DataFrame:
     """The documents scored under the threshold, with their own columns."""
-    scored = with_score(docs, train(docs, labels, **kw), score_col="_toxicity")
-    return scored.filter(F.col("_toxicity") < threshold).select(*docs.columns)
+    score = fresh("_toxicity", docs.columns)
+    scored = with_score(docs, train(docs, labels, **kw), score_col=score)
+    return scored.filter(F.col(score) < threshold).drop(score)

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.plans.columns import fresh, map_in_arrow, named
 from quarry.plans.scratch import ship
 
 #: (host, path, verdict): the contract's rules.
@@ -78,7 +79,8 @@ def judge_urls(pages: DataFrame, url_col: str = "url", keep: list[str] | None =
     ship(pages.sparkSession)
     added = ["host", "path", "rule", "verdict"]
     names = [c for c in (pages.columns if keep is None else keep) if c not in added]
-    schema = T.StructType([*[pages.schema[c] for c in names], *[T.StructField(c, T.StringType()) for c in ("_url", "host", "path", "rule", "verdict")]])
+    source = fresh("_url", [*names, *added])
+    schema = T.StructType([*[pages.schema[c] for c in names], *[T.StructField(c, T.StringType()) for c in (source, *added)]])
     terms = [(t, (t, None)) for t in strict] + [(t, (t, w)) for t, w in soft.items()]
     lower = str.maketrans(_UPPER, _LOWER)
 
@@ -92,15 +94,14 @@ def judge_urls(pages: DataFrame, url_col: str = "url", keep: list[str] | None =
         for batch in batches:
             verdicts = [
                 v or ("block" if _blocks(automaton, (u or "").translate(lower), limit) else "allow")
-                for u, v in zip(batch.column("_url").to_pylist(), batch.column("verdict").to_pylist())
+                for u, v in zip(batch.column(source).to_pylist(), batch.column("verdict").to_pylist())
             ]
             yield batch.set_column(batch.schema.get_field_index("verdict"), "verdict", pa.array(verdicts, pa.string()))
 
-    url = pages[url_col]
-    parts = pages.select(*[pages[c] for c in names], url.alias("_url"), host_of(url).alias("host"), path_of(url).alias("path"))
-    ruled = parts.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
-    ruled = ruled.select(*names, "_url", "host", "path", F.col("_r.rule").alias("rule"), F.col("_r.verdict").alias("verdict"))
-    return ruled.mapInArrow(run, schema).drop("_url")
+    url = named(pages, url_col)
+    parts = pages.select(*[named(pages, c) for c in names], url.alias(source), host_of(url).alias("host"), path_of(url).alias("path"))
+    fit = rule_of(F.col("host"), F.col("path"), rules)
+    return map_in_arrow(parts.withColumns({"rule": fit["rule"], "verdict": fit["verdict"]}), run, schema).drop(source)
 
 
 def oracle_sql(rules=RULES, strict=STRICT, soft=SOFT, limit: int = LIMIT) -> str:

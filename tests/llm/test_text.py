@@ -358,3 +358,27 @@ def test_html_of_odd_tables(spark):
     got = {r["page_id"]: r["text"] for r in html_extract.extract(df).collect()}
     assert got[1] == got[2] == "" and len(got[4].split()) >= 11_000
     assert html_extract.extract(df.limit(0)).count() == 0
+
+
+# --- columns that clash ---------------------------------------------------------------------------
+
+
+def test_extra_columns_of_any_name(spark, codec):
+    """Operators keep extra columns whose names hold dots or equal the ones they use inside."""
+    from quarry.llm import exact_dedup, near_dedup, url_filter
+
+    names = ["doc_id", "text", "source", "n_chars", "a.b", "_text", "_id", "_uid", "_sha", "c_0", "_runs", "_size", "_gone", "_toxicity", "score", "_url", "_html", "doc", "n"]
+    kinds = ["long", "string", "string", "long"] + ["string"] * (len(names) - 4)
+    schema = ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds))
+    rows = [(i, f"some text number {i} of a few words blarg zonk" if i % 5 else "clean words only here today", "s", 5, *["x"] * (len(names) - 4)) for i in range(1, 30)]
+    docs = spark.createDataFrame(rows, schema)
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(1, 30)], "doc_id long, toxic int")
+    assert bpe.with_tokens(docs, codec).count() == 29
+    assert secrets.find_secrets(docs).columns[: len(names)] == names
+    assert toxicity.drop_toxic(docs, labels).columns == names
+    assert exact_dedup.drop_exact_copies(docs).columns == names and exact_dedup.drop_exact_copies(docs).count() == 25
+    assert near_dedup.keep_one_of_each(docs).columns == names
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == names and {r["a.b"] for r in mixed.select("`a.b`").collect()} == {"x"}
+    pages = docs.withColumnRenamed("text", "html").withColumnRenamed("source", "url")
+    assert html_extract.extract(pages).count() == url_filter.judge_urls(pages).count() == 29
