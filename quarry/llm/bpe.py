@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from quarry.plans.columns import fresh, map_in_arrow, named
 from quarry.plans.scratch import ship
 
 _MASK = (1 << 64) - 1
@@ -246,6 +247,7 @@ def with_tokens(
     added = ["token_ids", "decoded"] if decoded else ["token_ids"]
     names = [c for c in (docs.columns if keep is None else keep) if c not in added]
     fields = [docs.schema[c] for c in names]
+    source = fresh("_text", names)
     schema = T.StructType([*fields, T.StructField("token_ids", T.ArrayType(T.IntegerType(), False), False)])
     if decoded:
         schema = schema.add("decoded", T.BinaryType(), False)
@@ -255,7 +257,7 @@ def with_tokens(
     def run(batches):
         memo = _worker_memo(key, bc)
         for batch in batches:
-            texts = [t or "" for t in batch.column("_text").to_pylist()]
+            texts = [t or "" for t in batch.column(source).to_pylist()]
             for a, b in _slices(texts, 2_000_000):
                 ids, cuts = encode_texts(memo, texts[a:b])
                 flat = pa.array(ids, pa.int32())
@@ -265,7 +267,7 @@ def with_tokens(
                     cols.append(memo.codec.decode_flat(flat, cuts).cast(pa.binary()))
                 yield pa.RecordBatch.from_arrays(cols, names=[*names, *added])
 
-    return docs.select(*[docs[c] for c in names], docs[text_col].alias("_text")).mapInArrow(run, schema)
+    return map_in_arrow(docs.select(*[named(docs, c) for c in names], named(docs, text_col).alias(source)), run, schema)
 
 
 def decode(df: DataFrame, codec: BytePairCodec, ids_col: str = "token_ids", keep: list[str] | None = None) -> DataFrame:
@@ -274,16 +276,17 @@ def decode(df: DataFrame, codec: BytePairCodec, ids_col: str = "token_ids", keep
     ship(spark)
     names = [c for c in (df.columns if keep is None else keep) if c != "decoded"]
     schema = T.StructType([*[df.schema[c] for c in names], T.StructField("decoded", T.BinaryType(), False)])
+    source = fresh("_ids", names)
     key = codec.key
     bc = spark.sparkContext.broadcast(codec.parts())
 
     def run(batches):
         own = _worker_memo(key, bc).codec
         for batch in batches:
-            lists = batch.column("_ids")
+            lists = batch.column(source)
             lens = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], np.int64)
             cuts = np.concatenate([[0], np.cumsum(lens)])
             got = own.decode_flat(lists.flatten().cast(pa.int64()), cuts).cast(pa.binary())
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], got], names=[*names, "decoded"])
 
-    return df.select(*[df[c] for c in names], df[ids_col].alias("_ids")).mapInArrow(run, schema)
+    return map_in_arrow(df.select(*[named(df, c) for c in names], named(df, ids_col).alias(source)), run, schema)
