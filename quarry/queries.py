@@ -709,7 +709,7 @@ def _(spark, d):
 
 @query(
     "session_counters",
-    _CHANGES + """SELECT 0 AS directories, count(*) AS files, count(*) FILTER (change = 'same') AS unchanged, count(*) FILTER (change <> 'same') AS different,
+    _CHANGES + """SELECT CAST(0 AS BIGINT) AS directories, count(*) AS files, count(*) FILTER (change = 'same') AS unchanged, count(*) FILTER (change <> 'same') AS different,
     CAST(sum(size) FILTER (change <> 'same') AS BIGINT) AS read_bytes, CAST(sum(size // 2) AS BIGINT) AS write_bytes,
     (sum(size) FILTER (change <> 'same') - sum(size // 2)) * 100.0::DOUBLE / sum(size) FILTER (change <> 'same') AS compression FROM ch""",
 )
