@@ -5,8 +5,9 @@ term's least and largest value there; shifted by its least value it is never neg
 scores are.  Terms are ordered by bound.  A threshold comes from fully scoring the documents that lead
 on the first few terms.  The essential terms are the shortest prefix without which no document
 could reach the threshold: their postings are traversed for all documents of the shard.  The others
-are probed a few at a time, only for documents whose partial score plus the remaining bounds still
-reaches the threshold.  Every shard returns its k best for every query; shards are merged by rank.
+are probed a few at a time while documents' partial scores plus the remaining bounds still reach the
+threshold: by whole postings while many are competitive, as in dense vectors, and then only for the
+few that are left.  Every shard returns its k best for every query; shards are merged by rank.
 
 Shards and query blocks have a bounded number of rows, dealt by hash; a unit of work is one shard
 and one query block.  No bound is approximate, so results are exact; ties go to the smaller id.
@@ -26,8 +27,12 @@ from pyspark.sql import functions as F
 
 from quarry.plans.scratch import Scratch, ship
 
-#: Terms that seed the threshold, and that are probed at a time.
+#: Terms that seed the threshold at least (else half of them), and that are probed at a time.
 LEAD, PROBE = 8, 8
+#: Queries whose essential prefixes are of similar length and are traversed together.
+GROUP = 256
+#: Share of competitive rows below which they are gathered for probing; above it, whole postings cost less.
+GATHER = 0.02
 
 
 def integer_vectors(rows: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -43,41 +48,72 @@ class Shard:
 
     def __init__(self, ids: np.ndarray, values: np.ndarray):
         order = np.argsort(ids, kind="stable")
-        self.ids, self.values = ids[order], np.asfortranarray(values[order])
+        self.ids, self.values = ids[order], values[order]
         self.low, self.high = values.min(axis=0), values.max(axis=0)
 
-    def top(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, scores) of the k best for this query, best first, its own id left out."""
-        one, two = query * self.low, query * self.high
+    def top(self, own: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row, score) of the k best rows of each query, queries in order and best rows first.
+
+        Terms are ordered by their mean bound over the queries, so that a block of queries shares its
+        prefixes; each query's own bounds decide what is essential and what is probed.
+        """
+        one, two = queries * self.low, queries * self.high
         low = np.minimum(one, two)
         bound = np.maximum(one, two) - low
-        order = np.argsort(-bound, kind="stable")
-        rest = np.concatenate([np.cumsum(bound[order][::-1])[::-1], [0.0]])  # bounds from a term on
-        floor = np.concatenate([np.cumsum(low[order][::-1])[::-1], [0.0]])  # least contributions from a term on
-        rows = np.flatnonzero(self.ids != own)
-        if not len(rows):
-            return self.ids[:0], np.zeros(0)
-        lead = order[:LEAD]
-        partial = self.values[:, lead] @ query[lead]
-        threshold = -np.inf
-        if len(rows) > k:
-            best = rows[np.argpartition(-partial[rows], k - 1)[:k]]
-            threshold = (self.values[best] @ query).min()
-        essential = int(np.searchsorted(-(floor[0] + rest), -threshold, "right")) if threshold > -np.inf else len(order)
-        essential = min(max(essential, len(lead)), len(order))
-        more = order[len(lead) : essential]
-        partial = partial + self.values[:, more] @ query[more]
-        at = essential
-        rows = rows[partial[rows] + floor[at] + rest[at] >= threshold]
-        score = partial[rows]
-        while at < len(order) and len(rows):
-            terms = order[at : at + PROBE]
-            score = score + self.values[np.ix_(rows, terms)] @ query[terms]
-            at += len(terms)
-            alive = score + floor[at] + rest[at] >= threshold
-            rows, score = rows[alive], score[alive]
-        pick = np.lexsort((self.ids[rows], -score))[:k]
-        return self.ids[rows[pick]], score[pick]
+        order = np.argsort(-bound.mean(axis=0), kind="stable")
+        values, asked = np.asfortranarray(self.values[:, order]), queries[:, order]
+        behind = lambda x: np.concatenate([np.cumsum(x[:, order][:, ::-1], axis=1)[:, ::-1], np.zeros((len(x), 1))], axis=1)
+        most = behind(low) + behind(bound)  # what the terms from a place on can add at most
+        first, last = np.searchsorted(self.ids, own, "left"), np.searchsorted(self.ids, own, "right")
+        threshold = self._thresholds(values, asked, first, last, k)
+        # without the terms from a query's essential ones on, no row reaches its threshold
+        essential = np.minimum((behind(low)[:, :1] + behind(bound) >= threshold[:, None]).sum(axis=1), values.shape[1])
+        essential = np.maximum(essential, min(LEAD, values.shape[1]))
+        found = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        by_length = np.argsort(essential, kind="stable")
+        for a in range(0, len(own), GROUP):
+            group = by_length[a : a + GROUP]
+            at = int(essential[group].max())
+            partial = values[:, :at] @ asked[group, :at].T
+            for c, q in enumerate(group):
+                partial[first[q] : last[q], c] = -np.inf
+            alive = partial >= threshold[group] - most[group, at]
+            while at < values.shape[1] and np.count_nonzero(alive) > GATHER * alive.size:
+                to = min(at + PROBE, values.shape[1])
+                partial += values[:, at:to] @ asked[group, at:to].T
+                at = to
+                alive = partial >= threshold[group] - most[group, at]
+            rows, cols = np.nonzero(alive & (partial > -np.inf))
+            score, cols = partial[rows, cols], group[cols]
+            while at < values.shape[1] and len(rows):
+                to = min(at + PROBE, values.shape[1])
+                score = score + np.einsum("ij,ij->i", self.values[rows][:, order[at:to]], asked[cols, at:to])
+                at = to
+                keep = score + most[cols, at] >= threshold[cols]
+                rows, cols, score = rows[keep], cols[keep], score[keep]
+            found = [np.concatenate([x, y]) for x, y in zip(found, (cols, rows, score))]
+        cols, rows, score = found
+        best = np.lexsort((rows, -score, cols))  # rows are in order of id
+        cols, rows, score = cols[best], rows[best], score[best]
+        place = np.arange(len(cols)) - np.searchsorted(cols, cols, "left")
+        return cols[place < k], rows[place < k], score[place < k]
+
+    def _thresholds(self, values, asked, first, last, k: int) -> np.ndarray:
+        """For each query the least score among the k rows that lead on the first few terms."""
+        lead = min(max(LEAD, values.shape[1] // 2), values.shape[1])
+        out = np.full(len(asked), -np.inf)
+        for a in range(0, len(asked), GROUP):
+            part = slice(a, a + GROUP)
+            partial = values[:, :lead] @ asked[part, :lead].T
+            for c, q in enumerate(range(a, min(a + GROUP, len(asked)))):
+                partial[first[q] : last[q], c] = -np.inf
+            if len(values) <= k:
+                continue
+            rows = np.argpartition(-partial, k - 1, axis=0)[:k]
+            full = np.einsum("kqt,qt->kq", values[rows], asked[part])
+            full[np.isinf(np.take_along_axis(partial, rows, axis=0))] = -np.inf
+            out[part] = full.min(axis=0)
+        return out
 
 
 def search(
@@ -114,17 +150,14 @@ def search(
         dense[np.arange(dense.shape[1]) < lens[:, None]] = lists.flatten().to_numpy(zero_copy_only=False)
         if np.abs(dense).max(initial=0) > 2**24 or (np.abs(dense).max(initial=0) ** 2) * width > 2**53:
             raise ValueError("components are too large for exact sums")
-        out_q, out_r, out_i, out_s = [], [], [], []
-        if (~is_query).any():
-            shard = Shard(ids[~is_query], dense[~is_query])
-            for own, vector in zip(ids[is_query], dense[is_query]):
-                found, score = shard.top(own, vector, k)
-                out_q.append(np.full(len(found), own))
-                out_i.append(found)
-                out_s.append(score)
-        cat = lambda x, kind: pa.array(np.concatenate(x) if x else np.zeros(0), kind)
-        return pa.table({"query_id": cat(out_q, pa.int64()), "id": cat(out_i, pa.int64()), "score": cat([s.astype(np.int64) for s in out_s], pa.int64())})
-
+        asking = ids[is_query]
+        if not len(asking) or is_query.all():
+            return empty
+        shard = Shard(ids[~is_query], dense[~is_query])
+        cols, rows_, score = shard.top(asking, dense[is_query], k)
+        return pa.table({"query_id": asking[cols], "id": shard.ids[rows_], "score": score.astype(np.int64)}, schema=empty.schema)
+
+    empty = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.int64())]).empty_table()
     best = candidates.unionByName(queries).groupBy("shard", "block").applyInArrow(unit, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
