@@ -54,11 +54,9 @@ def children(nodes: DataFrame, path: str) -> DataFrame:
     """
     path = "/".join(s for s in path.split("/") if s not in ("", "."))
     parent, _, last = path.rpartition("/")
-    inside = nodes.filter(F.col("parent") == path)
-    exact = nodes.filter((F.col("path") == path) & F.col("is_dir")).select(F.lit(True).alias("_found")).limit(1)
-    matched = nodes.filter((F.col("parent") == parent) & F.col("name").rlike(glob_regex(last)))
-    fallback = matched.join(exact, F.lit(True), "left_anti")
-    return inside.unionByName(fallback)
+    if nodes.filter((F.col("path") == path) & F.col("is_dir")).isEmpty():
+        return nodes.filter((F.col("parent") == parent) & F.col("name").rlike(glob_regex(last)))
+    return nodes.filter(F.col("parent") == path)
 
 
 def glob_list(nodes: DataFrame, pattern: str) -> DataFrame:
