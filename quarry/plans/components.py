@@ -11,36 +11,37 @@ from quarry.plans.scratch import Scratch
 def contract(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, root): root is the smallest node reachable over links (a, b); only linked nodes appear.
 
-    Every node points to its smallest neighbour or itself, pointers are followed twice, links are
-    moved to the roots and loops vanish.  Links among roots shrink at least by half in each round;
-    a star, however large, is done in one.  The sums of a hub's neighbours are combined before the
-    shuffle, and the lookups are plain equi-joins that adaptive execution can split.
+    Every node points to its smallest neighbour or itself.  Pointers are doubled until all point to the
+    ends of their chains (a star needs one look, a chain of n links log n), links are moved to these
+    ends, and loops vanish.  Every end that still has links loses at least itself or its neighbour in
+    the next round, so ends at least halve.  A hub's neighbours are combined before the shuffle, and
+    lookups are plain equi-joins that adaptive execution can split.
     """
     edges = scratch.table(links.select("a", "b").filter("a <> b").distinct(), "edges")
     roots = None
     while not edges.isEmpty():
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         up = scratch.table(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), "up")
-        hop = lambda d, c: (
-            d.withColumnRenamed(c, "_at")
-            .join(up.select(F.col("a").alias("_at"), F.col("p").alias("_to")), "_at", "left")
-            .withColumn(c, F.coalesce("_to", "_at"))
-            .drop("_at", "_to")
-        )
-        jump = scratch.table(hop(hop(up, "p"), "p").select("a", "p"), "jump")
+        jump, moving = up, True
+        while moving:
+            far = jump.select(F.col("a").alias("_at"), F.col("p").alias("_to"))
+            ahead = jump.join(far, F.col("p") == F.col("_at"), "left").select("a", F.coalesce("_to", "p").alias("p"), (F.col("_to") < F.col("p")).alias("moved"))
+            ahead = scratch.table(ahead, "jump")
+            moving = not ahead.filter("moved").isEmpty()
+            scratch.drop(jump)
+            jump = ahead
         to = jump.select(F.col("a").alias("_at"), F.col("p").alias("_to"))
         moved = jump.select(F.col("a").alias("node"), F.col("p").alias("root"))
         if roots is not None:
-            old = roots.join(to, F.col("root") == F.col("_at"), "left").select("node", F.coalesce("_to", "root").alias("root"))
-            new = moved.join(old.select("node"), "node", "left_anti")
-            moved = old.unionByName(new)
+            # later rounds' nodes are earlier rounds' roots
+            moved = roots.join(to, F.col("root") == F.col("_at"), "left").select("node", F.coalesce("_to", "root").alias("root"))
         before, roots = roots, scratch.table(moved, "roots")
         ends = edges.join(to, F.col("a") == F.col("_at")).select(F.col("_to").alias("a"), "b")
         ends = ends.join(to, F.col("b") == F.col("_at")).select("a", F.col("_to").alias("b"))
         done, edges = edges, scratch.table(
             ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges"
         )
-        scratch.drop(done, up, jump, *([] if before is None else [before]))
+        scratch.drop(done, jump, *([] if before is None else [before]))
     if roots is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
     return roots

@@ -48,7 +48,7 @@ def test_compaction_limits(spark):
 
 def test_components_against_union_find(spark):
     rng = random.Random(3)
-    pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(0, i) for i in range(300, 400)] + [(i, i + 1) for i in range(500, 520)]
+    pairs = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(0, i) for i in range(300, 400)] + [(i, i + 1) for i in range(500, 900)] + [(i, i - 2) for i in range(2000, 1500, -2)]
     parent = {}
 
     def find(x):
