@@ -183,7 +183,8 @@ def _stretch_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame
                     names=["anchor", "content", "o", "crowded", "items"],
                 )
 
-    return docs.select("o", "th", "text").join(lists, ["o", "th"]).select("o", "text", "parts").mapInArrow(run, schema)
+    once = docs.select("o", "th", "text").join(lists, ["o", "th"]).dropDuplicates(["o", "th"])  # repeated rows name a stretch once
+    return once.select("o", "text", "parts").mapInArrow(run, schema)
 
 
 def _automata(strings: DataFrame, window: int) -> DataFrame:

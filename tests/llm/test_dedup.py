@@ -145,6 +145,21 @@ def test_passages_of_odd_tables(spark, docs_of):
     assert got == [("2", 0, 0), ("5", 60, 0), ("5", 60, 0), ("9", 61, 60), ("None", 60, 60)]
 
 
+@pytest.mark.parametrize("crowd", [400, 1])
+def test_passages_of_repeated_rows_in_crowds(spark, docs_of, crowd):
+    """Repeated rows and rows of null id among differently surrounded lines; each row is judged as if it stood once."""
+    rng = random.Random(11)
+    line = prose(rng, 70)
+    rows = [(k, " ".join(prose(rng, rng.randrange(1, 20)) + line[rng.randrange(8) :] + prose(rng, 20))) for k in range(30)]
+    null = 10**6  # null ids count as larger than all others
+    rows.append((null, " ".join(prose(rng, 9) + line + prose(rng, 9))))
+    want = passages_brute(rows)
+    assert any(0 < r < n for n, r, _ in want.values())
+    table = [(None if i == null else i, t) for i, t in rows for _ in range(3 if i % 4 == 0 else 1)]
+    got = [(r["doc_id"], (r["n_words"], r["n_removed"], r["kept_text"])) for r in substring_dedup.remove_repeats(docs_of(table), crowd=crowd).collect()]
+    assert sorted(got, key=str) == sorted(((i, want[null if i is None else i]) for i, _ in table), key=str)
+
+
 def test_passage_query_against_brute_force(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want = {i: (n, r, hashlib.sha256(t.encode()).hexdigest()) for i, (n, r, t) in passages_brute(rows).items()}
