@@ -7,7 +7,9 @@ Certain findings, always reported (leftmost, non-overlapping, per kind):
 
 Weak candidates say little alone: an identifier (a user, client, account or key id assignment), a
 secret (a value under a weak name such as pwd, key or auth, or a mixed token of 20 characters or
-more) and an endpoint (a URL, a host:port, a bucket or host assignment).  They are parts of one
+more) and an endpoint (a URL, a host:port, a bucket or host assignment).  Names may have a prefix that
+ends with an underscore, a hyphen or a change to upper case (DB_USER, dbUser; not PGUSER or monkey);
+spans begin at the name, as those of certain findings do.  Weak candidates are parts of one
 credential if they stand together: within a scope (stretches of text between blank lines), parts
 whose gaps are at most ``reach`` code points are interval-joined in one sweep, and a cluster
 is reported if it holds a secret and an identifier or endpoint.  Certain findings count as parts
@@ -35,14 +37,23 @@ CERTAIN = KINDS[:3]
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")  # a maximal run, so shorter matches drop out
 _HEX = re.compile(r"[0-9a-f]{24,}")
+#: A weak name begins a word, follows an underscore (DB_USER) or is a capitalised part of one (dbUser).
+_BEGIN = r"(?:(?<![A-Za-z0-9])|(?-i:(?<=[a-z0-9])(?=[A-Z])))"
 _IDENTIFIER = re.compile(
-    r"""\b(?:user(?:name)?|login|client_?id|account(?:_?id)?|access_?key(?:_?id)?|key_?id|tenant(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""",
+    _BEGIN
+    + r"""(?:user(?:name)?|login|client_?id|account(?:_?id)?|(?<!secret)(?<!secret_)access_?key|access_?key_?id|key_?id|tenant(?:_?id)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9@._-]{3,}""",
+    re.I | re.A,
+)
+_WEAK_SECRET = re.compile(
+    _BEGIN
+    + r"""(?:pwd|pass|auth|credential|private_?key|secret_?access_?key|(?<!access)(?<!access_)key|sig(?:nature)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""",
     re.I | re.A,
 )
-_WEAK_SECRET = re.compile(r"""\b(?:pwd|pass|auth|credential|private_?key|key|sig(?:nature)?)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{6,}""", re.I | re.A)
 _MIXED = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _ENDPOINT = re.compile(
-    r"""\b(?:[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+|(?:host|endpoint|server|bucket|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{3,}|(?:\d{1,3}\.){3}\d{1,3}:\d{2,5})""",
+    r"""(?<![A-Za-z0-9])(?:[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]+|(?:\d{1,3}\.){3}\d{1,3}:\d{2,5})|"""
+    + _BEGIN
+    + r"""(?:host|endpoint|server|bucket|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{3,}""",
     re.I | re.A,
 )
 _SCOPE = re.compile(r"\n[ \t]*\n")

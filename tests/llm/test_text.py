@@ -114,6 +114,21 @@ def test_parts_are_reported_only_together():
     assert [p[0] for p in certain] == ["assign"] and [p[0] for p in every] == ["assign", "endpoint"]
 
 
+def test_parts_of_prefixed_names():
+    def parts(text):
+        return [(k, text[a:b]) for k, a, b in secrets.scan(text)[1]]
+
+    env = "DB_USER=svcadmin\nDB_PASS=hunter22\nDB_HOST=db.example.com"
+    assert parts(env) == [("identifier", "USER=svcadmin"), ("secret", "PASS=hunter22"), ("endpoint", "HOST=db.example.com")]
+    assert parts("db_pwd: abcdef99 user: bob") == [("secret", "pwd: abcdef99"), ("identifier", "user: bob")]
+    assert parts("client_key=abcdefgh account_id=12345") == [("secret", "key=abcdefgh"), ("identifier", "account_id=12345")]
+    assert parts('{"dbUser": "bob", "dbPass": "hunter22"}') == [("identifier", 'User": "bob'), ("secret", 'Pass": "hunter22')]
+    aws = "aws_access_key_id=abcd1234\naws_secret_access_key=wxyz6789"
+    assert parts(aws) == [("identifier", "access_key_id=abcd1234"), ("secret", "secret_access_key=wxyz6789")]
+    for alone in ("monkey=bananas user: bob", "my_access_key=abcdefgh", "accessKey=abcdefgh", "aws_secret_access_key=wxyz6789"):
+        assert parts(alone) == []
+
+
 def test_secrets_of_odd_tables(spark, docs_of):
     got = {r["doc_id"]: r for r in secrets.find_secrets(docs_of([(1, None), (2, ""), (3, "é" * 50_000 + " token=abcdef")])).collect()}
     assert got[1]["findings"] == got[2]["findings"] == [] and got[3]["findings"][0]["start"] == 50_001
