@@ -50,7 +50,7 @@ def _names(attributes: str) -> tuple[str, ...]:
     found = []
     for m in _NAMES.finditer(attributes):
         found += _NAME_WORD.findall((m[2] or m[3] or m[4] or "").lower())
-    return tuple(found[:8])
+    return tuple(found)
 
 
 def leaf_blocks(page: str | None) -> list[Block]:

@@ -114,6 +114,12 @@ def test_parts_are_reported_only_together():
     assert [p[0] for p in certain] == ["assign"] and [p[0] for p in every] == ["assign", "endpoint"]
 
 
+def test_every_name_word_reaches_the_path():
+    many = [f"u{c}" for c in "abcdefghijkl"]
+    page = f'<div class="{" ".join(many)} sidebar" id="x" role="complementary"><p>text</p></div>'
+    assert html_blocks.leaf_blocks(page)[0].path == ("div", *["." + w for w in many], ".sidebar", ".x", ".complementary", "p")
+
+
 def test_parts_of_prefixed_names():
     def parts(text):
         return [(k, text[a:b]) for k, a, b in secrets.scan(text)[1]]
