@@ -1,10 +1,10 @@
-"""Exact duplicate removal by a tree-merge of sorted digest runs (DataFrame operators only).
+"""Exact duplicate removal by a tree of grouped digest runs (DataFrame operators only).
 
-Rows are dealt evenly into numbered runs, whatever their ids or texts.  Each run holds, sorted by
-digest, one record per distinct text with its smallest identifier.  In every round, groups of
-``fan_in`` neighbouring runs (log2(fan_in) binomial rounds in one exchange) are merged: records of
-equal digest and equal verification hash become one that retains the smallest identifier and the
-summed count.  After log(runs)/log(fan_in) rounds one run is left, spread over all tasks by
+Rows are dealt evenly into numbered runs, whatever their ids or texts.  Each run holds, in
+no order, one record per distinct text with its smallest identifier.  In every round, the records of
+``fan_in`` neighbouring runs (log2(fan_in) binomial rounds in one exchange) are shuffled by run, digest
+and verification hash and grouped: equal ones become one that retains the smallest identifier and the
+summed count.  No run is kept sorted or merged as a stream, since the last would be one task's.  After log(runs)/log(fan_in) rounds one run is left, spread over all tasks by
 digest.  The outcome is handed back down the same tree, so that a text holding a third of all rows
 is looked up by (run, digest) and never gathers in one task.
 
