@@ -1,7 +1,7 @@
 """Near-duplicate documents by bottom-k sketches, inverted lists, estimation and exact Jaccard.
 
 1. Each text's shingle set is hashed by one function; the ``k`` smallest hashes are its sketch.
-   Texts with equal sets form one class, represented by its smallest id.
+   Texts with equal sets form one class, represented by the row with its smallest id.
 2. Inverted lists of the retained values: of each representative only a prefix of its values,
    rarest first, is listed.  Two sketches that overlap in t values or more share one of the
    (size - t + 1) rarest of each, so values retained by one text alone and, for most texts, those
@@ -16,10 +16,14 @@
    their members are compared in blocks, on full sets, without a row for each pair.
 4. Pairs pass an estimate on the union sketch, then the exact test on full sets.
 
+Rows are numbered once, in a table that is written, and all steps go by these numbers; ids only name
+components.
+
 Defined results: null and empty texts have n_shingles 0 and are linked with nothing; rows of one id
-are judged by their own texts; rows of equal sets (ties, repeated rows) are linked; null ids get
-the component of their text but never name one; an empty table gives an empty result; other columns
-are ignored.
+are judged by their own texts; rows of equal sets (ties, repeated rows) are linked; a component is named
+by its smallest id and keeps its rows of that id; null ids get the component of their text but never
+name one, and a component of null ids alone has a null name and keeps one row; an empty table gives
+an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,6 +36,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quarry.llm.words import shingle_sets, split_words, text_slices
+from quarry.plans.columns import named
 from quarry.plans.components import contract
 from quarry.plans.scratch import Scratch, ship
 
@@ -40,10 +45,11 @@ REST_PER_ROW = 4
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
-    """(doc, n, s1, s2, sketch): distinct shingles, 128-bit signature of the set, k smallest hashes."""
+    """(_uid, doc, n, s1, s2, sketch): distinct shingles, 128-bit signature of the set, k smallest hashes."""
     ship(docs.sparkSession)
     schema = T.StructType(
         [
+            T.StructField("_uid", T.LongType()),
             T.StructField("doc", docs.schema[id_col].dataType),
             T.StructField("n", T.LongType()),
             T.StructField("s1", T.LongType()),
@@ -65,17 +71,17 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) ->
                     cuts.append(cuts[-1] + len(low[-1]))
                 flat = pa.array(np.concatenate(low), pa.int64())
                 lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), flat)
-                ids = batch.column("doc").slice(a, b - a)
-                cols = [ids, pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists]
+                ids = [batch.column(c).slice(a, b - a) for c in ("_uid", "doc")]
+                cols = [*ids, pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), lists]
                 yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
-    return docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text")).mapInArrow(run, schema)
+    return docs.select("_uid", docs[id_col].alias("doc"), docs[text_col].alias("text")).mapInArrow(run, schema)
 
 
-def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
-    """(doc, n, sketch, items): items are the sorted distinct shingle hashes as packed 64-bit integers."""
-    names = ["doc", "n", "sketch", "items"]
-    types = [docs.schema[id_col].dataType, T.LongType(), T.ArrayType(T.LongType()), T.BinaryType()]
+def full_sets(docs: DataFrame, text_col: str, width: int, k: int) -> DataFrame:
+    """(rep, n, sketch, items) of each row (_uid, text): items are the sorted distinct shingle hashes as packed 64-bit integers."""
+    names = ["rep", "n", "sketch", "items"]
+    types = [T.LongType(), T.LongType(), T.ArrayType(T.LongType()), T.BinaryType()]
     schema = T.StructType([T.StructField(c, t) for c, t in zip(names, types)])
 
     def run(batches):
@@ -87,9 +93,9 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(low), pa.int64()))
                 n = pa.array([len(s) for s in sets], pa.int64())
                 packed = pa.array([s.tobytes() for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([batch.column("doc").slice(a, b - a), n, lists, packed], names=names)
+                yield pa.RecordBatch.from_arrays([batch.column("_uid").slice(a, b - a), n, lists, packed], names=names)
 
-    return docs.select(docs[id_col].alias("doc"), docs[text_col].alias("text")).mapInArrow(run, schema).dropDuplicates(["doc", "n"])
+    return docs.select("_uid", docs[text_col].alias("text")).mapInArrow(run, schema)
 
 
 def _similar(pairs: DataFrame, num: int, den: int) -> DataFrame:
@@ -109,48 +115,67 @@ def _similar(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def near_groups(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
+    """One row per document: id, n_shingles, component_id, kept."""
+    scratch = Scratch(docs.sparkSession, "near")
+    source, cols = _numbered(docs, [id_col, text_col], scratch)
+    rows = _judged(source, cols[id_col], cols[text_col], scratch, **kw)
+    scratch.drop(source)
+    return rows.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
+
+
+def _numbered(docs: DataFrame, names: list[str], scratch: Scratch) -> tuple[DataFrame, dict[str, str]]:
+    """These columns with a row number _uid, written once, and what the columns are called there."""
+    cols = {c: f"c_{i}" for i, c in enumerate(names)}
+    rows = docs.select(*[named(docs, c).alias(x) for c, x in cols.items()], F.monotonically_increasing_id().alias("_uid"))
+    return scratch.table(rows, "rows"), cols
+
+
+def _judged(
+    source: DataFrame,
+    id_col: str,
+    text_col: str,
+    scratch: Scratch,
     width: int = 5,
     num: int = 75,
     den: int = 100,
     k: int = 64,
     k_long: int = 1024,
 ) -> DataFrame:
-    """One row per document: id, n_shingles, component_id, kept."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "near")
-    all_rows = scratch.table(sketches(docs, id_col, text_col, width, k), "sketches")
+    """(_uid, doc, n, component_id, kept) of each numbered row."""
+    all_rows = scratch.table(sketches(source, id_col, text_col, width, k), "sketches")
     sig = ["s1", "s2", "n"]
+    least = F.struct(F.col("doc").isNull().alias("nul"), F.col("doc").alias("id"), F.col("_uid").alias("uid"))
     classes = scratch.table(
-        all_rows.filter("n > 0").groupBy(*sig).agg(F.min("doc").alias("rep")), "classes"
+        all_rows.filter("n > 0").groupBy(*sig).agg(F.min(least).alias("least")).withColumn("rep", F.col("least.uid")), "classes"
     )
     reps = scratch.table(
-        all_rows.withColumnRenamed("doc", "rep").join(classes, ["rep", *sig]).select("rep", "n", "sketch").dropDuplicates(["rep", "n"]),
-        "reps",
+        all_rows.select(F.col("_uid").alias("rep"), "n", "sketch").join(classes.select("rep"), "rep"), "reps"
     )
     need = scratch.table(_lists(reps, num, den, k).select("rep", "n").distinct(), "listed")
-    ids = need.select(F.col("rep").alias("_rep")).distinct()
-    sets = scratch.table(
-        full_sets(docs.join(ids, docs[id_col] == ids["_rep"], "left_semi"), id_col, text_col, width, k_long), "sets"
-    )
-    longer = sets.select(F.col("doc").alias("rep"), "n", "sketch").join(need, ["rep", "n"])
+    ids = need.select(F.col("rep").alias("_uid"))
+    sets = scratch.table(full_sets(source.join(ids, "_uid", "left_semi"), text_col, width, k_long), "sets")
+    longer = sets.select("rep", "n", "sketch").join(need, ["rep", "n"])
     listed = scratch.table(_lists(longer, num, den, k_long), "lists")
     roots = _link_lists(scratch, reps, listed, sets, num, den, k)
     scratch.drop(reps, need, sets, listed)
-    out = all_rows.join(classes, sig, "left").select("doc", "n", "rep")
+    name = F.col("least")
     if roots is not None:
-        out = out.join(roots.withColumnRenamed("node", "rep"), "rep", "left")
-    else:
-        out = out.withColumn("root", F.col("rep"))
-    component = F.coalesce("root", "rep", "doc")
+        linked = scratch.table(roots.withColumnRenamed("node", "rep").join(classes.select("rep", "least"), "rep"), "linked")
+        names = linked.groupBy("root").agg(F.min("least").alias("name"))
+        classes = classes.join(linked.select("rep", "root").join(names, "root").select("rep", "name"), "rep", "left")
+        name = F.coalesce("name", "least")
+    out = all_rows.select("_uid", "doc", *sig).join(classes.select(*sig, name.alias("name")), sig, "left")
+    # without shingles a row is its own component; null ids alone keep the row with the smallest number
     return out.select(
-        F.col("doc").alias(id_col),
-        F.col("n").alias("n_shingles"),
-        component.alias("component_id"),
-        F.coalesce(F.col("doc") == component, F.lit(False)).alias("kept"),
+        "_uid",
+        "doc",
+        "n",
+        F.when(F.col("name").isNull(), F.col("doc")).otherwise(F.col("name.id")).alias("component_id"),
+        F.when(F.col("name").isNull(), F.lit(True))
+        .when(F.col("name.nul"), F.col("name.uid") == F.col("_uid"))
+        .otherwise(F.coalesce(F.col("doc") == F.col("name.id"), F.lit(False)))
+        .alias("kept"),
     )
 
 
@@ -243,7 +268,7 @@ def _in_blocks(scratch: Scratch, rest, sets, num: int, den: int, block: int = 40
     own = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
     units = docs.join(many, "grp").withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     units = units.select("grp", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "rep", "n", "root")
-    items = sets.select(F.col("doc").alias("rep"), "n", "items")
+    items = sets.select("rep", "n", "items")
     dealt = units.join(items, ["rep", "n"]).repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
 
     def links(unit):
@@ -299,12 +324,14 @@ def _verified(scratch: Scratch, pairs, reps, sets, num: int, den: int, k: int):
         .filter(F.when(F.size("u") < k, both * den >= F.size("u") * num).otherwise(both >= _least(num, den, k)))
         .select("a", "b")
     )
-    x = sets.select(F.col("doc").alias("a"), F.col("items").alias("x"))
-    y = sets.select(F.col("doc").alias("b"), F.col("items").alias("y"))
+    x = sets.select(F.col("rep").alias("a"), F.col("items").alias("x"))
+    y = sets.select(F.col("rep").alias("b"), F.col("items").alias("y"))
     return _similar(likely.join(x, "a").join(y, "b").select("a", "b", "x", "y"), num, den).distinct()
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
-    """The documents of which the component bears the id, with their own columns."""
-    gone = near_groups(docs, id_col, text_col, **kw).filter("not kept").select(F.col(id_col).alias("_gone"))
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    """The documents that ``near_groups`` keeps, with their own columns."""
+    scratch = Scratch(docs.sparkSession, "near")
+    source, cols = _numbered(docs, docs.columns, scratch)
+    gone = _judged(source, cols[id_col], cols[text_col], scratch, **kw).filter("not kept").select("_uid")
+    return source.join(gone, "_uid", "left_anti").select(*[F.col(x).alias(c) for c, x in cols.items()])

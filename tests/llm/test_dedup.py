@@ -109,6 +109,22 @@ def test_one_of_each_near_group_stays(spark, docs_of):
     assert {r["doc_id"] for r in kept.collect()} == {i for i, v in near_brute(rows).items() if v[2]}
 
 
+def test_near_copies_under_repeated_and_null_ids(spark, docs_of):
+    """Each row goes by its own text, whatever else bears its id."""
+    rng = random.Random(3)
+    a, b, c, lone = (prose(rng, 40, 10**6) for _ in range(4))
+    near = lambda w: " ".join([*w[:-1], "changed"])
+    a, b, c, lone, a1, b1, c1 = *map(" ".join, (a, b, c, lone)), near(a), near(b), near(c)
+    rows = [(1, a), (2, b), (7, a1), (7, b1), (7, lone), (None, a1), (None, c), (None, c1), (None, lone + " x"), (None, None), (None, "")]
+    want = [(1, a, 1, True), (2, b, 2, True), (7, a1, 1, False), (7, b1, 2, False), (7, lone, 7, True), (None, a1, 1, False)]
+    want += [(None, c, None, True), (None, c1, None, False), (None, lone + " x", 7, False), (None, None, None, True), (None, "", None, True)]
+    table = docs_of(rows, extra=False).coalesce(1)
+    got = near_dedup.near_groups(table).select("doc_id", "component_id", "kept").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(((i, m, k) for i, _, m, k in want), key=str)
+    kept = near_dedup.keep_one_of_each(table).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=str) == sorted(((i, t) for i, t, _, k in want if k), key=str)
+
+
 def test_near_query_against_brute_force(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in op1_minhash_near_dedup(spark, sf_dir).collect()}
