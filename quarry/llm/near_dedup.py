@@ -42,6 +42,8 @@ from quarry.plans.scratch import Scratch, ship
 
 #: Remaining pairs per listed row up to which one round of pivots is enough.
 REST_PER_ROW = 4
+#: Open lists whose pivots are broadcast (some 60 bytes each); beyond that they are joined by shuffle.
+FEW_LISTS = 50_000
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) -> DataFrame:
@@ -79,7 +81,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, width: int, k: int) ->
 
 
 def full_sets(docs: DataFrame, text_col: str, width: int, k: int) -> DataFrame:
-    """(rep, n, sketch, items) of each row (_uid, text): items are the sorted distinct shingle hashes as packed 64-bit integers."""
+    """(rep, n, sketch, items) of each row (_uid, text): items are the sorted distinct shingle hashes as packed 64-bit integers.
+
+    Words are hashed anew, by a function that has nothing in common with that of the first sketches.
+    """
     names = ["rep", "n", "sketch", "items"]
     types = [T.LongType(), T.LongType(), T.ArrayType(T.LongType()), T.BinaryType()]
     schema = T.StructType([T.StructField(c, t) for c, t in zip(names, types)])
@@ -87,7 +92,7 @@ def full_sets(docs: DataFrame, text_col: str, width: int, k: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column("text")):
-                sets = list(shingle_sets(split_words(data, offsets, lower=True), width))
+                sets = list(shingle_sets(split_words(data, offsets, lower=True, seed=1), width))
                 low = [s[:k] for s in sets]
                 cuts = np.concatenate([[0], np.cumsum([len(s) for s in low])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(low), pa.int64()))
@@ -152,11 +157,10 @@ def _judged(
     reps = scratch.table(
         all_rows.select(F.col("_uid").alias("rep"), "n", "sketch").join(classes.select("rep"), "rep"), "reps"
     )
-    need = scratch.table(_lists(reps, num, den, k).select("rep", "n").distinct(), "listed")
+    need = scratch.table(_lists(scratch, reps, num, den, k).select("rep").distinct(), "listed")
     ids = need.select(F.col("rep").alias("_uid"))
     sets = scratch.table(full_sets(source.join(ids, "_uid", "left_semi"), text_col, width, k_long), "sets")
-    longer = sets.select("rep", "n", "sketch").join(need, ["rep", "n"])
-    listed = scratch.table(_lists(longer, num, den, k_long), "lists")
+    listed = scratch.table(_lists(scratch, sets.select("rep", "n", "sketch"), num, den, k_long), "lists")
     roots = _link_lists(scratch, reps, listed, sets, num, den, k)
     scratch.drop(reps, need, sets, listed)
     name = F.col("least")
@@ -185,10 +189,13 @@ def _least(num: int, den: int, k: int) -> int:
     return int(q * k - 5 * (k * q * (1 - q)) ** 0.5)
 
 
-def _lists(reps: DataFrame, num: int, den: int, k: int) -> DataFrame:
-    """(v, rep, n): the prefix of each sketch that has to be listed, values that only one sketch has left out."""
+def _lists(scratch: Scratch, reps: DataFrame, num: int, den: int, k: int) -> DataFrame:
+    """(v, rep, n): the prefix of each sketch that has to be listed, values that only one sketch has left out.
+
+    Counts are written, so that the join reads two plain shuffles, whose skewed parts can be split.
+    """
     each = reps.select("rep", "n", F.explode("sketch").alias("v"))
-    shared = each.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    shared = scratch.table(each.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "counts")
     ranked = (
         each.join(shared, "v")
         .groupBy("rep", "n")
@@ -223,7 +230,7 @@ def _link_lists(scratch: Scratch, reps, listed, sets, num: int, den: int, k: int
         ).filter("parts > 1")
         spread = scratch.table(spread, "open")
         across = (F.col("c") * F.col("c") - F.col("within")) / 2
-        total = spread.agg(F.sum("c").alias("rows"), F.sum(across).alias("pairs")).first()
+        total = spread.agg(F.sum("c").alias("rows"), F.sum(across).alias("pairs"), F.count(F.lit(1)).alias("lists")).first()
         if not total["rows"]:
             return roots
         rows = rows or total["rows"]
@@ -233,7 +240,8 @@ def _link_lists(scratch: Scratch, reps, listed, sets, num: int, den: int, k: int
             if found.isEmpty():
                 return roots
             return contract(found if links is None else links.unionByName(found), scratch)
-        left = left.join(spread.select("v", "p"), "v")
+        pivots = spread.select("v", "p")
+        left = left.join(F.broadcast(pivots) if total["lists"] <= FEW_LISTS else pivots, "v")
         members = left.select("v", "rep", "n", "root", F.col("p.rep").alias("q"), F.col("p.n").alias("pn"), F.col("p.root").alias("qroot"))
         pairs = members.filter((F.col("rep") != F.col("q")) & (F.col("root") != F.col("qroot")) & fits)
         pairs = pairs.select(F.least("rep", "q").alias("a"), F.greatest("rep", "q").alias("b"))
@@ -268,8 +276,7 @@ def _in_blocks(scratch: Scratch, rest, sets, num: int, den: int, block: int = 40
     own = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
     units = docs.join(many, "grp").withColumn("i", own).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
     units = units.select("grp", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "rep", "n", "root")
-    items = sets.select("rep", "n", "items")
-    dealt = units.join(items, ["rep", "n"]).repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
+    dealt = units.join(sets.select("rep", "items"), "rep").repartition("grp", "lo", "hi").sortWithinPartitions("grp", "lo", "hi")
 
     def links(unit):
         sets_ = [np.frombuffer(r[6], np.int64) for r in unit]

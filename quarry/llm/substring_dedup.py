@@ -3,52 +3,57 @@
 A window is ``window`` consecutive words.  A word goes if it is covered by a window whose words also
 start in a document of a smaller id; windows are judged on the input.
 
-Suffix automata of reference shards decide this.  Sending every shard past every document costs
-shards x documents, so documents meet only the shards that can match them:
+Suffix automata of reference shards decide every window.  Sending every shard past every document
+costs shards x documents, so documents meet only the shards that can match them:
 
 1. In each window the gram of ``gram`` words with the smallest hash is its anchor (the leftmost, on
    ties).  Equal windows have equal anchors.  Windows in a row with one anchor form a stretch.
-2. Anchors are grouped.  An anchor of one document has no match.  If all stretches of an anchor are
-   equal, the first document owns all of their windows: the usual case of whole copies, and no
-   automaton is needed.
-3. The distinct stretches of the other anchors are dealt by anchor to shards; each shard builds, for
-   one anchor after the other, the suffix automaton of its stretches, in which every state knows the
-   first document that holds its strings, and streams the stretches through it.  The matching
+2. Stretches of an anchor that occurs in one document only have no match.  Of the others, each
+   distinct one (by a 128-bit hash of its words) is taken once, from the document of the smallest id.
+3. Distinct stretches are dealt by anchor to reference shards.  A shard builds, for one anchor after
+   the other, the suffix automaton of the stretches' words, in which every state knows the first
+   document that holds its strings, and streams the stretches through it.  The matching
    statistic at each word (the state of the longest match, cut to the window's length) names the
    first owner of the window that ends there.
 4. Anchors with over ``crowd`` distinct stretches, such as the inside of a line that many documents
-   surround differently, would gather in one shard.  Their windows are grouped by their own hash.
+   surround differently, would gather in one shard.  Their stretches are cut once more, into single
+   windows anchored by all of their words, and those that several documents share go the same way.
 5. Documents drop the windows that have an earlier owner.
 
+Hashes only bring windows together; automata compare words.  The one exception is the 128-bit hash
+by which equal stretches are taken once.
+
 Defined results: null text has no words; texts shorter than a window keep all words; rows of one id
 do not match each other; null ids count as larger than all others; repeated rows get equal results;
-an empty table gives an empty result.
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.words import RangeHash, Words, split_words, text_slices
+from quarry.llm.words import Words, joined, split_words, text_slices, window_hashes
+from quarry.plans.columns import named
 from quarry.plans.scratch import Scratch, ship
 
 _LAST = (1 << 63) - 1
+#: What a stretch's words are known by.
+_CONTENT = ["c1", "c2"]
 
 
 def stretches(words: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(text, first window, windows, anchor, content hash) of each stretch in these texts."""
+    """(text, first window, windows, anchor) of each stretch in these texts."""
     n = len(words.hash)
     span = window - gram + 1  # grams of a window
     none = np.zeros(0, np.int64)
     if n < window:
-        return none, none, none, none, none
-    ranges = RangeHash(words.hash)
-    at = np.arange(n - gram + 1)
-    grams = ranges.of(at, at + gram)
+        return none, none, none, none
+    grams = window_hashes(words.hash, gram)
     least = np.lib.stride_tricks.sliding_window_view(grams, span).argmin(axis=1) + np.arange(n - window + 1)
     text = np.searchsorted(words.first, np.arange(n - window + 1), "right") - 1
     whole = np.arange(n - window + 1) + window <= words.first[text + 1]
@@ -58,11 +63,15 @@ def stretches(words: Words, window: int, gram: int) -> tuple[np.ndarray, ...]:
     start, stop = edges[:-1], edges[1:]
     ok = whole[start]
     start, stop = start[ok], stop[ok]
-    anchor = grams[least[start]].view(np.int64)
-    offset = (least[start] - start).astype(np.uint64)
-    content = (ranges.of(start, stop - 1 + window) + offset * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
     owner = text[start]
-    return owner, start - words.first[owner], stop - start, anchor, content
+    return owner, start - words.first[owner], stop - start, grams[least[start]].view(np.int64)
+
+
+def contents(raw: bytes, begin: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """128-bit hashes (two columns) of the words first to stop of joined words."""
+    view, digest = memoryview(raw), xxhash.xxh3_128_digest
+    spans = zip(begin[first].tolist(), (begin[stop] - 1).tolist())
+    return np.frombuffer(b"".join([digest(view[a:b]) for a, b in spans]), np.int64).reshape(-1, 2)
 
 
 class SuffixAutomaton:
@@ -133,87 +142,106 @@ class SuffixAutomaton:
 
 
 def _stretch_table(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    schema = "o long, th long, start int, wins int, anchor long, content long"
+    """(o, th, start, wins, anchor, c1, c2) of every stretch."""
+    names = ["o", "th", "start", "wins", "anchor", *_CONTENT]
 
     def run(batches):
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column("text")):
-                owner, start, wins, anchor, content = stretches(split_words(data, offsets, False), window, gram)
+                words = split_words(data, offsets, False)
+                owner, start, wins, anchor = stretches(words, window, gram)
+                at = words.first[owner] + start
+                content = contents(*joined(words), at, at + wins + window - 1)
                 rows = pa.array(owner + a)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("o").take(rows), batch.column("th").take(rows), pa.array(start, pa.int32()),
-                        pa.array(wins, pa.int32()), pa.array(anchor, pa.int64()), pa.array(content, pa.int64()),
+                        batch.column("o").take(rows), batch.column("th").take(rows), pa.array(start, pa.int32()), pa.array(wins, pa.int32()),
+                        pa.array(anchor, pa.int64()), pa.array(content[:, 0], pa.int64()), pa.array(content[:, 1], pa.int64()),
                     ],
-                    names=["o", "th", "start", "wins", "anchor", "content"],
+                    names=names,
                 )
 
+    schema = "o long, th long, start int, wins int, anchor long, c1 long, c2 long"
     return docs.select("o", "th", "text").mapInArrow(run, schema)
 
 
-def _stretch_words(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """wanted (o, th, start, wins, anchor, content, crowded) with the words' hashes; crowded ones as windows."""
-    schema = "anchor long, content long, o long, crowded boolean, items array<long>"
-    lists = wanted.groupBy("o", "th").agg(F.collect_list(F.struct("start", "wins", "anchor", "content", "crowded")).alias("parts"))
+def _parts(docs: DataFrame, wanted: DataFrame, fields: list[str]) -> DataFrame:
+    """(text, parts) of the texts that wanted (o, th, fields) names, each text once with all its parts."""
+    lists = wanted.groupBy("o", "th").agg(F.collect_list(F.struct(*fields)).alias("parts"))
+    return docs.select("o", "th", "text").join(lists, ["o", "th"]).dropDuplicates(["o", "th"]).select("o", "th", "text", "parts")
+
+
+def _window_table(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """wanted (o, th, start, wins, anchor, c1, c2) as single windows (o, th, start, i, w1, w2 and their stretch)."""
+    names = ["o", "th", "start", "i", "w1", "w2", "anchor", *_CONTENT]
 
     def run(batches):
         for batch in batches:
             for a, b, data, offsets in text_slices(batch.column("text")):
-                w = split_words(data, offsets, False)
-                ranges = RangeHash(w.hash)
+                words = split_words(data, offsets, False)
+                parts = [(a + k, p) for k, ps in enumerate(batch.column("parts").slice(a, b - a).to_pylist()) for p in ps]
+                wins = np.array([p["wins"] for _, p in parts], np.int64)
+                i = np.arange(wins.sum()) - np.repeat(np.cumsum(wins) - wins, wins)
+                each = np.repeat(np.arange(len(parts)), wins)
+                start = np.array([p["start"] for _, p in parts], np.int64)[each] + i
+                row = np.array([k for k, _ in parts], np.int64)[each]
+                at = words.first[row - a] + start
+                content = contents(*joined(words), at, at + window)
+                own = [pa.array(np.array([p[c] for _, p in parts], np.int64)[each]) for c in ("anchor", *_CONTENT)]
+                cols = [batch.column(c).take(pa.array(row)) for c in ("o", "th")]
+                cols += [pa.array(start, pa.int32()), pa.array(i, pa.int32()), pa.array(content[:, 0]), pa.array(content[:, 1]), *own]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
+
+    schema = "o long, th long, start int, i int, w1 long, w2 long, anchor long, c1 long, c2 long"
+    return _parts(docs, wanted, ["start", "wins", "anchor", *_CONTENT]).mapInArrow(run, schema)
+
+
+def _strings(docs: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
+    """wanted (o, th, start, wins, anchor, c1, c2) with the stretch's words, joined by a space."""
+    names = ["anchor", *_CONTENT, "o", "words"]
+
+    def run(batches):
+        for batch in batches:
+            for a, b, data, offsets in text_slices(batch.column("text")):
+                words = split_words(data, offsets, False)
+                raw, begin = joined(words)
                 rows = []
                 for k, parts in enumerate(batch.column("parts").slice(a, b - a).to_pylist()):
                     o = batch.column("o")[a + k].as_py()
                     for p in parts:
-                        s = int(w.first[k]) + p["start"]
-                        if p["crowded"]:
-                            at = np.arange(s, s + p["wins"])
-                            items = ranges.of(at, at + window).view(np.int64)
-                        else:
-                            items = w.hash[s : s + p["wins"] + window - 1].view(np.int64)
-                        rows.append((p["anchor"], p["content"], o, p["crowded"], items))
+                        s = int(words.first[k]) + p["start"]
+                        rows.append((p["anchor"], p["c1"], p["c2"], o, raw[begin[s] : begin[s + p["wins"] + window - 1] - 1]))
                 cols = list(zip(*rows)) or [()] * 5
-                cuts = np.concatenate([[0], np.cumsum([len(x) for x in cols[4]])]).astype(np.int32)
-                flat = pa.array(np.concatenate(cols[4]) if rows else np.zeros(0, np.int64), pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
-                        pa.array(cols[3], pa.bool_()), pa.ListArray.from_arrays(pa.array(cuts), flat),
-                    ],
-                    names=["anchor", "content", "o", "crowded", "items"],
-                )
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.binary())], names=names)
 
-    once = docs.select("o", "th", "text").join(lists, ["o", "th"]).dropDuplicates(["o", "th"])  # repeated rows name a stretch once
-    return once.select("o", "text", "parts").mapInArrow(run, schema)
+    return _parts(docs, wanted, ["start", "wins", "anchor", *_CONTENT]).mapInArrow(run, "anchor long, c1 long, c2 long, o long, words binary")
 
 
 def _automata(strings: DataFrame, window: int) -> DataFrame:
-    """(anchor, content, firsts): the first owner of every window of each distinct stretch."""
+    """(anchor, c1, c2, firsts): the first owner of every window of each distinct stretch."""
     dealt = strings.repartition("anchor").sortWithinPartitions("anchor")
+    names = ["anchor", *_CONTENT, "firsts"]
 
     def answer(group):
         sam = SuffixAutomaton()
-        for _, _, o, items in group:
-            sam.add(items, o)
+        split = [(row, row[4].split(b" ")) for row in group]
+        for row, items in split:
+            sam.add(items, row[3])
         sam.settle()
-        for anchor, content, _, items in group:
-            yield anchor, content, sam.first_owners(items, window)
+        for row, items in split:
+            yield *row[:3], sam.first_owners(items, window)
+
+    def flush(rows):
+        cuts = np.concatenate([[0], np.cumsum([len(r[3]) for r in rows])]).astype(np.int32)
+        flat = pa.array([x for r in rows for x in r[3]], pa.int64())
+        return pa.RecordBatch.from_arrays([*[pa.array([r[c] for r in rows], pa.int64()) for c in range(3)], pa.ListArray.from_arrays(pa.array(cuts), flat)], names=names)
 
     def run(batches):
         group, out = [], []
-
-        def flush(rows):
-            cuts = np.concatenate([[0], np.cumsum([len(r[2]) for r in rows])]).astype(np.int32)
-            flat = pa.array([x for r in rows for x in r[2]], pa.int64())
-            return pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.ListArray.from_arrays(pa.array(cuts), flat)],
-                names=["anchor", "content", "firsts"],
-            )
-
         for batch in batches:
             for a in range(0, len(batch), 500):
                 part = batch.slice(a, 500)
-                for row in zip(part.column("anchor").to_pylist(), part.column("content").to_pylist(), part.column("o").to_pylist(), part.column("items").to_pylist()):
+                for row in zip(*[part.column(c).to_pylist() for c in ("anchor", *_CONTENT, "o", "words")]):
                     if group and group[0][0] != row[0]:
                         out.extend(answer(group))
                         group = []
@@ -226,40 +254,44 @@ def _automata(strings: DataFrame, window: int) -> DataFrame:
         if out:
             yield flush(out)
 
-    return dealt.select("anchor", "content", "o", "items").mapInArrow(run, "anchor long, content long, firsts array<long>")
+    return dealt.select("anchor", *_CONTENT, "o", "words").mapInArrow(run, "anchor long, c1 long, c2 long, firsts array<long>")
+
+
+def _shared(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The keys under which rows of several documents stand."""
+    return rows.groupBy(*key).agg(F.min("o").alias("o0"), F.max("o").alias("o1")).filter("o0 < o1").select(*key)
 
 
 def mark_repeats(docs: DataFrame, scratch: Scratch, window: int, gram: int, crowd: int) -> DataFrame:
     """(o, th, start, wins, mask): windows with an earlier owner; a null mask stands for all of them."""
+    full = ["anchor", *_CONTENT]
+    at = ["o", "th", "start", "wins"]
     rows = scratch.table(_stretch_table(docs, window, gram), "stretches")
-    groups = rows.groupBy("anchor").agg(
-        F.min("o").alias("o0"), F.max("o").alias("o1"), F.min("content").alias("c0"), F.max("content").alias("c1")
-    )
-    shared = scratch.table(groups.filter("o0 < o1").select("anchor", "o0", (F.col("c0") == F.col("c1")).alias("same")), "shared")
-    met = scratch.table(rows.join(shared, "anchor"), "met")
-    plain = met.filter("same and o > o0").select("o", "th", "start", "wins", F.lit(None).cast("array<boolean>").alias("mask"))
-    mixed = met.filter("not same")
-    distinct = scratch.table(
-        mixed.groupBy("anchor", "content").agg(F.min(F.struct("o", "th", "start", "wins")).alias("at")), "distinct"
-    )
-    crowds = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > crowd).select("anchor", F.lit(True).alias("crowded"))
-    wanted = distinct.join(crowds, "anchor", "left").select(
-        "at.o", "at.th", "at.start", "at.wins", "anchor", "content", F.coalesce("crowded", F.lit(False)).alias("crowded")
-    )
-    strings = scratch.table(_stretch_words(docs, wanted, window), "strings")
-    firsts = _automata(strings.filter("not crowded"), window)
-    loose = strings.filter("crowded").select("anchor", "content", "o", F.posexplode("items").alias("i", "w"))
-    owners = loose.groupBy("w").agg(F.min("o").alias("first"))
-    by_hash = (
-        loose.join(owners, "w").groupBy("anchor", "content")
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "first"))), lambda e: e["first"]).alias("firsts"))
-    )
-    firsts = scratch.table(firsts.unionByName(by_hash), "firsts")
-    scratch.drop(rows, shared, distinct, strings)
-    judged = mixed.join(firsts, ["anchor", "content"]).select(
-        "o", "th", "start", "wins", F.transform("firsts", lambda f: f < F.col("o")).alias("mask")
-    )
-    return plain.unionByName(judged.filter(F.exists("mask", lambda x: x)))
+    shared = scratch.table(_shared(rows, ["anchor"]), "shared")
+    met = scratch.table(rows.join(shared, "anchor", "left_semi"), "met")
+    scratch.drop(rows, shared)
+    first = F.min(F.struct(*at)).alias("at")
+    distinct = scratch.table(met.groupBy(*full).agg(first).select("at.*", *full), "distinct")
+    many = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > crowd)
+    crowded = scratch.table(many.select("anchor"), "crowded")
+    if crowded.isEmpty():
+        firsts = scratch.table(_automata(_strings(docs, distinct, window), window), "firsts")
+    else:
+        few = distinct.join(crowded, "anchor", "left_anti")
+        loose = scratch.table(_window_table(docs, distinct.join(crowded, "anchor", "left_semi"), window), "windows")
+        single = loose.withColumn("wins", F.lit(1)).groupBy("w1", "w2").agg(first, F.max("o").alias("o1")).filter("at.o < o1")
+        single = single.select("at.*", F.col("w1").alias("anchor"), F.col("w1").alias("c1"), F.col("w2").alias("c2"))
+        wanted = scratch.table(few.unionByName(single), "wanted")
+        found = scratch.table(_automata(_strings(docs, wanted, window), window), "found")
+        owners = found.join(single.select(*full), full, "left_semi").select(F.col("c1").alias("w1"), F.col("c2").alias("w2"), F.col("firsts")[0].alias("first"))
+        each = loose.select("o", "i", "w1", "w2", *full).join(scratch.table(owners, "owners"), ["w1", "w2"], "left").withColumn("first", F.coalesce("first", "o"))
+        lists = each.groupBy(*full).agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "first"))), lambda e: e["first"]).alias("firsts"))
+        firsts = scratch.table(found.join(few.select(*full), full, "left_semi").unionByName(lists), "firsts")
+        scratch.drop(loose, wanted, found)
+    scratch.drop(distinct, crowded)
+    judged = met.join(firsts, full).select(*at, F.transform("firsts", lambda f: f < F.col("o")).alias("mask"))
+    judged = judged.filter(F.exists("mask", lambda x: x))
+    return judged.withColumn("mask", F.when(~F.forall("mask", lambda x: x), F.col("mask")))
 
 
 def remove_repeats(
@@ -274,10 +306,8 @@ def remove_repeats(
     spark = docs.sparkSession
     ship(spark)
     scratch = Scratch(spark, "passages")
-    text = F.coalesce(docs[text_col], F.lit(""))
-    base = docs.select(
-        docs[id_col].alias("id"), F.coalesce(docs[id_col].cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(text).alias("th"), text.alias("text")
-    )
+    text, key = F.coalesce(named(docs, text_col), F.lit("")), named(docs, id_col)
+    base = docs.select(key.alias("id"), F.coalesce(key.cast("long"), F.lit(_LAST)).alias("o"), F.xxhash64(text).alias("th"), text.alias("text"))
     found = mark_repeats(base, scratch, window, gram, crowd)
     lists = found.distinct().groupBy("o", "th").agg(F.collect_list(F.struct("start", "wins", "mask")).alias("parts"))
     schema = T.StructType(

@@ -17,11 +17,10 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256)
 _LOWER[65:91] += 32
-_RNG = np.random.default_rng(20240607)
-_BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * _U(2) + _U(1)
-_BYTE_LOWER = _BYTE[_LOWER]
-_R = _U(0x9E3779B97F4A7C15)
-_R_INV = _U(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: A row of byte values for each seed: hashes of different seeds have nothing in common.
+_BYTE = np.random.default_rng(20240607).integers(1, 2**63, (2, 256), dtype=np.uint64) * _U(2) + _U(1)
+_BYTE_LOWER = _BYTE[:, _LOWER]
+_STEP = _U(0x9E3779B97F4A7C15)
 #: Bytes of text that are expanded to arrays at a time.
 SLICE_BYTES = 400_000
 
@@ -33,12 +32,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(33))
 
 
-def powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
 @dataclass
 class Words:
     """Words of some consecutive texts: byte spans, hashes, and the first word of each text."""
@@ -63,7 +56,12 @@ def text_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int
         a = b
 
 
-def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
+def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool, seed: int = 0) -> Words:
+    """Words and their hashes: a sum over bytes, each scrambled together with its place in the word.
+
+    No product of powers stands for the place, so that words built from two strings in a regular
+    order do not cancel out.
+    """
     n = len(data)
     none = np.zeros(0, np.int64)
     if not n:
@@ -85,23 +83,38 @@ def split_words(data: np.ndarray, offsets: np.ndarray, lower: bool) -> Words:
     lens = stop - start
     cuts = np.concatenate([[0], np.cumsum(lens)])
     at = np.arange(cuts[-1]) - np.repeat(cuts[:-1], lens)
-    value = (_BYTE_LOWER if lower else _BYTE)[data[word]] * powers(_R, int(lens.max()))[at]
+    value = (_BYTE_LOWER if lower else _BYTE)[seed][data[word]] + at.astype(np.uint64) * _STEP
+    value = (value ^ (value >> _U(29))) * _U(0xBF58476D1CE4E5B9)
+    value ^= value >> _U(32)
     h = mix(np.add.reduceat(value, cuts[:-1]) + lens.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
     return Words(data, start, stop, h, np.searchsorted(start, offsets))
 
 
-class RangeHash:
-    """Hash of any range of a sequence of word hashes, from prefix sums."""
-
-    def __init__(self, h: np.ndarray):
-        n = len(h)
-        self.sum = np.zeros(n + 1, np.uint64)
-        np.cumsum(h * powers(_R, n), out=self.sum[1:])
-        self.inverse = powers(_R_INV, n + 1)
-
-    def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        length = np.asarray(stop - start).astype(np.uint64)
-        return mix((self.sum[stop] - self.sum[start]) * self.inverse[start] + length * _U(0xA0761D6478BD642F))
+def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """Hash of every run of ``width`` hashes: runs of powers of two are joined, each join is scrambled."""
+    count = len(h) - width + 1
+    if count < 1:
+        return np.zeros(0, np.uint64)
+    power, out, at = h, None, 0
+    for bit in range(width.bit_length()):
+        size = 1 << bit
+        if width & size:
+            piece = power[at : at + count]
+            out = piece if out is None else mix(out * _STEP + piece)
+            at += size
+        if width >> bit > 1:
+            power = mix(power[:-size] * _STEP + power[size:])
+    return mix(out + _U(width * 0xA0761D6478BD642F & (1 << 64) - 1))
+
+
+def joined(words: Words) -> tuple[bytes, np.ndarray]:
+    """All words joined by one space, and where each begins there (one more: the end and a space)."""
+    lens = words.stop - words.start
+    begin = np.concatenate([[0], np.cumsum(lens + 1)])
+    out = np.full(int(begin[-1]), 0x20, np.uint8)
+    inner = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
+    out[np.repeat(begin[:-1], lens) + inner] = words.data[np.repeat(words.start, lens) + inner]
+    return out.tobytes(), begin
 
 
 def shingle_sets(words: Words, width: int) -> Iterator[np.ndarray]:
@@ -109,16 +122,11 @@ def shingle_sets(words: Words, width: int) -> Iterator[np.ndarray]:
 
     A text of fewer words has its whole sequence as one shingle; one without words has none.
     """
-    count = np.diff(words.first)
-    n = len(words.hash)
-    ranges = RangeHash(words.hash)
-    at = np.arange(max(0, n - width + 1))
-    full = ranges.of(at, at + width).view(np.int64)
-    for k, m in enumerate(count):
-        a = words.first[k]
+    full = window_hashes(words.hash, width).view(np.int64)
+    for a, m in zip(words.first.tolist(), np.diff(words.first).tolist()):
         if m >= width:
             yield np.unique(full[a : a + m - width + 1])
         elif m:
-            yield ranges.of(np.array([a]), np.array([a + m])).view(np.int64)
+            yield window_hashes(words.hash[a : a + m], m).view(np.int64)
         else:
             yield np.zeros(0, np.int64)

@@ -176,6 +176,55 @@ def test_passages_of_repeated_rows_in_crowds(spark, docs_of, crowd):
     assert sorted(got, key=str) == sorted(((i, want[null if i is None else i]) for i, _ in table), key=str)
 
 
+def alternating(n, one, two):
+    """One and two in the order of the Thue-Morse sequence, on which sums of powers cancel out."""
+    return [(one, two)[bin(i).count("1") % 2] for i in range(n)]
+
+
+def test_texts_built_to_collide(spark, docs_of):
+    """Words, and sequences of words, that any polynomial hash with an odd base takes for equal."""
+    a, b = ("".join(alternating(4096, *x)) for x in ("ab", "ba"))
+    words = [[f"{w}{k}" if k % 7 else w for k in range(60)] for w in (a, b)]
+    rows = [(n, " ".join(w)) for n, w in enumerate(words)]
+    rows += [(n + 2, " ".join(alternating(4096, *x))) for n, x in enumerate((("x", "y"), ("y", "x")))]
+    rows += [(4, " ".join(words[1][:50] + ["tail"])), (5, a), (6, b)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_groups(docs_of(rows)).collect()}
+    assert got == near_brute(rows) and got[1][1] == 1 and got[6][1] == 6
+    for crowd in (400, 1):
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeats(docs_of(rows), crowd=crowd).collect()}
+        assert got == passages_brute(rows) and got[1][1] == 0 and got[4][1] == 50
+
+
+def test_whole_copies_in_a_crowd(spark, docs_of):
+    """A line that many documents surround differently, each of them twice: the later copy goes as a whole."""
+    rng = random.Random(12)
+    line = prose(rng, 55)
+    texts = [" ".join(prose(rng, rng.randrange(20, 30), 10**6) + line + prose(rng, 30, 10**6)) for _ in range(12)]
+    rows = list(enumerate([*texts, *texts]))
+    for crowd in (400, 3):
+        got = {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup.remove_repeats(docs_of(rows), crowd=crowd).collect()}
+        assert got == passages_brute(rows) and all(got[i][2] == "" for i in range(12, 24))
+
+
+def test_near_links_of_unlike_texts_under_one_id(spark, docs_of):
+    """Two texts of one id and one size: each keeps its own links."""
+    rng = random.Random(13)
+    a, b = (prose(rng, 30, 10**6) for _ in range(2))
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join(b + ["z"])), (3, " ".join(a + ["y"]))]
+    got = near_dedup.near_groups(docs_of(rows, extra=False).coalesce(1)).select("doc_id", "component_id", "kept").collect()
+    assert sorted(map(tuple, got)) == [(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False)]
+
+
+def test_columns_with_dots(spark):
+    """Near groups and passages read id and text columns whose names hold dots."""
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text, 0), (2, text + " more", 0)], "`a.id` long, `b.text` string, o long")
+    near = near_dedup.near_groups(df, "a.id", "b.text").collect()
+    assert [(r["component_id"], r["kept"]) for r in sorted(near, key=lambda r: r["a.id"])] == [(1, True), (1, False)]
+    left = substring_dedup.remove_repeats(df, "a.id", "b.text").collect()
+    assert {r["a.id"]: r["n_removed"] for r in left} == {1: 0, 2: 60}
+
+
 def test_passage_query_against_brute_force(spark, sf_dir):
     rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     want = {i: (n, r, hashlib.sha256(t.encode()).hexdigest()) for i, (n, r, t) in passages_brute(rows).items()}
