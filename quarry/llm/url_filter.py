@@ -33,22 +33,28 @@ RULES = (
 )
 #: Terms that block alone.
 STRICT = ("porn", "porno", "xxx", "hentai", "escort", "escorts", "camgirl", "camgirls", "milf", "bdsm", "casino", "viagra", "cialis", "warez")
-#: Terms with weights; a URL is blocked when those of distinct terms reach LIMIT.
+#: Terms with weights; a URL is blocked when those of distinct terms reach LIMIT, so never by one.
 SOFT = {
-    "adult": 1, "sex": 1, "sexy": 1, "nude": 1, "naked": 1, "erotic": 1, "fetish": 1, "dating": 1, "betting": 1,
-    "bet": 1, "poker": 1, "slots": 1, "jackpot": 1, "gambling": 1, "loan": 1, "payday": 1, "pills": 1, "pharmacy": 1,
-    "torrent": 1, "crack": 1, "keygen": 1, "serial": 1, "free": 1, "cheap": 1, "hot": 1, "live": 1, "cams": 1, "webcam": 1,
+    "adult": 2, "bet": 1, "betting": 2, "cams": 2, "cheap": 1, "crack": 1, "dating": 1, "erotic": 2, "erotik": 2, "fetish": 2, "free": 1,
+    "gambling": 2, "gratis": 1, "gratuit": 1, "hot": 1, "jackpot": 2, "keygen": 2, "live": 1, "loan": 1, "nackt": 2, "naked": 1, "nude": 2,
+    "payday": 2, "pharmacy": 1, "pills": 2, "poker": 2, "serial": 1, "sex": 2, "sexe": 2, "sexo": 2, "sexy": 2, "slots": 1, "torrent": 1, "webcam": 1,
 }
 LIMIT = 3
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def _after_scheme(url: Column) -> Column:
+    """What follows the first ://, or empty.  Found by position: a pattern would go on to a later one."""
+    at = F.locate("://", url)
+    return F.when(at > 0, F.substr(url, at + 3)).otherwise(F.lit(""))
+
+
 def host_of(url: Column) -> Column:
-    return F.translate(F.coalesce(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1), F.lit("")), _UPPER, _LOWER)
+    return F.translate(F.regexp_extract(_after_scheme(url), r"^[^/?#]*", 0), _UPPER, _LOWER)
 
 
 def path_of(url: Column) -> Column:
-    return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(/[^?#]*)", 1), F.lit(""))
+    return F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^?#]*)", 1)
 
 
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
@@ -113,10 +119,16 @@ def oracle_sql(rules=RULES, strict=STRICT, soft=SOFT, limit: int = LIMIT) -> str
     pick = lambda i: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[i]}'" for f in fits) + " END"
     hit = lambda t: f"regexp_matches(low, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')"
     weight = reduce(lambda a, b: f"{a} + {b}", [f"CASE WHEN {hit(t)} THEN {w} ELSE 0 END" for t, w in soft.items()])
+    cut = lambda x: f"split_part(split_part({x}, '?', 1), '#', 1)"
     return f"""
+    WITH rest AS (
+      SELECT page_id, translate(coalesce(url, ''), '{_UPPER}', '{_LOWER}') AS low,
+             CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS tail FROM pages
+    ), cuts AS (
+      SELECT page_id, low, {cut("tail")} AS upto, split_part({cut("tail")}, '/', 1) AS name FROM rest
+    ), parts AS (
+      SELECT page_id, low, translate(name, '{_UPPER}', '{_LOWER}') AS host, substr(upto, length(name) + 1) AS path FROM cuts
+    )
     SELECT page_id, host, path, {pick(1)} AS rule,
            coalesce({pick(2)}, CASE WHEN {hit("(" + "|".join(strict) + ")")} OR {weight} >= {limit} THEN 'block' ELSE 'allow' END) AS verdict
-    FROM (SELECT page_id, translate(coalesce(url, ''), '{_UPPER}', '{_LOWER}') AS low,
-                 translate(coalesce(regexp_extract(url, '^(?s:.)*?://([^/?#]*)', 1), ''), '{_UPPER}', '{_LOWER}') AS host,
-                 coalesce(regexp_extract(url, '^(?s:.)*?://[^/?#]*(/[^?#]*)', 1), '') AS path
-          FROM pages)"""
+    FROM parts"""

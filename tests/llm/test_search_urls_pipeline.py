@@ -52,8 +52,40 @@ def test_search_prunes_and_odd_tables(spark):
     assert topk_search.search(spark.createDataFrame([], schema)).count() == 0
     assert topk_search.search(spark.createDataFrame([(0, [1.0])], schema)).count() == 0
     assert topk_search.search(spark.createDataFrame([(0, [1.0]), (1, [2.0])], schema)).first()["score"] == 64 * 128
-    with pytest.raises(Exception):
-        topk_search.search(spark.createDataFrame([(0, [1e30]), (1, [2.0])], schema)).collect()
+
+
+def test_sparse_postings_and_floors():
+    """Postings without zeros, and thresholds from elsewhere, give the best rows above them."""
+    rng = np.random.default_rng(8)
+    values = np.floor(rng.standard_normal((700, 40)) * 20) * (rng.random((700, 40)) < 0.08)
+    values[:, 3] = np.floor(rng.random(700) * 9) + 1
+    shard = topk_search.Shard(np.arange(700), values)
+    assert len(shard.postings) == 39 and all((values[p, t] != 0).all() and len(p) == np.count_nonzero(values[:, t]) for t, p in shard.postings.items())
+    asked = np.arange(0, 700, 9)
+    queries = values[asked] * (rng.random((len(asked), 40)) < 0.5)
+    score = queries @ values.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    for floor in (None, np.sort(score, axis=1)[:, -9], np.full(len(asked), 1e9)):
+        cols, rows, found = shard.top(asked, queries, 5, floor)
+        for n in range(len(asked)):
+            want = sorted((-s, i) for i, s in enumerate(score[n]) if s > -np.inf and (floor is None or s >= floor[n]))[:5]
+            assert [(-s, i) for c, s, i in zip(cols, found, rows) if c == n] == want
+
+
+@pytest.mark.parametrize("shard_rows", [4096, 7])
+def test_components_of_any_size(spark, shard_rows):
+    """Large components among plain ones: exact sums, also beyond 64 bits, and every vector is scored."""
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.standard_normal(3)]) for i in range(41)]
+    rows += [(60, [300000.0, 1.0, -1.0]), (61, [300000.0, 1.0]), (80, [1e30, -1e30, 5.0]), (81, [-1e300, 1.0, 2.0]), (82, [1.7e308, 0.0, 0.0]), (83, [2.0**40, 2.0**40 + 0.25, 0.0]), (100, [2.0**40, 0.5, 0.0]), (84, [1e30, -1e30, 6.0])]
+    whole = {i: [int(x) * 64 if abs(x) > 2**53 else int(np.floor(64 * x)) for x in v] for i, v in rows}
+    want = []
+    for q in (i for i in whole if i % 20 == 0):
+        found = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:20]
+        want += [(q, n + 1, i, max(min(-s, 2**63 - 1), -(2**63))) for n, (s, i) in enumerate(found)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk_search.search(df, shard_rows=shard_rows, block_queries=2).select("query_id", "rank", "vec_id", "score")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
 @pytest.mark.parametrize(
@@ -65,6 +97,9 @@ def test_search_prunes_and_odd_tables(spark):
         ("http://a.org/es", "a.org", "/es", None, "allow"), ("http://a.org?x=/es/", "a.org", "", None, "allow"), ("no scheme /en/", "", "", None, "allow"), (None, "", "", None, "allow"),
         ("http://casino.example.org/", "casino.example.org", "/", None, "block"), ("http://casinos.example.org/", "casinos.example.org", "/", None, "allow"),
         ("http://x.fr/free-hot-live", "x.fr", "/free-hot-live", None, "block"), ("http://x.fr/free-free-free-hot", "x.fr", "/free-free-free-hot", None, "allow"),
+        ("http://a.com#x://q/en/", "a.com", "", None, "allow"), ("http://www.example.com?u=http://b.com/en/7", "www.example.com", "", None, "allow"),
+        ("http://x.org?a=ftp://y.org/es/", "x.org", "", None, "allow"), ("http://", "", "", None, "allow"), ("http:///en/", "", "/en/", None, "allow"), ("://com/en/#://x", "com", "/en/", "com/en/", "block"),
+        ("http://x.fr/sex-poker", "x.fr", "/sex-poker", None, "block"), ("http://x.fr/sex/sex", "x.fr", "/sex/sex", None, "allow"), ("http://x.fr/free/hot", "x.fr", "/free/hot", None, "allow"),
         ("http://a.net/de/casino", "a.net", "/de/casino", "net/de/", "allow"), ("x://a://b.com/en/", "a:", "//b.com/en/", None, "allow"),
     ],
 )
@@ -86,6 +121,12 @@ def test_urls_against_sql_on_random_urls(spark):
     assert url_filter.judge_urls(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("soft, limit, verdict", [({"red": 5, "blue": 1}, 6, "block"), ({"red": 4, "blue": 1}, 6, "allow"), ({"red": 6}, 6, "block")])
+def test_soft_terms_weigh(spark, soft, limit, verdict):
+    df = spark.createDataFrame([(1, "http://x.fr/red-blue-red")], "page_id long, url string")
+    assert url_filter.judge_urls(df, soft=soft, limit=limit).first()["verdict"] == verdict
+
+
 def test_pipeline_against_its_parts(spark, sf_dir):
     """Each stage against what its operator decides on the stage's own input."""
     from quarry.llm import mixing
