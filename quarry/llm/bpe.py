@@ -30,6 +30,8 @@ from quarry.plans.scratch import ship
 _MASK = (1 << 64) - 1
 #: Pre-tokens in a generation of a worker's memo; at most two generations and one text's are held.
 MEMO_LIMIT = 400_000
+#: Characters of a pre-token that is remembered, at most; longer ones are rare and encoded each time.
+MEMO_LENGTH = 32
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -176,6 +178,8 @@ class _Memo(dict):
         self.codec, self.old = codec, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
+        if len(piece) > MEMO_LENGTH:
+            return tuple(self.codec.piece(piece.encode("utf-8")))
         ids = self.old.get(piece)
         if ids is None:
             ids = tuple(self.codec.piece(piece.encode("utf-8")))

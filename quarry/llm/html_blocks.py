@@ -4,6 +4,12 @@ A leaf block is the text between two block-level boundaries, with white space fo
 references decoded.  Each has the path of open tags with their class, id and role words, and the
 share of its characters inside links.  Comments, scripts, styles and other raw elements give no text;
 unclosed elements end with their parents, and an unclosed raw element or comment ends with the page.
+A comment ends as the page standard says: also at ``<!-->``, ``<!--->`` and ``--!>``.  A quote opens an
+attribute's value behind an equals sign only; if it is never closed, the tag ends at the next ``>``.
+
+Time and memory are linear in the page: the page is scanned once by position, open tags are found by
+their names, blocks share the nodes of their paths, and the path's vector is kept up to date with
+each opened and closed tag instead of being made from the path.
 """
 
 from __future__ import annotations
@@ -11,6 +17,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from array import array
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -29,20 +36,45 @@ _CLOSES = {
     "tr": frozenset(["tr", "td", "th", "p"]), "td": frozenset(["td", "th", "p"]), "th": frozenset(["td", "th", "p"]),
 }
 _SCOPE = frozenset("html body table ul ol dl div section article aside main nav header footer form td th".split())
-_TAG = re.compile(r"<!--|<!\[CDATA\[|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|$)")
+_MARKUP = re.compile(r"<(?=[!?/a-zA-Z])")
+_TAG_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_IN_TAG = re.compile(r"[>\"']")
+_COMMENT_END = re.compile(r"--!?>")
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _NAME_WORD = re.compile(r"[a-z]+")
+#: Numeric references that only leading zeros make long, and ones beyond all code points.
+_ZEROS = re.compile(r"&#([xX]?)0+(?=[0-9a-fA-F])")
+_TOO_LARGE = re.compile(r"&#(?:[0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
 
 PATH_DIMS, WORD_DIMS, PLAIN_DIMS = 128, 48, 10
 DIMS = PATH_DIMS + WORD_DIMS + PLAIN_DIMS
 
 
-@dataclass
+@dataclass(slots=True)
+class Node:
+    """An open element that is not inline: its parent, tag and name words."""
+
+    parent: "Node | None"
+    tag: str
+    names: tuple[str, ...]
+
+
+@dataclass(slots=True)
 class Block:
     text: str
-    path: tuple[str, ...]
+    node: Node | None
+    mark: bytes  # the path's vector as 32-bit integers
     linked: float
 
+    @property
+    def path(self) -> tuple[str, ...]:
+        """Open tags and their name words, from the outermost on."""
+        nodes, node = [], self.node
+        while node:
+            nodes.append(node)
+            node = node.parent
+        return tuple(x for n in reversed(nodes) for x in (n.tag, *("." + w for w in n.names)))
+
 
 def _names(attributes: str) -> tuple[str, ...]:
     if "=" not in attributes:
@@ -53,25 +85,119 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
+def decoded(text: str) -> str:
+    """Text with its character references replaced; numbers of any length are allowed."""
+    if "&#" in text:
+        text = _TOO_LARGE.sub("\ufffd", _ZEROS.sub(r"&#\1", text))
+    return entities.unescape(text) if "&" in text else text
+
+
+@lru_cache(maxsize=100_000)
+def _path_slot(token: str) -> tuple[int, int]:
+    h = zlib.crc32(token.encode("utf-8"))
+    return h % PATH_DIMS, 1 if h >> 31 else -1
+
+
+class _Path:
+    """The open elements, with the last place of each tag and the vector of the distinct path tokens."""
+
+    def __init__(self):
+        self.tags: list[str] = []
+        self.nodes: list[Node | None] = []  # the innermost element that is not inline, at each depth
+        self.places: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.blocks: list[int] = []
+        self.open: dict[str, int] = {}
+        self.vector = array("i", bytes(4 * PATH_DIMS))
+        self.links = 0
+
+    def node(self) -> Node | None:
+        return self.nodes[-1] if self.nodes else None
+
+    def last(self, tag: str) -> int:
+        places = self.places.get(tag)
+        return places[-1] if places else -1
+
+    def _count(self, token: str, by: int) -> None:
+        n = self.open.get(token, 0)
+        if n + by:
+            self.open[token] = n + by
+        else:
+            del self.open[token]
+        if n == 0 or n + by == 0:
+            slot, sign = _path_slot(token)
+            self.vector[slot] += sign * by
+
+    def push(self, tag: str, attributes: str) -> None:
+        at, node = len(self.tags), self.node()
+        self.tags.append(tag)
+        self.places.setdefault(tag, []).append(at)
+        if tag in _SCOPE:
+            self.scopes.append(at)
+        if tag in INLINE:
+            self.links += tag == "a"
+        else:
+            self.blocks.append(at)
+            node = Node(node, tag, _names(attributes))
+            self._count(tag, 1)
+            for w in node.names:
+                self._count("." + w, 1)
+        self.nodes.append(node)
+
+    def close(self, at: int) -> None:
+        """Close the element at this depth and all inside it."""
+        while len(self.tags) > at:
+            tag, node = self.tags.pop(), self.nodes.pop()
+            self.places[tag].pop()
+            if tag in _SCOPE:
+                self.scopes.pop()
+            if tag in INLINE:
+                self.links -= tag == "a"
+            else:
+                self.blocks.pop()
+                self._count(tag, -1)
+                for w in node.names:
+                    self._count("." + w, -1)
+
+
+def _tag_end(page: str, at: int, none_left: dict[str, bool]) -> int:
+    """Where the tag whose attributes begin here has its >; the page's end if it has none."""
+    first = -1
+    while True:
+        m = _IN_TAG.search(page, at)
+        if not m:
+            return len(page) if first < 0 else first
+        c, k = m[0], m.start()
+        if c == ">":
+            return k
+        at = k + 1
+        before = k - 1
+        while page[before] in " \t\n\r\f":
+            before -= 1
+        if page[before] != "=":
+            continue
+        end = -1 if none_left.get(c) else page.find(c, at)
+        if end < 0:
+            none_left[c] = True  # nor behind any later place
+        else:
+            at = end + 1
+
+
 def leaf_blocks(page: str | None) -> list[Block]:
     """The page's leaf blocks in order; empty ones are left out."""
     page = page or ""
     blocks: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    path = _Path()
     line: list[str] = []
-    in_link = chars_linked = chars = 0
+    chars_linked = chars = 0
+    none_left: dict[str, bool] = {}
 
     def flush() -> None:
         nonlocal chars, chars_linked
         if line:
-            text = " ".join(entities.unescape("".join(line)).split())
+            text = " ".join(decoded("".join(line)).split())
             if text:
-                path = []
-                for tag, names in stack:
-                    if tag not in INLINE:
-                        path.append(tag)
-                        path.extend("." + n for n in names)
-                blocks.append(Block(text, tuple(path), chars_linked / max(1, chars)))
+                blocks.append(Block(text, path.node(), path.vector.tobytes(), chars_linked / max(1, chars)))
             line.clear()
         chars = chars_linked = 0
 
@@ -82,75 +208,76 @@ def leaf_blocks(page: str | None) -> list[Block]:
             line.append(piece)
             n = len(piece.strip())
             chars += n
-            if in_link:
+            if path.links:
                 chars_linked += n
 
     at, size = 0, len(page)
     while at < size:
-        m = _TAG.search(page, at)
+        m = _MARKUP.search(page, at)
         if not m:
             text_of(at, size)
             break
-        text_of(at, m.start())
-        whole = m[0]
-        if whole == "<!--":
-            end = page.find("-->", m.end())
-            at = size if end < 0 else end + 3
+        begin = m.start()
+        text_of(at, begin)
+        if page.startswith("<!--", begin):
+            inner = begin + 4
+            if page.startswith((">", "->"), inner):
+                at = page.index(">", inner) + 1
+            else:
+                end = _COMMENT_END.search(page, inner)
+                at = end.end() if end else size
             continue
-        if whole == "<![CDATA[":
-            end = page.find("]]>", m.end())
-            text_of(m.end(), size if end < 0 else end)
+        if page.startswith("<![CDATA[", begin):
+            end = page.find("]]>", begin + 9)
+            text_of(begin + 9, size if end < 0 else end)
             at = size if end < 0 else end + 3
             continue
-        at = m.end()
-        if m[2] is None:
+        closing = page.startswith("</", begin)
+        name = _TAG_NAME.match(page, begin + 1 + closing)
+        if not name:
+            if closing and not page.startswith("</>", begin) and page[begin + 2 : begin + 3] in ("", " "):
+                text_of(begin, begin + 2)
+                at = begin + 2
+                continue
+            end = page.find(">", begin)  # <!doctype>, <?xml> and the like
+            at = size if end < 0 else end + 1
             continue
-        tag = m[2].lower()
-        if m[1]:
+        tag = name[0].lower()
+        end = _tag_end(page, name.end(), none_left)
+        attributes = page[name.end() : end]
+        at = end + 1
+        if closing:
             if tag not in INLINE:
                 flush()
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    in_link -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            k = path.last(tag)
+            # an inline end tag reaches no further than the innermost element that is not inline
+            if k >= 0 and (tag not in INLINE or not path.blocks or k > path.blocks[-1]):
+                path.close(k)
             continue
         if tag not in INLINE:
             flush()
         if tag in VOID:
             continue
         if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}[^>]*>", re.I).search(page, at)
-            if m[3].rstrip().endswith("/") and tag in ("svg", "math"):
+            if attributes.endswith("/") and tag in ("svg", "math"):
                 continue
-            at = end.end() if end else size
+            stop = _raw_end(tag).search(page, at)
+            end = page.find(">", stop.end()) if stop else -1
+            at = size if end < 0 else end + 1
             continue
         closes = _CLOSES.get(tag)
         if closes:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in closes:
-                    in_link -= sum(t == "a" for t, _ in stack[k:])
-                    del stack[k:]
-                    if tag not in ("tr", "td", "th"):
-                        break
-                    break
-                if stack[k][0] in _SCOPE:
-                    break
-        stack.append((tag, _names(m[3])))
-        in_link += tag == "a"
+            k = max(path.last(t) for t in closes)
+            if k >= 0 and k >= (path.scopes[-1] if path.scopes else -1):
+                path.close(k)
+        path.push(tag, attributes)
     flush()
     return blocks
 
 
-@lru_cache(maxsize=20_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
-    v = np.zeros(PATH_DIMS, np.float32)
-    for token in set(path):
-        h = zlib.crc32(token.encode("utf-8"))
-        v[h % PATH_DIMS] += 1.0 if h >> 31 else -1.0
-    return v
+@lru_cache(maxsize=64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(tag)}(?![^\\s/>])", re.I)
 
 
 @lru_cache(maxsize=100_000)
@@ -162,8 +289,9 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     """One row for each block: tag path, hashed words, and plain measures."""
     n = len(blocks)
     out = np.zeros((n, DIMS), np.float32)
+    if n:
+        out[:, :PATH_DIMS] = np.frombuffer(b"".join(b.mark for b in blocks), np.int32).reshape(n, PATH_DIMS)
     for i, b in enumerate(blocks):
-        out[i, :PATH_DIMS] = _path_vector(b.path)
         words = b.text.lower().split()
         counts = np.bincount([_word_slot(w) for w in words], minlength=WORD_DIMS)
         out[i, PATH_DIMS : PATH_DIMS + WORD_DIMS] = counts / len(words)

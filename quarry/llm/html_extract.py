@@ -74,8 +74,33 @@ class BiLSTM:
         return out
 
     def logits(self, x: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        both = np.concatenate([self._run(x, mask, "f"), self._run(x, mask, "b")], axis=2)
-        return both @ self.w["o"] + self.w["p"]
+        """Both directions in one loop, the backward one over reversed steps; gates by one tanh, as s(z) = (1 + tanh(z / 2)) / 2."""
+        n, steps, _ = x.shape
+        half = np.ones(4 * HIDDEN, np.float32)
+        half[: 3 * HIDDEN] = 0.5
+        pre = np.empty((steps, 2, n, 4 * HIDDEN), np.float32)
+        for k, d in enumerate("fb"):
+            z = (x.reshape(n * steps, -1) @ (self.w[f"x{d}"] * half) + self.w[f"c{d}"] * half).reshape(n, steps, -1)
+            pre[:, k] = (z if d == "f" else z[:, ::-1]).transpose(1, 0, 2)
+        turn = np.stack([self.w["hf"] * half, self.w["hb"] * half])
+        here = np.stack([mask, mask[:, ::-1]]).transpose(2, 0, 1)[..., None]
+        whole = bool(mask.all())
+        h, c = np.zeros((2, n, HIDDEN), np.float32), np.zeros((2, n, HIDDEN), np.float32)
+        out = np.empty((steps, 2, n, HIDDEN), np.float32)
+        for t in range(steps):
+            z = np.tanh(pre[t] + h @ turn)
+            gate = z[..., : 3 * HIDDEN] * 0.5 + 0.5
+            c_new = gate[..., HIDDEN : 2 * HIDDEN] * c + gate[..., :HIDDEN] * z[..., 3 * HIDDEN :]
+            h_new = gate[..., 2 * HIDDEN :] * np.tanh(c_new)
+            if whole:
+                h, c = h_new, c_new
+            else:
+                m = here[t]
+                h, c = m * h_new + (1 - m) * h, m * c_new + (1 - m) * c
+            out[t] = h
+        ahead = out[:, 0] @ self.w["o"][:HIDDEN]
+        back = out[:, 1] @ self.w["o"][HIDDEN:]
+        return (ahead + back[::-1]).T + self.w["p"]
 
     def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
         """For each page's vectors whether each block is main text."""

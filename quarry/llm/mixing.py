@@ -2,12 +2,18 @@
 
 Each source's words, in order of document, form one stream that is cut into blocks of ``block``
 words.  Weights give every source a target in words; a source may be taken twice at most, and what
-it cannot give goes to the others by weight (water-filling, in closed form).  The slots of a source
-are dealt to output shards by a multinomial draw.  A slot's running number goes through the source's
-pseudorandom permutation (a Feistel network with cycle walking, keyed by seed, source and pass) to a
-block index, and blocks are joined to documents by (source, index).  The draw is conditioned on the
-source's slot total, so a source's words equal its rounded target; the last slot may be a partial
-block.  Seeds, not partitions, decide everything, so reruns agree.
+it cannot give goes to the others by weight (water-filling, in closed form).  A source's target is a
+number of slots, of which the last may be a partial block.
+
+Output shards have ``shard_slots`` slots each.  Every shard draws how many of its slots each source gets: a
+multinomial draw, conditioned on the sources' slot totals, so that a source's words equal its
+rounded target.  Draws halve the range of shards again and again (what the left half gets of the
+counts, then what its left half gets of these), each seeded by its range, so that any shard finds its
+counts and its sources' running numbers alone, in as many draws as the number of shards has bits.  A
+running number goes through the source's pseudorandom permutation (a Feistel network with cycle
+walking, keyed by seed, source and pass) to a block index, blocks are joined to documents by (source,
+index), and a shard's own permutation says in which of its slots a block lands.  Seeds, not partitions,
+decide everything, so reruns agree.
 
 Streams need the words before each document in its source.  Rows are range-partitioned by (source,
 id) and written; per-partition sums (one row per partition and source) give each partition's start,
@@ -21,6 +27,7 @@ table gives an empty result.  A row's ``taken`` never exceeds twice its size.
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +42,10 @@ from quarry.plans.scratch import Scratch, ship
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST = 2
+#: Sources that draw together, at most; more make further groups with shards of their own.
+GROUP_SOURCES = 10_000
+#: Output shards that are drawn at a time, and slots that one task makes.
+BUNDLE, TASK_SLOTS = 8, 262_144
 
 
 def word_counts(docs: DataFrame, text_col: str) -> DataFrame:
@@ -131,46 +142,94 @@ def slot_plan(size: int, target: float, block: int, seed: int, source: str | Non
     return plan
 
 
-def _slots(sources: DataFrame, block: int, seed: int, shard_slots: int) -> DataFrame:
-    """(source, blk, words): blocks to take; words is the block's first words that are taken, per slot."""
-    total = F.sum("target").over(Window.partitionBy(F.lit(0)))
-    dealt = sources.withColumn("shards", F.greatest(F.lit(1), F.ceil(total / (block * shard_slots))))
+def split_counts(counts: np.ndarray, take: int, key: int) -> np.ndarray:
+    """How many of each kind are among ``take`` of all slots, drawn without replacement."""
+    rng = np.random.default_rng(key)
+    if counts.sum() < 10**9:
+        return rng.multivariate_hypergeometric(counts, take, method="marginals")
+    out, left = np.zeros_like(counts), int(counts.sum())  # beyond what numpy draws: normal, within the possible range
+    for k, c in enumerate(counts.tolist()):
+        p = c / max(1, left)
+        x = round(rng.normal(take * p, (take * p * (1 - p) * (left - take) / max(1, left - 1)) ** 0.5))
+        out[k] = min(max(x, 0, take - (left - c)), c, take)
+        take, left = take - int(out[k]), left - c
+    return out
+
+
+def shard_counts(totals: np.ndarray, shard: int, shard_slots: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each source its first running number and number of slots in this output shard."""
+    counts, first = totals.astype(np.int64), np.zeros(len(totals), np.int64)
+    a, b = 0, max(1, -(-int(totals.sum()) // shard_slots))
+    while b - a > 1:
+        middle = (a + b) // 2
+        left = split_counts(counts, (middle - a) * shard_slots, (seed << 96) + (a << 48) + b)
+        if shard < middle:
+            counts, b = left, middle
+        else:
+            counts, first, a = counts - left, first + left, middle
+    return first, counts
+
+
+def _slots(sources: DataFrame, block: int, seed: int, shard_slots: int, tasks: int) -> DataFrame:
+    """(shard, slot, source, turn, blk, words): the blocks to take, by output shard and slot; words is how many of the block's first words.
+
+    Shards are numbered from 0 in each group of sources (g), and one group is the rule.
+    """
+    names = ["rank", "_source", "source_size", "target"]
+    grouped = sources.groupBy(F.floor(F.col("rank") / GROUP_SOURCES).alias("g")).agg(F.sort_array(F.collect_list(F.struct(*names))).alias("sources"))
 
-    def shards(batches):
+    def planned(group):
+        plans = [slot_plan(r["source_size"], r["target"], block, seed, r["_source"]) for r in group]
+        return plans, np.array([sum(whole + (rest > 0) for _, whole, rest in p) for p in plans], np.int64)
+
+    def bundles(batches):
         for batch in batches:
-            rows = []
-            for source, size, target, n in zip(*[batch.column(c).to_pylist() for c in ("_source", "source_size", "target", "shards")]):
-                for turn, whole, rest in slot_plan(size, target, block, seed, source):
-                    draw = np.random.default_rng(_key(seed + 1, source, turn)).multinomial(whole, np.full(n, 1 / n))
-                    ends = np.cumsum(draw)
-                    rows.extend((source, size, turn, s, int(e - d), int(d), 0) for s, (e, d) in enumerate(zip(ends, draw)) if d)
-                    if rest:
-                        rows.append((source, size, turn, n - 1, whole, 1, rest))
-                    if len(rows) > 10_000:
-                        yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=arrow)
-                        rows = []
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=arrow)
-
-    names = ["source", "size", "turn", "shard", "first", "n", "rest"]
-    arrow = pa.schema([("source", pa.string()), *[(c, pa.int64()) for c in names[1:]]])
-    drawn = dealt.select("_source", "source_size", "target", "shards").mapInArrow(
-        shards, "source string, size long, turn long, shard long, first long, n long, rest long"
-    )
+            for k, group in enumerate(batch.column("sources").to_pylist()):
+                n = -(-int(planned(group)[1].sum()) // shard_slots)
+                for a in range(0, n, BUNDLE * 1000):
+                    begin = list(range(a, min(n, a + BUNDLE * 1000), BUNDLE))
+                    one = batch.slice(k, 1)
+                    cols = [pa.array([one.column("g")[0].as_py()] * len(begin), pa.int64()), one.column("sources").take(pa.array([0] * len(begin)))]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.array(begin, pa.int64()), pa.array([min(n, x + BUNDLE) for x in begin], pa.int64())], names=["g", "sources", "a", "b"])
 
     def blocks(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                p = Permutation(-(-r["size"] // block), _key(seed, r["source"], r["turn"]))
-                for a in range(0, r["n"], 100_000):
-                    at = p.of(np.arange(r["first"] + a, r["first"] + min(r["n"], a + 100_000)))
-                    words = np.full(len(at), r["rest"] or block, np.int64)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([r["source"]] * len(at), pa.string()), pa.array(at), pa.array(words), pa.array(np.full(len(at), r["turn"])), pa.array(np.full(len(at), r["shard"]))],
-                        names=["source", "blk", "words", "turn", "shard"],
-                    )
-
-    spread = drawn.repartition("source", "turn", "first")
-    return spread.mapInArrow(blocks, "source string, blk long, words long, turn long, shard long")
+            for k in range(len(batch)):
+                group, g = batch.column("sources")[k].as_py(), batch.column("g")[k].as_py()
+                plans, totals = planned(group)
+                for shard in range(batch.column("a")[k].as_py(), batch.column("b")[k].as_py()):
+                    first, counts = shard_counts(totals, shard, shard_slots, seed + g)
+                    place = Permutation(int(counts.sum()), _key(seed, f"slots {g}", 0) + shard).of(np.arange(int(counts.sum())))
+                    done = 0
+                    for r, plan, at, n in zip(group, plans, first.tolist(), counts.tolist()):
+                        start = 0
+                        for turn, whole, rest in plan:
+                            size = whole + (rest > 0)
+                            index = np.arange(max(at, start), min(at + n, start + size)) - start
+                            start += size
+                            if not len(index):
+                                continue
+                            blk = Permutation(-(-r["source_size"] // block), _key(seed, r["_source"], turn)).of(index)
+                            words = np.where(index < whole, block, rest)
+                            same = lambda v: np.full(len(index), v)
+                            cols = [same(g), same(shard), place[done : done + len(index)], same(turn), blk, words]
+                            done += len(index)
+                            yield pa.RecordBatch.from_arrays([pa.array([r["_source"]] * len(index), pa.string()), *[pa.array(c, pa.int64()) for c in cols]], names=out)
+
+    out = ["source", "g", "shard", "slot", "turn", "blk", "words"]
+    element = grouped.schema["sources"].dataType.simpleString()
+    dealt = grouped.mapInArrow(bundles, f"g long, sources {element}, a long, b long").repartition(tasks, "g", "a")
+    return dealt.mapInArrow(blocks, "source string, g long, shard long, slot long, turn long, blk long, words long")
+
+
+@dataclass
+class Mix:
+    """rows: _id, _size, source_size, target, taken, shards and, if asked, docs' columns as c_0, c_1 and so on;
+    pieces (_pid, _row, turn, g, shard, slot, a, b): the words a to b of a row that a slot takes; slots as ``_slots`` has them."""
+
+    rows: DataFrame
+    pieces: DataFrame
+    slots: DataFrame
 
 
 def mix(
@@ -180,18 +239,19 @@ def mix(
     source_col: str = "source",
     block: int = 64,
     seed: int = 7,
-    shard_slots: int = 65_536,
+    shard_slots: int = 16_384,
     carry: bool = False,
-) -> tuple[DataFrame, DataFrame, Scratch]:
-    """(rows, pieces): rows with _id, _size, source_size, target, taken and, if asked, docs' columns
-    as c_0, c_1 and so on; pieces (_pid, _row, turn, a, b): the words a to b of a row that a pass takes."""
+) -> Mix:
+    """See the module docstring."""
     ship(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "mix")
     cols = docs.columns if carry else []
     sized = word_counts(docs.select(named(docs, id_col).alias("_id"), named(docs, source_col).cast("string").alias("_source"), named(docs, text_col).alias("_text"), *[named(docs, c).alias(f"c_{i}") for i, c in enumerate(cols)]), "_text").drop("_text")
+    sized = scratch.table(sized, "sized")  # ranges are found by a pass of their own
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = sized.repartitionByRange(parts, "_source", "_id", "_size")
     rows = scratch.table(ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "rows")
+    scratch.drop(sized)
     sums = rows.groupBy("_pid", "_source").agg(F.sum("_size").alias("s"))
     ahead = Window.partitionBy("_source").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("_pid", F.col("_source").alias("_src"), F.coalesce(F.sum("s").over(ahead), F.lit(0)).alias("_base"))
@@ -203,7 +263,8 @@ def mix(
         placed["_pid"], "_row", "_id", "_source", "_size", (F.col("_in") + F.col("_base")).alias("_from")
     )
     placed = scratch.table(placed, "placed")
-    slots = _slots(targets, block, seed, shard_slots)
+    words = targets.agg(F.sum("target")).first()[0] or 0
+    slots = _slots(targets, block, seed, shard_slots, int(words / block / TASK_SLOTS) + 1)
     chunks = placed.filter("_size > 0").select(
         "_pid", "_row", "_source", "_size", "_from",
         F.explode(F.sequence((F.col("_from") / block).cast("long"), ((F.col("_from") + F.col("_size") - 1) / block).cast("long"))).alias("blk"),
@@ -212,14 +273,14 @@ def mix(
     joined = chunks.hint("merge").join(slots, (chunks["blk"] == slots["blk"]) & chunks["_source"].eqNullSafe(slots["source"]))
     begin = F.greatest(F.col("_from"), chunks["blk"] * block)
     end = F.least(F.col("_from") + F.col("_size"), chunks["blk"] * block + F.col("words"))
-    pieces = joined.select("_pid", "_row", "turn", (begin - F.col("_from")).alias("a"), (end - F.col("_from")).alias("b")).filter("b > a")
-    pieces = scratch.table(pieces, "pieces")
-    taken = pieces.groupBy("_pid", "_row").agg(F.sum(F.col("b") - F.col("a")).alias("taken"))
+    pieces = joined.select("_pid", "_row", "turn", "g", "shard", "slot", (begin - F.col("_from")).alias("a"), (end - F.col("_from")).alias("b"))
+    pieces = scratch.table(pieces.filter("b > a"), "pieces")
+    taken = pieces.groupBy("_pid", "_row").agg(F.sum(F.col("b") - F.col("a")).alias("taken"), F.sort_array(F.collect_set("shard")).alias("shards"))
     tgt = targets.select(F.col("_source").alias("_ts"), "source_size", "target")
     base = placed if not carry else rows
     out = base.join(taken, ["_pid", "_row"], "left")
     out = out.join(F.broadcast(tgt) if _few(tgt) else tgt, out["_source"].eqNullSafe(tgt["_ts"])).drop("_ts")
-    return out.withColumn("taken", F.coalesce("taken", F.lit(0))), pieces, scratch
+    return Mix(out.withColumns({"taken": F.coalesce("taken", F.lit(0)), "shards": F.coalesce("shards", F.array().cast("array<bigint>"))}), pieces, slots)
 
 
 def _few(targets: DataFrame, most: int = 10_000) -> bool:
@@ -228,21 +289,29 @@ def _few(targets: DataFrame, most: int = 10_000) -> bool:
 
 
 def mixture(docs: DataFrame, **kw) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, taken."""
-    rows, _, _ = mix(docs, **kw)
-    return rows.select(
-        F.col("_id").alias(kw.get("id_col", "doc_id")), F.col("_size").alias("size"), "source_size", "target", "taken"
+    """One row per document: doc_id, size, source_size, target, taken, and the output shards that hold words of it."""
+    return mix(docs, **kw).rows.select(
+        F.col("_id").alias(kw.get("id_col", "doc_id")), F.col("_size").alias("size"), "source_size", "target", "taken", "shards"
     )
 
 
+def mixed_blocks(docs: DataFrame, **kw) -> DataFrame:
+    """The mix as output shards: (group, shard, slot, id, turn, first, last): the words first to last (exclusive) of a document."""
+    got = mix(docs, **kw)
+    ids = got.rows.select("_pid", "_row", F.col("_id").alias(kw.get("id_col", "doc_id")))
+    out = got.pieces.join(ids, ["_pid", "_row"])
+    return out.select(F.col("g").alias("group"), "shard", "slot", kw.get("id_col", "doc_id"), "turn", F.col("a").alias("first"), F.col("b").alias("last"))
+
+
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str = "n_chars", **kw) -> DataFrame:
     """The mix as documents: for each pass, a row of each document with the words that the pass takes.
 
     A document taken whole keeps its text; of others the taken stretches of the text are joined by
     line ends.  ``length_col``, if docs has it, becomes the new text's code points.
     """
-    rows, pieces, _ = mix(docs, id_col, text_col, carry=True, **kw)
-    runs = pieces.groupBy("_pid", "_row", "turn").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_runs"))
+    got = mix(docs, id_col, text_col, carry=True, **kw)
+    rows = got.rows
+    runs = got.pieces.groupBy("_pid", "_row", "turn").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("_runs"))
     names = docs.columns
     run_col, size_col = fresh("_runs", names), fresh("_size", names)
     picked = rows.join(runs, ["_pid", "_row"]).select(*[F.col(f"c_{i}").alias(c) for i, c in enumerate(names)], F.col("_runs").alias(run_col), F.col("_size").alias(size_col))

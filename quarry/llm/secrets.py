@@ -9,12 +9,14 @@ Weak candidates say little alone: an identifier (a user, client, account or key
 secret (a value under a weak name such as pwd, key or auth, or a mixed token of 20 characters or
 more) and an endpoint (a URL, a host:port, a bucket or host assignment).  Names may have a prefix that
 ends with an underscore, a hyphen or a change to upper case (DB_USER, dbUser; not PGUSER or monkey);
-spans begin at the name, as those of certain findings do.  Weak candidates are parts of one
-credential if they stand together: within a scope (stretches of text between blank lines), parts
-whose gaps are at most ``reach`` code points are interval-joined in one sweep, and a cluster
-is reported if it holds a secret and an identifier or endpoint.  Certain findings count as parts
-(access as identifier, assign and hex as secret), so a lone endpoint next to a certain secret is
-reported with it.
+spans begin at the name, as those of certain findings do.
+
+Parts are linked by an interval join within scopes (stretches of text between blank lines): each
+part, widened by ``reach`` code points on both sides, meets the parts beside it.  A weak candidate is
+reported only if it meets a complementary part: a secret an identifier or endpoint, and an
+identifier or endpoint a secret.  Parts that overlap say the same thing and do not complement each
+other.  Certain findings are parts too: access is an identifier, assign a secret, and hex a secret for
+identifiers only, as digests beside addresses are common in plain text.
 
 Defined results: null text counts as empty; empty texts have no findings; findings of equal start
 come in the order of KINDS; repeated rows get equal results; an empty table gives an empty result.
@@ -24,6 +26,7 @@ Offsets are code points, ends exclusive.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,8 +59,9 @@ _ENDPOINT = re.compile(
     + r"""(?:host|endpoint|server|bucket|url)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._:/-]{3,}""",
     re.I | re.A,
 )
-_SCOPE = re.compile(r"\n[ \t]*\n")
-_PART = {"assign": "secret", "hex": "secret", "access": "identifier"}
+_SCOPE = re.compile(r"\n[ \t\r]*\n")
+#: What complements what.
+_MEETS = {"identifier": ("secret", "assign", "hex"), "endpoint": ("secret", "assign"), "secret": ("identifier", "access", "endpoint")}
 
 
 def _certain(text: str) -> list[tuple[str, int, int]]:
@@ -80,21 +84,37 @@ def _weak(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _clusters(parts: list[tuple[str, int, int]], cuts: list[int], reach: int):
-    """Sweep over parts by start: a part joins the cluster while the gap is within reach and scope."""
-    cluster, end, scope = [], 0, 0
-    for p in sorted(parts, key=lambda p: (p[1], KINDS.index(p[0]), p[2])):
-        moved = scope
-        while moved < len(cuts) and cuts[moved] <= p[1]:
-            moved += 1
-        if cluster and (moved != scope or p[1] - end > reach):
-            yield cluster
-            cluster, end = [], 0
-        scope = moved
-        cluster.append(p)
-        end = max(end, p[2])
-    if cluster:
-        yield cluster
+def _linked(weak: list[tuple[str, int, int]], certain: list[tuple[str, int, int]], cuts: list[int], reach: int) -> list[tuple[str, int, int]]:
+    """The weak candidates with a complementary part beside them; the join is by sorted ends, in n log n."""
+    starts: dict[tuple[str, int], list[int]] = {}
+    ends: dict[tuple[str, int], list[int]] = {}
+    for kind, a, b in [*certain, *weak]:
+        scope = bisect_right(cuts, a)
+        starts.setdefault((kind, scope), []).append(a)
+        ends.setdefault((kind, scope), []).append(b)
+    for side in (starts, ends):
+        for places in side.values():
+            places.sort()
+
+    def meets(kind: str, scope: int, a: int, b: int) -> bool:
+        after, before = starts.get((kind, scope), ()), ends.get((kind, scope), ())
+        i, j = bisect_left(after, b), bisect_right(before, a)
+        return i < len(after) and after[i] - b <= reach or j > 0 and a - before[j - 1] <= reach
+
+    return [p for p in weak if any(meets(k, bisect_right(cuts, p[1]), p[1], p[2]) for k in _MEETS[p[0]])]
+
+
+def _apart(parts: list[tuple[str, int, int]], taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The parts that overlap none of the taken ones."""
+    solid: list[list[int]] = []
+    for _, a, b in sorted(taken, key=lambda p: p[1]):
+        if solid and a <= solid[-1][1]:
+            solid[-1][1] = max(solid[-1][1], b)
+        else:
+            solid.append([a, b])
+    begin = [a for a, _ in solid]
+    before = [bisect_left(begin, b) - 1 for _, _, b in parts]  # the last one that begins before a part ends
+    return [p for p, k in zip(parts, before) if k < 0 or solid[k][1] <= p[1]]
 
 
 def scan(text: str | None, reach: int = 160) -> tuple[list, list]:
@@ -106,12 +126,7 @@ def scan(text: str | None, reach: int = 160) -> tuple[list, list]:
     if not weak:
         return certain, certain
     cuts = [m.start() for m in _SCOPE.finditer(text)]
-    taken = [(a, b) for _, a, b in certain]
-    extra = set()
-    for cluster in _clusters(certain + weak, cuts, reach):
-        parts = {_PART.get(k, k) for k, _, _ in cluster}
-        if "secret" in parts and len(parts) > 1:
-            extra.update(p for p in cluster if p[0] not in CERTAIN and not any(a < p[2] and p[1] < b for a, b in taken))
+    extra = set(_apart(_linked(weak, certain, cuts, reach), certain))
     return certain, sorted([*certain, *extra], key=order)
 
 

@@ -5,9 +5,13 @@ labelled sample (words and word stems with their log-odds), hits near second-per
 punctuation and obfuscation rates, hits that appear only after undoing look-alike characters, and
 length.  Language, source, ids and labels are never inputs.
 
-Fitting takes labelled rows outside the held-out fifth, at most ``SAMPLE`` of them, chosen by a hash
-of the id.  The lexicon is learned across folds, so that a row's own label does not enter its
+Fitting takes labelled rows outside the held-out fifth, at most ``SAMPLE`` ids, chosen by a hash
+of the id, with one text each (the smallest, if an id repeats); texts of over ``LONGEST`` characters are not
+fitted on.  So the driver never holds more than the two bounds allow.  All texts are scored, whole.
+The lexicon is learned across folds, so that a row's own label does not enter its
 features; trees are fitted on these, and the calibration on out-of-fold predictions.
+A score is 0.999 times its calibrated value and 0.001 times the trees' own, so that texts on one step of
+the calibration keep their order.
 
 Defined results: null text counts as empty; empty texts get the score their features give; labels that
 are null are left out, several labels of one id count as their largest; without labels of both kinds
@@ -34,6 +38,8 @@ from quarry.plans.scratch import ship
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 5000
+#: Characters of a text that is fitted on, at most; longer ones are left out of the fit, never cut.
+LONGEST = 200_000
 HELD_OUT_OF = 5
 FOLDS = 4
 #: General insults in the corpus' languages.
@@ -51,7 +57,13 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine i
 #: Characters that stand for letters in disguised words.
 LOOK_ALIKE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": "", ".": "", "-": "", "_": ""})
 _TOKEN = re.compile(r"\w+")
-_DISGUISED = re.compile(r"[^\W\d_]+(?:[0134578@$!*._-]+[^\W\d_]+)+")
+#: Possessive, and only from the beginning of a run of letters: a long word is read once.
+_DISGUISED = re.compile(r"(?<![^\W\d_])[^\W\d_]++(?:[0134578@$!*._-]++[^\W\d_]++)++")
+_SIGNS = frozenset("0134578@$!*._-")
+_BEFORE_LETTER = re.compile(r"[0134578@$!*._-](?=[^\W\d_])")
+_LETTER = re.compile(r"[^\W\d_]")
+_CAPITALS = re.compile(r"[A-Z]{3,}")
+_WORD_SIGN = re.compile(r"\w")
 STEMS = (5, 4)
 FEATURES = (
     "log_words fixed_density fixed_hits word_density word_hits word_distinct word_odds word_best "
@@ -71,26 +83,64 @@ class Parsed:
     undone: list[str]
 
 
+def _disguised(text: str) -> list[str]:
+    """Words with signs between letters.  Most texts have none, which the signs tell without reading the words."""
+    for m in _BEFORE_LETTER.finditer(text):
+        at = m.start() - 1
+        while at >= 0 and text[at] in _SIGNS:
+            at -= 1
+        if at >= 0 and _LETTER.match(text, at):
+            return _DISGUISED.findall(text)
+    return []
+
+
+def _all_caps(text: str) -> int:
+    """Words of three or more capitals A-Z."""
+    beside = lambda at: 0 <= at < len(text) and _WORD_SIGN.match(text, at)
+    return sum(1 for m in _CAPITALS.finditer(text) if not beside(m.start() - 1) and not beside(m.end()))
+
+
 def parse(text: str | None) -> Parsed:
     text = text or ""
     lower = text.lower()
     tokens = _TOKEN.findall(lower)
     n, chars = max(1, len(tokens)), max(1, len(text))
-    disguised = _DISGUISED.findall(text) if any(c in text for c in "013457@$!*._-") else []
+    disguised = _disguised(text)
     raw = np.frombuffer(text.encode("utf-8"), np.uint8)
     capitals = int(np.count_nonzero((raw >= 65) & (raw <= 90)))
     symbols = int(np.count_nonzero((raw >= 33) & (raw <= 47) | (raw >= 58) & (raw <= 64) | (raw >= 91) & (raw <= 96) | (raw >= 123) & (raw <= 126)))
-    all_caps = len(re.findall(r"\b[A-Z]{3,}\b", text)) if capitals > 2 else 0
+    all_caps = _all_caps(text) if capitals > 2 else 0
     plain = [
         len(disguised) / n, capitals / chars, all_caps / n, text.count("!") / chars, text.count("?") / chars, symbols / chars, chars / n,
     ]
     return Parsed(lower, len(tokens), Counter(tokens), plain, [d.lower().translate(LOOK_ALIKE) for d in disguised])
 
 
-@dataclass
-class Lexicon:
-    words: dict[str, float]
-    stems: dict[str, float]
+class Lexicon(dict):
+    """Word -> (insult, second person, its odds, its best stem's odds), or None if it is none of these.
+
+    Made from the odds of learned words and stems; words are looked up once and remembered, at most
+    ``REMEMBERED`` of them.
+    """
+
+    REMEMBERED = 300_000
+
+    def __init__(self, words: dict[str, float], stems: dict[str, float]):
+        super().__init__()
+        self.words, self.stems = words, stems
+
+    def __reduce__(self):
+        return Lexicon, (self.words, self.stems)
+
+    def __missing__(self, w: str):
+        stem = max((self.stems.get(w[:k], 0.0) for k in STEMS), default=0.0) if len(w) > STEMS[-1] else 0.0
+        found = (w in INSULTS, w in SECOND_PERSON, self.words.get(w), stem)
+        if found == (False, False, None, 0.0):
+            found = None
+        if len(self) >= self.REMEMBERED:
+            self.clear()
+        self[w] = found
+        return found
 
 
 def learn_lexicon(parsed: list[Parsed], labels: np.ndarray, least: int = 3, odds: float = 1.5) -> Lexicon:
@@ -119,25 +169,29 @@ def featurise(p: Parsed, lex: Lexicon) -> list[float]:
     fixed = words = stems = 0
     word_odds, stem_odds, word_n, stem_n, hit = 0.0, 0.0, 0, 0, set()
     word_best = stem_best = 0.0
+    you = 0
     for w, c in p.counts.items():
-        if w in INSULTS:
+        known = lex[w]
+        if known is None:
+            continue
+        insult, second, v, stem = known
+        if second:
+            you += c
+        if insult:
             fixed += c
             hit.add(w)
-        v = lex.words.get(w)
         if v is not None:
             words += c
             word_n += 1
             word_odds += v
             word_best = max(word_best, v)
             hit.add(w)
-        v = max((lex.stems.get(w[:k], 0.0) for k in STEMS), default=0.0) if len(w) > STEMS[-1] else 0.0
-        if v:
+        if stem:
             stems += c
             stem_n += 1
-            stem_odds += v
-            stem_best = max(stem_best, v)
+            stem_odds += stem
+            stem_best = max(stem_best, stem)
             hit.add(w)
-    you = sum(p.counts.get(w, 0) for w in SECOND_PERSON)
     near = 0
     if hit and you:
         last_you = last_hit = -99
@@ -260,17 +314,18 @@ def fit(texts: list[str | None], labels: list[int]) -> Model:
     parsed = [parse(texts[i]) for i in chosen]
     for p in parsed:  # one copy of each word
         p.counts = {sys.intern(w): c for w, c in p.counts.items()}
-    fold = np.zeros(len(y), np.int64)
-    for v in (0, 1):  # each fold has its share of both labels
+    fold, folds, dealt = np.zeros(len(y), np.int64), min(FOLDS, len(y)), 0
+    for v in (0, 1):  # each fold has its share of both labels, and no fold is all there is
         at = np.flatnonzero(y == v)
-        fold[np.random.default_rng(11).permutation(at)] = np.arange(len(at)) % FOLDS
+        fold[np.random.default_rng(11).permutation(at)] = (dealt + np.arange(len(at))) % folds
+        dealt += len(at)
     x = np.zeros((len(y), len(FEATURES)))
-    for k in range(FOLDS):
+    for k in range(folds):
         lex = learn_lexicon([p for p, f in zip(parsed, fold) if f != k], y[fold != k])
         for i in np.flatnonzero(fold == k):
             x[i] = featurise(parsed[i], lex)
     out = np.zeros(len(y))
-    for k in range(FOLDS):
+    for k in range(folds):
         out[fold == k] = BoostedTrees().fit(x[fold != k], y[fold != k]).predict(x[fold == k])
     return Model(learn_lexicon(parsed, y), BoostedTrees().fit(x, y), isotonic(out, y), float(y.mean()))
 
@@ -280,14 +335,15 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("null")).cast("binary")) % HELD_OUT_OF == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE) -> Model:
-    """Fit on at most ``sample`` labelled rows outside the held-out fifth."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, longest: int = LONGEST) -> Model:
+    """Fit on at most ``sample`` labelled ids outside the held-out fifth, on texts of at most ``longest`` characters."""
     known = labels.select(named(labels, id_col).alias("_id"), named(labels, label_col).cast("int").alias("_y"))
     known = known.filter(F.col("_y").isNotNull() & F.col("_id").isNotNull() & ~held_out(F.col("_id"))).groupBy("_id").agg(F.max("_y").alias("_y"))
     chosen = known.orderBy(F.xxhash64("_id"), "_id").limit(sample)  # bounded, so it may be broadcast
     texts = docs.select(named(docs, id_col).alias("_id"), named(docs, text_col).alias("t"))
-    rows = texts.join(F.broadcast(chosen), "_id").select("_id", "t", "_y").collect()
-    rows.sort(key=lambda r: (r["_id"], r["t"] or ""))
+    fitted = texts.join(F.broadcast(chosen), "_id").filter(F.coalesce(F.length("t"), F.lit(0)) <= longest)
+    rows = fitted.groupBy("_id", "_y").agg(F.min("t").alias("t")).collect()
+    rows.sort(key=lambda r: r["_id"])
     return fit([r["t"] for r in rows], [int(r["_y"] > 0) for r in rows])
 
 

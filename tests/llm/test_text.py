@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -53,6 +54,12 @@ def test_memo_turns(codec, library, monkeypatch):
     assert [list(ids[a:b]) for a, b in zip(cuts, cuts[1:])] == [library.encode_ordinary(t) for t in texts]
 
 
+def test_long_pre_tokens_are_not_remembered(codec, library):
+    memo, text = bpe._Memo(codec), "short " + " ".join("x" * n + str(n) for n in range(28, 400))
+    ids, _ = bpe.encode_texts(memo, [text])
+    assert list(ids) == library.encode_ordinary(text) and max(map(len, memo)) <= bpe.MEMO_LENGTH
+
+
 def test_tokens_of_odd_tables(spark, docs_of, codec, library):
     rows = [(1, None), (2, ""), (3, "é\x00 <|endoftext|>"), (3, "é\x00 <|endoftext|>"), (4, "long " * 60_000)]
     got = bpe.with_tokens(docs_of(rows), codec)
@@ -114,6 +121,43 @@ def test_parts_are_reported_only_together():
     assert [p[0] for p in certain] == ["assign"] and [p[0] for p in every] == ["assign", "endpoint"]
 
 
+def linked_brute(text, reach):
+    """Each weak candidate against each other part, pair by pair."""
+    certain, weak = base_brute(text), secrets._weak(text)
+    scope = lambda p: len([m for m in re.finditer(r"\n[ \t\r]*\n", text) if m.start() <= p[1]])
+    pairs = {("identifier", "secret"), ("identifier", "assign"), ("identifier", "hex"), ("endpoint", "secret"), ("endpoint", "assign"), ("secret", "access")}
+    found = set()
+    for p in weak:
+        for q in [*certain, *weak]:
+            gap = max(p[1], q[1]) - min(p[2], q[2])
+            if ((p[0], q[0]) in pairs or (q[0], p[0]) in pairs) and scope(p) == scope(q) and 0 <= gap <= reach:
+                found.add(p)
+    return sorted([*certain, *{p for p in found if not any(a < p[2] and p[1] < b for _, a, b in certain)}], key=lambda p: (p[1], secrets.KINDS.index(p[0]), p[2]))
+
+
+MORE = [*PIECES, "pwd=hunter22", "host: db1.example", "10.0.0.1:8080 ", "\nkey=abcdefgh ", "aB3" * 8, "\n \r\n", "word word ", "account_id=77123 "]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from(MORE), max_size=25).map("".join), st.integers(0, 60))
+def test_linked_findings_against_all_pairs(text, reach):
+    assert secrets.scan(text, reach)[1] == linked_brute(text, reach)
+
+
+def test_links_do_not_chain():
+    urls = " ".join(f"some words and https://site{k}.example/page" for k in range(200))
+    assert [p[0] for p in secrets.scan("token=abcdefg at https://h.example/x " + "word " * 60 + urls)[1]] == ["assign", "endpoint"]
+    assert [p[0] for p in secrets.scan("fixed in 0123456789abcdef0123456789abcdef, see https://git.example/log")[1]] == ["hex"]
+    assert secrets.scan("https://video.example/AbCdEfGhIjKlMnOpQrSt1234") == ([], [])  # one part twice is no pair
+
+
+def test_many_findings_in_one_text_take_linear_time():
+    text = "token=abcdefg user=bob pwd=hunter22x https://h.example/x\n" * 17_000  # 1 MB
+    start = time.perf_counter()
+    certain, every = secrets.scan(text)
+    assert len(certain) == 17_000 and len(every) == 68_000 and time.perf_counter() - start < 10
+
+
 def test_every_name_word_reaches_the_path():
     many = [f"u{c}" for c in "abcdefghijkl"]
     page = f'<div class="{" ".join(many)} sidebar" id="x" role="complementary"><p>text</p></div>'
@@ -219,6 +263,50 @@ def test_toxicity_of_odd_tables(spark, docs_of):
     assert toxicity.train(docs_of([]), spark.createDataFrame(labels, schema)).trees is None
 
 
+def test_features_against_a_plain_count():
+    """Fast paths of the features against the patterns that they stand for."""
+    rng = random.Random(3)
+    pieces = ["you", "idiot", "1d10t", "i.d.i.o.t", "ABC", "aABC", "ABC1", "_ABC", "AB", " ", " ", ".", "..", "!", "x@y", "é", "ß1", "m0r0n", "_", "-", "TU"]
+    for _ in range(500):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(12)))
+        p = toxicity.parse(text)
+        found = re.findall(r"[^\W\d_]+(?:[0134578@$!*._-]+[^\W\d_]+)+", text)
+        assert p.undone == [d.lower().translate(toxicity.LOOK_ALIKE) for d in found]
+        n = max(1, p.length)
+        capitals = sum("A" <= c <= "Z" for c in text)
+        assert p.plain[0] == len(found) / n and p.plain[2] == (len(re.findall(r"\b[A-Z]{3,}\b", text)) / n if capitals > 2 else 0)
+
+
+@pytest.mark.parametrize("text", ["x" * 1_000_000 + ". y", "." * 1_000_000, "A" * 1_000_000 + "1", "a." * 500_000, "_" * 1_000_000 + "a"])
+def test_features_of_long_words_take_linear_time(text):
+    start = time.perf_counter()
+    toxicity.featurise(toxicity.parse(text), toxicity.Lexicon({"a": 1.0}, {}))
+    assert time.perf_counter() - start < 5
+
+
+def test_fit_takes_one_text_of_bounded_length_an_id(spark, docs_of):
+    rows, labels = toxic_rows(100)
+    schema = "doc_id long, quality int, toxic int"
+    table = spark.createDataFrame(labels, schema)
+    plain = toxicity.train(docs_of(rows), table)
+    more = [(i, "zzzz " + t) for i, t in rows for _ in range(20)] + [(10**6, None)]
+    assert toxicity.train(docs_of(rows + more), table).lexicon.words == plain.lexicon.words
+    assert toxicity.train(docs_of(rows), table, longest=3).trees is None
+    nulls = toxicity.train(docs_of([(i, None) for i, _ in rows]), table)
+    assert 0 <= nulls.score([None])[0] <= 1
+
+
+def test_toxicity_query_on_held_out_labels(spark):
+    """Precision and recall of the query's predictions where labels were not fitted on."""
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect() if r["toxic"] is not None}
+    got = [r for r in op3_toxicity(spark, "/root/testdata/sf0.1").collect() if r["held_out"] and r["doc_id"] in labels]
+    right = sum(r["predicted"] and labels[r["doc_id"]] for r in got)
+    assert right >= 0.97 * sum(r["predicted"] for r in got) and right >= 0.9 * sum(labels[r["doc_id"]] for r in got)
+    toxic, clean = ([r["score"] for r in got if labels[r["doc_id"]] == v] for v in (1, 0))
+    above = np.searchsorted(np.sort(clean), toxic, "left").sum() / (len(toxic) * len(clean))
+    assert above > 0.95  # a toxic text scores over a clean one
+
+
 def test_toxicity_query(spark, sf_dir):
     got = op3_toxicity(spark, sf_dir).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5) for r in got)
@@ -288,6 +376,57 @@ def test_mix_meets_targets(spark, docs_of):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+def words_of_slots(slots, rows, block):
+    """Words that each row gives, by id: slots are counted word by word over the sources' streams."""
+    streams = {}
+    for i, t, s in sorted(rows, key=lambda r: r[0]):
+        streams.setdefault(s, []).extend([i] * len(WORD.findall(t or "")))
+    taken = {i: 0 for i, _, _ in rows}
+    for r in slots:
+        for i in streams[r["source"]][r["blk"] * block : r["blk"] * block + r["words"]]:
+            taken[i] += 1
+    return taken
+
+
+@pytest.mark.parametrize("block, shard_slots", [(16, 8), (5, 1000), (64, 1)])
+def test_shards_draw_their_sources(spark, docs_of, block, shard_slots):
+    """Every slot of every shard is filled once, from blocks taken once a pass, and rows give what the slots name."""
+    rows = mix_rows()
+    got = mixing.mix(docs_of(rows), block=block, shard_slots=shard_slots)
+    slots, done = got.slots.collect(), got.rows.collect()
+    shards = {}
+    for r in slots:
+        shards.setdefault(r["shard"], []).append(r)
+    assert sorted(shards) == list(range(len(shards))) and len(shards) == -(-len(slots) // shard_slots)
+    for k, mine in shards.items():
+        assert sorted(r["slot"] for r in mine) == list(range(len(mine))) and (len(mine) == shard_slots or k == len(shards) - 1)
+    assert len({(r["source"], r["turn"], r["blk"]) for r in slots}) == len(slots)
+    assert {r["_id"]: r["taken"] for r in done} == words_of_slots(slots, rows, block)
+    # each shard's counts are what it draws alone
+    names = sorted({r["source"] for r in slots}, key=lambda s: (s is None, s or ""))
+    totals = np.array([sum(r["source"] == s for r in slots) for s in names])
+    for k, mine in shards.items():
+        first, counts = mixing.shard_counts(totals, k, shard_slots, 7)
+        assert counts.tolist() == [sum(r["source"] == s for r in mine) for s in names] and (first + counts <= totals).all()
+    # the shards of a row are those that hold words of it
+    held = {}
+    for r in mixing.mixed_blocks(docs_of(rows), block=block, shard_slots=shard_slots).collect():
+        held.setdefault(r["doc_id"], set()).add(r["shard"])
+    assert {r["_id"]: set(r["shards"]) for r in done} == {i: held.get(i, set()) for i, _, _ in rows}
+
+
+def test_draws_are_multinomial():
+    """Counts of a shard over many seeds have the mean and the spread of draws without replacement."""
+    totals = np.array([600, 300, 90, 10])
+    draws = np.array([mixing.shard_counts(totals, 3, 100, seed)[1] for seed in range(2000)])
+    p = totals / 1000
+    assert (draws.sum(axis=1) == 100).all() and np.allclose(draws.mean(axis=0), 100 * p, atol=0.5)
+    assert np.allclose(draws.var(axis=0), 100 * p * (1 - p) * 900 / 999, rtol=0.15)
+    huge = np.array([6 * 10**11, 3 * 10**11, 10**9, 5])
+    first, counts = mixing.shard_counts(huge, 7, 10**7, 3)
+    assert counts.sum() == 10**7 and abs(counts[0] / 10**7 - huge[0] / huge.sum()) < 0.01 and (first + counts <= huge).all()
+
+
 def test_mixed_documents_hold_the_words_taken(spark, docs_of):
     rows = mix_rows()
     docs = docs_of(rows, extra=False)
@@ -308,13 +447,22 @@ def test_mix_of_odd_tables(spark, docs_of):
 
 
 def test_mix_query(spark, sf_dir):
-    docs = {r["doc_id"]: r for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    got, taken, target = op7_source_mix(spark, sf_dir).collect(), {}, {}
+    """Targets, and the words taken of each row, against the documents and the slots, counted anew."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = {r["doc_id"]: r for r in table.collect()}
+    size = {i: len(WORD.findall(r["text"] or "")) for i, r in docs.items()}
+    sizes = {}
+    for i, r in docs.items():
+        sizes[r["source"]] = sizes.get(r["source"], 0) + size[i]
+    want = targets_brute(sizes)
+    taken = words_of_slots(mixing.mix(table).slots.collect(), [(i, r["text"], r["source"]) for i, r in docs.items()], 64)
+    got, total = op7_source_mix(spark, sf_dir).collect(), dict.fromkeys(sizes, 0)
     for r in got:
         s = docs[r["doc_id"]]["source"]
-        assert r["size"] == len(WORD.findall(docs[r["doc_id"]]["text"] or ""))
-        taken[s], target[s] = taken.get(s, 0) + r["taken"], r["target"]
-    assert len(got) == len(docs) and all(abs(taken[s] - target[s]) <= 1 for s in taken)
+        assert (r["size"], r["source_size"], r["taken"]) == (size[r["doc_id"]], sizes[s], taken[r["doc_id"]]) and abs(r["target"] - want[s]) < 1e-6
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        total[s] += r["taken"]
+    assert len(got) == len(docs) and all(abs(total[s] - want[s]) <= 1 for s in total)
 
 
 # --- HTML -----------------------------------------------------------------------------------------
@@ -330,6 +478,57 @@ def test_blocks():
     assert [b.text for b in html_blocks.leaf_blocks("<p attr='>'>q")] == ["q"]
 
 
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<p>one two<!-->three</p><p>four five</p>", ["one twothree", "four five"]), ("<p>a<!--->b</p><p>c", ["ab", "c"]), ("<p>a<!--x--!>b</p><p>c", ["ab", "c"]),
+        ("<p>a<!-- x -->b</p><p>c", ["ab", "c"]), ("<p>a<!-- x", ["a"]), ('<p class=a">t "q" more</p>', ['t "q" more']), ("<p title='a>b'>t", ["t"]), ('<p title="a>t', ["t"]),
+        ("&#0000000065;&#x0000041;" + "&#" + "9" * 6000 + ";", ["AA\ufffd"]), ("<svg/><p>t", ["t"]), ("<SCRIPT>x</scriptx></script y>t", ["t"]),
+    ],
+)
+def test_blocks_of_odd_markup(page, texts):
+    assert [b.text for b in html_blocks.leaf_blocks(page)] == texts
+
+
+def test_path_vectors_follow_the_path():
+    """The vector that is kept while scanning is that of the path's distinct tokens."""
+    rng = random.Random(4)
+    tags = ["<div class='a b'>", "<p>", "</p>", "<ul id=a>", "<li>", "</ul>", "</div>", "<i>", "<a href=x>", "</a>", "</i>", "<td>", "<section role=b>", "</section>", "<b>"]
+    page = "".join(rng.choice(tags) + rng.choice(["", "t "]) for _ in range(3000))
+    for b in html_blocks.leaf_blocks(page):
+        want = np.zeros(html_blocks.PATH_DIMS, int)
+        for token in set(b.path):
+            slot, sign = html_blocks._path_slot(token)
+            want[slot] += sign
+        assert (np.frombuffer(b.mark, np.int32) == want).all()
+
+
+@pytest.mark.parametrize(
+    "unit",
+    ["<div>x", "<" + "a" * 1000 + " '", '<a b="', "<!--x", "<div></section>", "<i><div><b></i>", "<center><h1></h1>", "<script></script", "&#99999999", "<p class='a b c'>x<!-->"],
+)
+def test_long_odd_pages_take_linear_time(unit):
+    page = unit * (1_000_000 // len(unit))
+    start = time.perf_counter()
+    html_blocks.leaf_blocks(page)
+    assert time.perf_counter() - start < 5
+
+
+def test_a_page_of_many_blocks_is_labelled():
+    page = "<article>" + "<div>some words of a block." * 10_000
+    start = time.perf_counter()
+    text = html_extract.main_texts(html_extract.load(), [page])[0]
+    assert isinstance(text, str) and time.perf_counter() - start < 20
+
+
+def test_one_loop_labels_as_two(spark):
+    """Inference runs both directions at once; training runs them one by one."""
+    model = html_extract.load()
+    x, _, m = html_training._padded(html_training.examples(12, 5))
+    two = np.concatenate([model._run(x, m, d) for d in "fb"], axis=2) @ model.w["o"] + model.w["p"]
+    assert np.abs(two - model.logits(x, m))[m > 0].max() < 1e-3
+
+
 def test_labeller_on_unseen_pages():
     blocks, pages = html_training.accuracy(html_extract.load(), html_training.examples(150, 77))
     assert blocks > 0.99 and pages > 0.9
