@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import os
 import zlib
 
 import pandas as pd
@@ -46,6 +47,34 @@ def keyed_hash(key: bytes, data: bytes, depth: int = 1) -> bytes:
     return data
 
 
+# Rounds and suffixes of key derivation.
+KEY_ROUNDS, ACCESS_PAD, BACKUP_PAD = 20_000, b"*ACCESS*KEY*PAD*", b"*ENCRYPTION*PAD*"
+
+
+def _derived(account: str, password: str, pad: bytes) -> bytes:
+    return keyed_hash(hashlib.md5(password.encode("utf-8")).digest(), account.encode("utf-8") + pad, KEY_ROUNDS)
+
+
+def access_key(account: str, password: str) -> bytes:
+    """The key that a client proves to know; the server stores it."""
+    return _derived(account, password, ACCESS_PAD)
+
+
+def backup_key(account: str, password: str) -> bytes:
+    """The key under which the data key is kept; only the client can make it."""
+    return _derived(account, password, BACKUP_PAD)
+
+
+def data_key() -> bytes:
+    """A random data key."""
+    return os.urandom(16)
+
+
+def session_key(account: str, nonce: bytes, key: bytes) -> bytes:
+    """The key of one session, from the account's hash, the server's nonce and the access key."""
+    return keyed_hash(key, hashlib.md5(account.encode("utf-8")).digest() + nonce, KEY_ROUNDS)
+
+
 def keyed_hash_udf(key: bytes, depth: int = 1):
     @F.pandas_udf(T.BinaryType())
     def run(data: pd.Series) -> pd.Series:

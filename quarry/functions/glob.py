@@ -23,20 +23,38 @@ WINDOWS_IGNORES = [
 ]
 
 
-def glob_regex(pattern: str) -> str:
+def default_ignores(platform: str, store_path: str | None = None) -> list[str]:
+    """The patterns skipped by default on ``linux``, ``darwin`` or ``win32`` (names as in sys.platform; others as linux).
+
+    With ``store_path``, the client's own cache files in it are skipped too.
+    """
+    sep = separator_of(platform)
+    own = [] if store_path is None else [store_path.rstrip(sep) + sep + "*.cache*"]
+    if sep == "\\":
+        return [*WINDOWS_IGNORES, *own]
+    return [*(MAC_IGNORES if platform == "darwin" else []), *UNIX_IGNORES, *own]
+
+
+def separator_of(platform: str) -> str:
+    return "\\" if platform.startswith("win") else "/"
+
+
+def glob_regex(pattern: str, separator: str = "/") -> str:
     """* and ? within a path segment, [a-z] and [^a-z] classes, backslash escapes; anchored.
 
-    Raises ValueError for an unfinished class or escape.
+    Where the separator is a backslash, as on Windows, nothing can be escaped.  Raises ValueError for an
+    unfinished class or escape.
     """
-    out, i = [], 0
+    out, i, escapes = [], 0, separator != "\\"
+    other = f"[^{re.escape(separator)}]"
     while i < len(pattern):
         c = pattern[i]
         i += 1
         if c == "*":
-            out.append("[^/]*")
+            out.append(other + "*")
         elif c == "?":
-            out.append("[^/]")
-        elif c == "\\":
+            out.append(other)
+        elif c == "\\" and escapes:
             if i == len(pattern):
                 raise ValueError(f"unfinished escape in {pattern!r}")
             out.append(re.escape(pattern[i]))
@@ -47,7 +65,7 @@ def glob_regex(pattern: str) -> str:
             i += negate
             while first or pattern[i : i + 1] != "]":
                 first = False
-                if i < len(pattern) and pattern[i] == "\\":
+                if escapes and i < len(pattern) and pattern[i] == "\\":
                     i += 1
                 if i >= len(pattern):
                     raise ValueError(f"unfinished class in {pattern!r}")
@@ -70,22 +88,24 @@ class Ignore:
     only_dirs: bool
 
 
-def compile_ignores(patterns: list[str], env: dict[str, str] | None = None) -> list[Ignore]:
+def compile_ignores(patterns: list[str], env: dict[str, str] | None = None, separator: str = "/") -> list[Ignore]:
+    """Patterns with their variables replaced; those that come out empty are left out."""
     out = []
     for pattern in patterns:
         match = expand_env(pattern, env or {})
         if not match:
             continue
-        only_dirs = match.endswith("/")
+        only_dirs = match.endswith(separator)
         match = match[:-1] if only_dirs else match
-        out.append(Ignore(pattern, glob_regex(match), "/" in match, only_dirs))
+        out.append(Ignore(pattern, glob_regex(match, separator), separator in match, only_dirs))
     return out
 
 
-def ignored_by(path: Column, is_dir: Column, ignores: list[Ignore]) -> Column:
+def ignored_by(path: Column, is_dir: Column, ignores: list[Ignore], separator: str = "/") -> Column:
     """The first pattern that matches, or null."""
     found = []
+    base = base_name(path) if separator == "/" else F.substring_index(path, separator, -1)
     for g in ignores:
-        hit = (path if g.full_path else base_name(path)).rlike(g.regex)
+        hit = (path if g.full_path else base).rlike(g.regex)
         found.append(F.when((hit & is_dir) if g.only_dirs else hit, F.lit(g.pattern)))
     return F.coalesce(*found, F.lit(None).cast("string"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,28 +27,65 @@ def window_digests(data: np.ndarray, window: int) -> np.ndarray:
     return ((s2 & 0xFFFF) << 16) | (s1 & 0xFFFF)
 
 
+#: Window ends whose digests are computed at a time.
+SLICE = 1 << 18
+
+
+def digests_between(raw: np.ndarray, first: int, last: int, window: int) -> np.ndarray:
+    """Digests of the windows that end at first to last, inclusive; a slice at a time."""
+    out = np.empty(max(0, last - first + 1), np.uint32)
+    for a in range(first, last + 1, SLICE):
+        b = min(last, a + SLICE - 1)
+        out[a - first : b - first + 1] = window_digests(raw[a - window : b], window)
+    return out
+
+
 def cut_points(data: bytes, least: int = MIN_BLOCK, most: int = MAX_BLOCK) -> list[int]:
     """Ends of the chunks.  A buffer of over 2 * least bytes is cut where the digest is largest (the last
-    such place), the rest is carried over; a smaller buffer is one chunk."""
+    such place), the rest is carried over; a smaller buffer is one chunk.
+
+    A digest is computed once, however often its place is carried over; four bytes for each place of a
+    buffer are held.
+    """
     raw, start, filled, cuts = np.frombuffer(data, np.uint8), 0, 0, []
+    known, known_from = np.zeros(0, np.uint32), least  # digests of ends from known_from on
     while start < len(raw):
         filled = min(len(raw), max(filled, start) + (most - max(0, filled - start)))
-        buffer = raw[start:filled]
-        size = len(buffer)
+        size = filled - start
         if size > 2 * least:
-            d = window_digests(buffer, least)
-            size = least + len(d) - 1 - int(d[::-1].argmax())
+            first = start + least
+            known, known_from = (known[first - known_from :], first) if first - known_from <= len(known) else (known[:0], first)
+            known = np.concatenate([known, digests_between(raw, known_from + len(known), filled, least)])
+            size = least + len(known) - 1 - int(known[::-1].argmax())
         start += size
         cuts.append(start)
     return cuts
 
 
-def chunk_files(files: DataFrame, id_col: str, data_col: str, least: int = MIN_BLOCK, most: int = MAX_BLOCK) -> DataFrame:
-    """(file, ordinal, offset, length, block): the chunks of each row's text or bytes; null or empty has none."""
+def stream_chunks(f, least: int = MIN_BLOCK, most: int = MAX_BLOCK) -> Iterator[bytes]:
+    """The chunks of an open file, as ``cut_points`` makes them, in the memory of two buffers."""
+    held, ended = b"", False
+    while held or not ended:
+        while len(held) < most and not ended:
+            more = f.read(most - len(held))
+            ended, held = not more, held + more
+        if not held:
+            return
+        size = len(held)
+        if size > 2 * least:
+            d = digests_between(np.frombuffer(held, np.uint8), least, size, least)
+            size = least + len(d) - 1 - int(d[::-1].argmax())
+        yield held[:size]
+        held = held[size:]
+
+
+def chunk_files(files: DataFrame, id_col: str, data_col: str, least: int = MIN_BLOCK, most: int = MAX_BLOCK, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(file, carried columns, ordinal, offset, length, block): the chunks of each row's text or bytes; null or empty has none."""
     ship(files.sparkSession)
+    keep = [id_col, *carry]
     schema = T.StructType(
         [
-            T.StructField(id_col, files.schema[id_col].dataType), T.StructField("ordinal", T.IntegerType()), T.StructField("offset", T.LongType()),
+            *[files.schema[c] for c in keep], T.StructField("ordinal", T.IntegerType()), T.StructField("offset", T.LongType()),
             T.StructField("length", T.LongType()), T.StructField("block", T.StringType()),
         ]
     )
@@ -68,10 +106,10 @@ def chunk_files(files: DataFrame, id_col: str, data_col: str, least: int = MIN_B
                     a = b
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(id_col).take(pa.array(rows, pa.int64())), pa.array(ordinal, pa.int32()), pa.array(offset, pa.int64()),
+                    *[batch.column(c).take(pa.array(rows, pa.int64())) for c in keep], pa.array(ordinal, pa.int32()), pa.array(offset, pa.int64()),
                     pa.array(length, pa.int64()), pa.array(block, pa.string()),
                 ],
                 names=schema.names,
             )
 
-    return files.select(files[id_col], files[data_col].cast("binary").alias("_data")).mapInArrow(run, schema)
+    return files.select(*[files[c] for c in keep], files[data_col].cast("binary").alias("_data")).mapInArrow(run, schema)

@@ -1,50 +1,69 @@
 """Retention plans.
 
 Whether a snapshot goes depends on the last one that stayed, not on its neighbour, so the plan is a
-fold over a dataset's snapshots from newest to oldest.  The fold is an ``aggregate`` over a sorted
-array inside one group: a dataset's times must fit in one row (16 bytes a snapshot).
+fold over a dataset's snapshots from newest to oldest.  Snapshots are dealt by dataset and sorted, by Spark's
+spilling sort; the fold then streams over Arrow batches and holds one snapshot's day and year, so time is
+linear and no dataset has to fit in memory.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.scalars import DAY
+from quarry.plans.scratch import ship
 
 
-def _fold(times: Column, now: int, days: int, weeks: int, yearly: bool) -> Column:
-    """times: (ts seconds, id), newest first.  Returns the array with a kept flag for each."""
-    today = now - now % DAY
-    daily = today - days * DAY if days > 0 else 0
-    weekly = today - weeks * 7 * DAY if weeks > 0 else 0
-    kind = "struct<i:int,day:bigint,year:int,out:array<struct<id:bigint,ts:bigint,kept:boolean>>>"
-
-    def step(acc: Column, e: Column) -> Column:
-        day = e["ts"] - e["ts"] % DAY
-        year = F.year(F.timestamp_seconds(e["ts"]))
-        candidate = (acc["i"] >= 2) & (F.lit(now) - e["ts"] > DAY)
-        if yearly:
-            candidate = candidate & (year == acc["year"])
-        gone = (day == acc["day"]) | ((acc["day"] - day < 7 * DAY) & (day < daily))
-        gone = gone | ((day < weekly) if weekly < daily else (day < daily))
-        kept = ~(candidate & gone)
-        return F.struct(
-            (acc["i"] + 1).alias("i"),
-            F.when(kept, day).otherwise(acc["day"]).alias("day"),
-            F.when(kept, year).otherwise(acc["year"]).alias("year"),
-            F.concat(acc["out"], F.array(F.struct(e["id"].cast("long").alias("id"), e["ts"].alias("ts"), kept.alias("kept")))).alias("out"),
-        ).cast(kind)
-
-    start = F.struct(F.lit(0).alias("i"), F.lit(0).cast("long").alias("day"), F.lit(0).alias("year"), F.array().alias("out")).cast(kind)
-    return F.aggregate(times, start, step, lambda acc: acc["out"])
+class Fold:
+    """The rule, with the state that it carries from one snapshot of a dataset to the next."""
+
+    def __init__(self, now: int, days: int, weeks: int, yearly: bool):
+        self.now, self.yearly = now, yearly
+        today = now - now % DAY
+        self.daily = today - days * DAY if days > 0 else 0
+        self.weekly = today - weeks * 7 * DAY if weeks > 0 else 0
+        self.last = self.weekly if self.weekly < self.daily else self.daily
+        self.begin()
+
+    def begin(self) -> None:
+        self.seen, self.day, self.year = 0, 0, 0
+
+    def keeps(self, ts: int, year: int) -> bool:
+        day = ts - ts % DAY
+        goes = self.seen >= 2 and self.now - ts > DAY and (not self.yearly or year == self.year)
+        goes = goes and (day == self.day or self.day - day < 7 * DAY and day < self.daily or day < self.last)
+        self.seen += 1
+        if not goes:
+            self.day, self.year = day, year
+        return not goes
 
 
 def plan(states: DataFrame, now: int, days: int = 0, weeks: int = 0, yearly: bool = False) -> DataFrame:
     """(dataset, id, ts, kept) for states (dataset, id, ts in seconds); the newest two always stay.
 
-    days, weeks: 0 is unlimited.  Day arithmetic is UTC; years follow the session's time zone.
+    days, weeks: 0 is unlimited.  Day arithmetic is UTC; years follow the session's time zone.  Null
+    datasets are one dataset; a null time is kept and counts for nothing.
     """
-    newest_first = F.sort_array(F.collect_list(F.struct("ts", "id")), asc=False)
-    folded = states.groupBy("dataset").agg(newest_first.alias("s")).select("dataset", F.explode(_fold(F.col("s"), now, days, weeks, yearly)).alias("e"))
-    return folded.select("dataset", "e.id", "e.ts", "e.kept")
+    ship(states.sparkSession)
+    rows = states.select("dataset", F.col("id").cast("long").alias("id"), F.col("ts").cast("long").alias("ts"))
+    dealt = rows.withColumn("year", F.year(F.timestamp_seconds("ts"))).repartition("dataset")
+    dealt = dealt.sortWithinPartitions("dataset", F.col("ts").desc_nulls_last(), F.desc("id"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("kept", T.BooleanType(), False)])
+
+    def run(batches):
+        fold, last = Fold(now, days, weeks, yearly), object()
+        for batch in batches:
+            kept = np.ones(len(batch), bool)
+            for k, (dataset, ts, year) in enumerate(zip(*[batch.column(c).to_pylist() for c in ("dataset", "ts", "year")])):
+                if dataset != last:
+                    last = dataset
+                    fold.begin()
+                if ts is not None:
+                    kept[k] = fold.keeps(ts, year)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("dataset", "id", "ts")], pa.array(kept)], names=schema.names)
+
+    return dealt.mapInArrow(run, schema)

@@ -27,9 +27,9 @@ SQL = {
         UNION ALL SELECT 'P:' || p_partkey, CAST(p_size AS BIGINT), p_partkey % 16 FROM part
         UNION ALL SELECT 'S:' || s_suppkey, CAST(round(abs(s_acctbal) * 100) AS BIGINT), s_suppkey % 16 FROM supplier
         UNION ALL SELECT 'N:' || n_nationkey, CAST(strlen(n_name) AS BIGINT), CAST(n_nationkey % 16 AS BIGINT) FROM nation
-        UNION ALL SELECT 'R:' || r_regionkey, CAST(strlen(r_name) AS BIGINT), CAST(r_regionkey % 16 AS BIGINT) FROM region)""",
-    "marked": """marked AS (SELECT 'O:' || o_orderkey AS node FROM orders WHERE o_orderstatus = 'F'
-        UNION SELECT e.dst FROM edges e JOIN marked m ON e.src = m.node)""",
+        UNION ALL SELECT 'R:' || r_regionkey, CAST(strlen(r_name) AS BIGINT), 16 FROM region)""",
+    "marked": """marked AS (SELECT 'O:' || o_orderkey AS node, 0 AS level FROM orders WHERE o_orderstatus = 'F'
+        UNION SELECT e.dst, level + 1 FROM edges e JOIN marked m ON e.src = m.node)""",
     "files": r"""files AS (SELECT path, max(size) AS size, max(content) AS content FROM (
         SELECT regexp_replace(regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', ''), '/+$', '') || '/index' AS path,
         strlen(html) AS size, md5(html) AS content FROM pages) GROUP BY path)""",
@@ -39,11 +39,14 @@ SQL = {
               UNION ALL SELECT DISTINCT array_to_string(string_split(path, '/')[1:n], '/'), true, 0, NULL
                 FROM files, unnest(range(1, len(string_split(path, '/')))) AS t(n))
         UNION ALL SELECT '', NULL, '', true, 0, 0, NULL)""",
-    "entries": """entries AS (SELECT doc_id, source || '/' || lang AS parent, source || '/' || lang || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path,
-        lpad(CAST(doc_id AS VARCHAR), 9, '0') AS name, 'file' AS kind, strlen(text) AS size, 420 AS mode,
-        1700000000000000000 + n_chars * 1000000007 AS mtime_ns, md5(text) AS content, CAST(NULL AS VARCHAR) AS target, lang, source, text FROM documents)""",
+    "entries": """entries AS (SELECT * REPLACE (CASE WHEN size > 0 THEN content END AS content) FROM (
+        SELECT doc_id, source || '/' || lang AS parent, source || '/' || lang || '/' || lpad(CAST(doc_id AS VARCHAR), 9, '0') AS path,
+        lpad(CAST(doc_id AS VARCHAR), 9, '0') AS name, CASE doc_id % 11 WHEN 0 THEN 'dir' WHEN 1 THEN 'link' ELSE 'file' END AS kind,
+        CASE WHEN doc_id % 11 > 2 THEN strlen(text) ELSE 0 END AS size, 420 AS mode, 1700000000000000000 + n_chars * 1000000007 AS mtime_ns,
+        md5(text) AS content, CASE WHEN doc_id % 11 = 1 THEN 'to-' || source END AS target, lang, source, text FROM documents))""",
     "olds": """olds AS (SELECT * REPLACE (CASE WHEN source = 'src7' THEN 384 ELSE mode END AS mode,
-        CASE WHEN lang = 'es' THEN md5(upper(text)) ELSE content END AS content,
+        CASE WHEN lang = 'es' AND size > 0 THEN md5(upper(text)) ELSE content END AS content, CASE WHEN doc_id % 33 = 0 THEN 'file' ELSE kind END AS kind,
+        CASE WHEN doc_id % 22 = 1 THEN target || '-old' ELSE target END AS target,
         CASE WHEN lang = 'es' THEN mtime_ns - 1000000000 ELSE mtime_ns END AS mtime_ns) FROM entries WHERE lang <> 'fr')""",
     "news": """news AS (SELECT * FROM entries WHERE lang <> 'de')""",
     "copies": """copies AS (SELECT md5(text) AS block, CAST(substr(source, 4) AS BIGINT) AS file, doc_id * 65536 AS "offset", strlen(text) AS size FROM documents)""",
@@ -107,7 +110,7 @@ def nodes(spark: SparkSession, d: str) -> DataFrame:
         table(spark, d, "part").select(_node("P", "p_partkey").alias("block"), F.col("p_size").cast("long").alias("size"), file("p_partkey")),
         table(spark, d, "supplier").select(_node("S", "s_suppkey").alias("block"), F.round(F.abs("s_acctbal") * 100).cast("long").alias("size"), file("s_suppkey")),
         table(spark, d, "nation").select(_node("N", "n_nationkey").alias("block"), F.octet_length("n_name").cast("long").alias("size"), file("n_nationkey")),
-        table(spark, d, "region").select(_node("R", "r_regionkey").alias("block"), F.octet_length("r_name").cast("long").alias("size"), file("r_regionkey")),
+        table(spark, d, "region").select(_node("R", "r_regionkey").alias("block"), F.octet_length("r_name").cast("long").alias("size"), F.lit(16).cast("long").alias("file")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -127,23 +130,28 @@ def files(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entries(spark: SparkSession, d: str) -> DataFrame:
-    """Documents as files of a snapshot."""
+    """Documents as files of a snapshot; of each eleven one is a directory, one a link and one an empty file."""
     name = F.lpad(F.col("doc_id").cast("string"), 9, "0")
+    turn = F.col("doc_id") % 11
+    full = turn > 2
     return table(spark, d, "documents").select(
         "doc_id", F.concat_ws("/", "source", "lang").alias("parent"), F.concat_ws("/", "source", "lang", name).alias("path"), name.alias("name"),
-        F.lit("file").alias("kind"), F.octet_length("text").cast("long").alias("size"), F.lit(420).alias("mode"),
-        (F.lit(1700000000000000000) + F.col("n_chars") * 1000000007).alias("mtime_ns"), F.md5("text").alias("content"),
-        F.lit(None).cast("string").alias("target"), "lang", "source", "text",
+        F.when(turn == 0, "dir").when(turn == 1, "link").otherwise("file").alias("kind"),
+        F.when(full, F.octet_length("text")).otherwise(0).cast("long").alias("size"), F.lit(420).alias("mode"),
+        (F.lit(1700000000000000000) + F.col("n_chars") * 1000000007).alias("mtime_ns"), F.when(full & (F.octet_length("text") > 0), F.md5("text")).alias("content"),
+        F.when(turn == 1, F.concat(F.lit("to-"), "source")).alias("target"), "lang", "source", "text",
     )
 
 
 def old_entries(spark: SparkSession, d: str) -> DataFrame:
-    """An earlier snapshot: no French files, other Spanish contents, other modes in one source."""
+    """An earlier snapshot: no French files, other Spanish contents, other modes in one source, some other kinds and targets."""
     spanish = F.col("lang") == "es"
     return entries(spark, d).filter("lang <> 'fr'").withColumns(
         {
             "mode": F.when(F.col("source") == "src7", 384).otherwise(F.col("mode")),
-            "content": F.when(spanish, F.md5(F.upper("text"))).otherwise(F.col("content")),
+            "content": F.when(spanish & (F.col("size") > 0), F.md5(F.upper("text"))).otherwise(F.col("content")),
+            "kind": F.when(F.col("doc_id") % 33 == 0, "file").otherwise(F.col("kind")),
+            "target": F.when(F.col("doc_id") % 22 == 1, F.concat("target", F.lit("-old"))).otherwise(F.col("target")),
             "mtime_ns": F.when(spanish, F.col("mtime_ns") - 1000000000).otherwise(F.col("mtime_ns")),
         }
     )

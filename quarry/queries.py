@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarry.functions import glob, scalars as s
 from quarry.operators import blocks as blk
 from quarry.operators import chunking, graph, maintenance, retention, snapshot, sync, txlog
+from quarry import source_queries
 from quarry.plans import mapping as m
 from quarry.plans.mapping import with_
 from quarry.plans.tables import table
@@ -173,9 +174,14 @@ def _(spark, d):
     return txlog.with_name_rank(txlog.dataset_size(_live(spark, d))).select("account", "dataset", F.col("rank").cast("long").alias("rank"))
 
 
-@query("catalog_visible", "SELECT p_partkey, p_name FROM part WHERE ascii(p_name) > 32")
+@query(
+    "catalog_visible",
+    "SELECT p_partkey, p_name FROM (SELECT p_partkey, CASE WHEN p_partkey % 5 = 0 THEN chr(1) || p_name WHEN p_partkey % 7 = 0 THEN ' ' || p_name ELSE p_name END AS p_name FROM part) WHERE ascii(p_name) > 32",
+)
 def _(spark, d):
-    return txlog.visible(table(spark, d, "part").select("p_partkey", "p_name"), "p_name")
+    """Some names begin with a control character or a space."""
+    named = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("\x01"), "p_name")).when(F.col("p_partkey") % 7 == 0, F.concat(F.lit(" "), "p_name")).otherwise(F.col("p_name"))
+    return txlog.visible(table(spark, d, "part").select("p_partkey", named.alias("p_name")), "p_name")
 
 
 @query(
@@ -250,21 +256,40 @@ def _(spark, d):
     return docs.select("doc_id", s.block_id(F.array(F.md5("source")), F.col("text")).alias("block"))
 
 
-@query("block_verify", "SELECT doc_id, true AS ok FROM documents")
+@query("block_verify", "SELECT doc_id, doc_id % 3 = 2 AS ok FROM documents")
 def _(spark, d):
-    docs = table(spark, d, "documents")
+    """Of three blocks one has other data than its id says, and one other links."""
+    docs, turn = table(spark, d, "documents"), F.col("doc_id") % 3
     links = F.array(F.md5("lang"))
-    rows = docs.select("doc_id", "text", links.alias("links"), s.block_id(links, F.col("text")).alias("block"))
-    return rows.select("doc_id", s.verify_block(F.col("block"), F.col("links"), F.col("text")).alias("ok"))
+    data = F.when(turn == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    found = F.when(turn == 1, F.array(F.md5(F.concat("lang", F.lit("!"))))).otherwise(links)
+    return docs.select("doc_id", s.verify_block(s.block_id(links, F.col("text")), found, data).alias("ok"))
 
 
-@query("block_compress_round_trip", "SELECT doc_id, md5(text) AS block, true AS same FROM documents")
+@query("block_verify_failures", "SELECT md5(unhex('00000001' || md5(lang) || lpad(lower(to_hex(strlen(text))), 8, '0')) || encode(text)) AS block FROM documents WHERE doc_id % 3 < 2")
 def _(spark, d):
+    """What a check of contents finds among the same blocks."""
+    docs, turn = table(spark, d, "documents"), F.col("doc_id") % 3
+    links = F.array(F.md5("lang"))
+    rows = docs.select(
+        s.block_id(links, F.col("text")).alias("block"), F.when(turn == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("data"),
+        F.when(turn == 1, F.array(F.md5(F.concat("lang", F.lit("!"))))).otherwise(links).alias("links"),
+    )
+    return blk.content_failures(rows)
+
+
+@query("block_compress_round_trip", "SELECT doc_id, CASE WHEN doc_id % 5 > 0 THEN md5(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) END AS block, doc_id % 3 > 0 AND doc_id % 5 > 0 AS same FROM documents")
+def _(spark, d):
+    """Payloads come back as they were stored: some from other data, and some broken, which have none."""
     from quarry.functions.codecs import ZLIB, deflate, payload
 
     docs = table(spark, d, "documents").select("doc_id", F.col("text").cast("binary").alias("raw"))
-    back = payload(deflate("raw"), F.lit(ZLIB))
-    return docs.select("doc_id", "raw", back.alias("back")).select("doc_id", F.md5("back").alias("block"), (F.col("raw") == F.col("back")).alias("same"))
+    given = F.when(F.col("doc_id") % 3 == 0, F.concat("raw", F.lit("!").cast("binary"))).otherwise(F.col("raw"))
+    stored = docs.withColumn("stored", deflate(given))
+    broken = F.concat(F.lit(b"\0"), F.expr("substring(stored, 2)"))
+    stored = stored.withColumn("stored", F.when(F.col("doc_id") % 5 == 0, broken).otherwise(F.col("stored")))
+    back = stored.select("doc_id", "raw", payload("stored", F.lit(ZLIB)).alias("back"))
+    return back.select("doc_id", F.md5("back").alias("block"), F.coalesce(F.col("raw") == F.col("back"), F.lit(False)).alias("same"))
 
 
 @query("index_home_slots", with_("blocks") + "SELECT block, CAST('0x' || right(block, 6) AS BIGINT) AS home, row_number() OVER (PARTITION BY right(block, 6) ORDER BY block) - 1 AS place FROM (SELECT DISTINCT block FROM blocks)")
@@ -293,9 +318,17 @@ def _(spark, d):
     return blk.recovered(m.copies(spark, d))
 
 
-@query("recover_repairs", with_("copies", "ix") + ", " + _REBUILT + """ SELECT r.block, 'moved' AS change FROM rebuilt r JOIN ix i ON r.block = i.block WHERE r.file <> i.file OR r."offset" <> i."offset" """)
+@query(
+    "recover_repairs",
+    with_("copies", "ix") + ", " + _REBUILT + """, had AS (SELECT * FROM ix WHERE file <> 3 UNION ALL SELECT DISTINCT md5('lost-' || source), 0, 0 FROM documents),
+    both_ AS (SELECT coalesce(r.block, h.block) AS block, CASE WHEN h.block IS NULL THEN 'added' WHEN r.block IS NULL THEN 'lost' WHEN r.file <> h.file OR r."offset" <> h."offset" THEN 'moved' END AS change
+    FROM rebuilt r FULL OUTER JOIN had h ON r.block = h.block) SELECT block, change FROM both_ WHERE change IS NOT NULL""",
+)
 def _(spark, d):
-    return blk.repairs(blk.recovered(m.copies(spark, d)), m.index(spark, d))
+    """The old index lacks one file's blocks and has some that no file holds."""
+    lost = table(spark, d, "documents").select(F.md5(F.concat(F.lit("lost-"), "source")).alias("block"), F.lit(0).cast("long").alias("file"), F.lit(0).cast("long").alias("offset"))
+    had = m.index(spark, d).filter("file <> 3").select("block", "file", "offset").unionByName(lost.distinct())
+    return blk.repairs(blk.recovered(m.copies(spark, d)), had)
 
 
 @query(
@@ -311,15 +344,17 @@ def _(spark, d):
 
 @query(
     "integrity_mismatches",
-    """SELECT block, reason FROM (SELECT 'O:' || o_orderkey AS block, CASE WHEN l.n IS NULL THEN 'missing' WHEN l.n <> length(o_orderpriority) THEN 'link count' END AS reason
-    FROM orders LEFT JOIN (SELECT l_orderkey, count(DISTINCT l_linenumber) AS n FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey) WHERE reason IS NOT NULL""",
+    """SELECT block, reason FROM (SELECT 'O:' || o_orderkey AS block, CASE WHEN l.n IS NULL THEN 'missing' WHEN l.n <> length(o_orderpriority) THEN 'link count'
+    WHEN o_orderkey % 3 = 0 AND l.n > 1 THEN 'link order' WHEN o_orderkey % 4 = 0 THEN 'size' END AS reason
+    FROM orders LEFT JOIN (SELECT l_orderkey, 5 + count(DISTINCT l_linenumber) % 2 AS n FROM lineitem GROUP BY l_orderkey) l ON l_orderkey = o_orderkey) WHERE reason IS NOT NULL""",
 )
 def _(spark, d):
-    """Orders as metadata whose link counts (priority's length) are checked against their lines."""
-    some = lambda n: F.transform(F.sequence(F.lit(1), n), lambda i: F.lit("x"))
-    meta = table(spark, d, "orders").select(m._node("O", "o_orderkey").alias("block"), some(F.length("o_orderpriority")).alias("links"), F.lit(0).alias("size"))
-    data = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.countDistinct("l_linenumber").cast("int").alias("n"))
-    data = data.select(m._node("O", "l_orderkey").alias("block"), some(F.col("n")).alias("links"), F.lit(0).alias("size"))
+    """Orders as metadata, of as many links as the priority has letters, against blocks of five or six links, some in reverse or of another size."""
+    numbers = lambda n: F.transform(F.sequence(F.lit(1), n), lambda i: i.cast("string"))
+    meta = table(spark, d, "orders").select(m._node("O", "o_orderkey").alias("block"), numbers(F.length("o_orderpriority")).alias("links"), F.lit(7).alias("size"))
+    data = table(spark, d, "lineitem").groupBy("l_orderkey").agg((5 + F.countDistinct("l_linenumber") % 2).cast("int").alias("n"))
+    links = F.when(F.col("l_orderkey") % 3 == 0, F.reverse(numbers(F.col("n")))).otherwise(numbers(F.col("n")))
+    data = data.select(m._node("O", "l_orderkey").alias("block"), links.alias("links"), F.when(F.col("l_orderkey") % 4 == 0, 99).otherwise(7).alias("size"))
     return blk.mismatches(meta, data)
 
 
@@ -341,9 +376,9 @@ def _space(spark, d):
     return graph.dead_space(nodes, graph.garbage(nodes, _marked(spark, d)))
 
 
-@query("gc_reachable", _MARK + "SELECT node FROM marked")
+@query("gc_reachable", _MARK + "SELECT node, level FROM marked")
 def _(spark, d):
-    return _marked(spark, d).select("node")
+    return _marked(spark, d).select("node", "level")
 
 
 @query("gc_garbage", _DEAD + "SELECT block, size, file FROM dead")
@@ -354,16 +389,25 @@ def _(spark, d):
 query("gc_dead_space", _DEAD + "SELECT * FROM space")(_space)
 
 
-@query("gc_compact_candidates", _DEAD + "SELECT *, dead * 100 // file_size AS dead_percent FROM space WHERE file_size < 171798691 OR dead * 100 // file_size >= 5")
+#: Files below this size are compacted in any case, and the whole percentage of dead bytes from which others are.
+_ALWAYS, _PERCENT = 1000, 66
+_CHOSEN = f"chosen AS (SELECT *, dead * 100 // file_size AS dead_percent FROM space WHERE file_size < {_ALWAYS} OR dead * 100 // file_size >= {_PERCENT})"
+
+
+@query("gc_compact_candidates", _DEAD + ", " + _CHOSEN + " SELECT * FROM chosen")
 def _(spark, d):
-    return graph.compact_candidates(_space(spark, d))
+    return graph.compact_candidates(_space(spark, d), _PERCENT, _ALWAYS)
 
 
-@query("gc_compaction_totals", _DEAD + "SELECT (SELECT count(*) FROM dead) AS n_deleted, (SELECT count(*) FROM nodes) - (SELECT count(*) FROM dead) AS n_moved, (SELECT CAST(sum(size) AS BIGINT) FROM dead) AS released")
+@query(
+    "gc_compaction_totals",
+    _DEAD + ", " + _CHOSEN + """, mine AS (SELECT * FROM nodes WHERE file IN (SELECT file FROM chosen)), gone AS (SELECT * FROM mine WHERE block IN (SELECT block FROM dead))
+    SELECT (SELECT count(*) FROM gone) AS n_deleted, (SELECT count(*) FROM mine) - (SELECT count(*) FROM gone) AS n_moved, (SELECT CAST(coalesce(sum(size), 0) AS BIGINT) FROM gone) AS released""".replace(", gone AS", ", dropped AS").replace("FROM gone", "FROM dropped"),
+)
 def _(spark, d):
     nodes = m.nodes(spark, d)
     dead = graph.garbage(nodes, _marked(spark, d))
-    return graph.compaction_totals(nodes, dead, nodes.select("file").distinct())
+    return graph.compaction_totals(nodes, dead, graph.compact_candidates(graph.dead_space(nodes, dead), _PERCENT, _ALWAYS))
 
 
 @query("fk_missing_links", with_("line", "edges") + ", have AS (SELECT DISTINCT dst FROM edges WHERE dst NOT IN (SELECT 'P:' || p_partkey FROM part WHERE p_size < 10)) SELECT DISTINCT src, dst FROM edges WHERE dst NOT IN (SELECT dst FROM have)")
@@ -375,10 +419,12 @@ def _(spark, d):
 
 @query(
     "fk_missing_roots",
-    with_("tx", "live", "blocks") + "SELECT account, dataset, state, block FROM live WHERE block NOT IN (SELECT block FROM blocks)",
+    with_("tx", "live") + "SELECT account, dataset, state, block FROM live WHERE block NOT IN (SELECT block FROM tx WHERE seq % 2 = 0)",
 )
 def _(spark, d):
-    return graph.missing_roots(_live(spark, d), m.blocks(spark, d)).select("account", "dataset", "state", "block")
+    """Every second transaction's root is stored."""
+    stored = m.tx(spark, d).filter("seq % 2 = 0").select("block")
+    return graph.missing_roots(_live(spark, d), stored).select("account", "dataset", "state", "block")
 
 
 @query(
@@ -394,13 +440,13 @@ def _(spark, d):
 @query(
     "sync_blocks_to_send",
     with_("line", "edges", recursive=True) + """, remote AS (SELECT 'S:' || s_suppkey AS node FROM supplier UNION ALL SELECT 'O:' || o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'),
-    send AS (SELECT 'O:' || o_orderkey AS node FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT'
-    UNION SELECT e.dst FROM edges e JOIN send ON e.src = send.node WHERE e.dst NOT IN (SELECT node FROM remote)) SELECT node FROM send""",
+    send AS (SELECT 'O:' || o_orderkey AS node, 0 AS level FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority <> '1-URGENT'
+    UNION SELECT e.dst, level + 1 FROM edges e JOIN send ON e.src = send.node WHERE e.dst NOT IN (SELECT node FROM remote)) SELECT node, level FROM send""",
 )
 def _(spark, d):
     have = table(spark, d, "supplier").select(m._node("S", "s_suppkey").alias("node"))
     have = have.unionByName(table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(m._node("O", "o_orderkey").alias("node")))
-    return graph.blocks_to_send(m.edges(spark, d), m.root_nodes(spark, d), have).select("node")
+    return graph.blocks_to_send(m.edges(spark, d), m.root_nodes(spark, d), have).select("node", "level")
 
 
 # --- retention ----------------------------------------------------------------------------------
@@ -452,6 +498,14 @@ def _(spark, d):
     return snapshot.children(_tree(spark, d), "/www.*").select("path", "is_dir")
 
 
+@query("path_descent", _TREE + "SELECT path, is_dir FROM tree WHERE parent = (SELECT min(path) FROM tree WHERE is_dir AND parent = '')")
+def _(spark, d):
+    """A directory of this name exists, so its entries are listed."""
+    tree = _tree(spark, d)
+    top = tree.filter("is_dir and parent = ''").agg(F.min("path")).first()[0]
+    return snapshot.children(tree, f"/{top}/").select("path", "is_dir")
+
+
 _IGNORES = ["/dev/*", "*.html", "en/", "*.example.net/fr/", "index", "$UNSET"]
 
 
@@ -509,7 +563,8 @@ def _(spark, d):
 
 
 _DIFF = with_("entries", "olds", "news") + """, df AS (SELECT coalesce(l.parent, r.parent) AS parent, coalesce(l.name, r.name) AS name, l.name AS ln, r.name AS rn,
-    CASE WHEN r.name IS NULL THEN 'extra' WHEN l.name IS NULL THEN 'missing' WHEN l.size = r.size AND l.content = r.content THEN 'same' ELSE 'different' END AS status
+    CASE WHEN r.name IS NULL THEN 'extra' WHEN l.name IS NULL THEN 'missing' WHEN CASE WHEN l.kind <> r.kind THEN false WHEN l.kind = 'dir' THEN true WHEN l.kind = 'link' THEN l.target = r.target
+    WHEN r.size = 0 THEN l.size = 0 AND l.mode & 511 = r.mode & 511 AND l.mtime_ns // 1000000000 = r.mtime_ns // 1000000000 ELSE l.size = r.size AND l.content = r.content END THEN 'same' ELSE 'different' END AS status
     FROM news l FULL OUTER JOIN olds r ON l.parent = r.parent AND l.name = r.name) """
 
 
@@ -568,12 +623,25 @@ def _(spark, d):
     return placed.groupBy("doc_id").agg(F.sum("length").alias("covered"), F.min(F.col("at") == F.col("offset")).alias("contiguous"))
 
 
-@query("chunk_dedup")
+_CHUNKS = f"""WITH RECURSIVE bytes AS (SELECT doc_id, unnest(regexp_extract_all(hex(encode(text)), '..')) AS h, generate_subscripts(regexp_extract_all(hex(encode(text)), '..'), 1) AS i FROM documents),
+    sums AS (SELECT doc_id, i, CAST('0x' || h AS BIGINT) + {chunking.CHAR_OFFSET} AS x FROM bytes),
+    running AS (SELECT doc_id, i, sum(x) OVER w AS one, sum(x * i) OVER w AS two, count(*) OVER (PARTITION BY doc_id) AS n FROM sums WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    parts AS (SELECT doc_id, i, n, CAST(one - lag(one, 64, 0) OVER w AS BIGINT) AS s1, CAST(two - lag(two, 64, 0) OVER w AS BIGINT) AS t FROM running WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+    digests AS (SELECT doc_id, i, n, ((s1 * (i + 1) - t) & 65535) * 65536 + (s1 & 65535) AS digest FROM parts WHERE i >= 64),
+    ahead AS (SELECT doc_id, i - 64 AS a, max(digest * 1048576 + i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 960 FOLLOWING) % 1048576 AS b FROM digests),
+    cuts AS (SELECT doc_id, CAST(0 AS BIGINT) AS a, CASE WHEN strlen(text) > 128 THEN (SELECT b FROM ahead x WHERE x.doc_id = d.doc_id AND x.a = 0) ELSE strlen(text) END AS b, strlen(text) AS n FROM documents d WHERE strlen(text) > 0
+      UNION ALL SELECT c.doc_id, c.b, CASE WHEN n - c.b > 128 THEN x.b ELSE n END, n FROM cuts c LEFT JOIN ahead x ON x.doc_id = c.doc_id AND x.a = c.b WHERE c.b < n),
+    chunks AS (SELECT source, b - a AS size, md5(unhex('00000000' || lpad(lower(to_hex(b - a)), 8, '0') || substr(hex(encode(text)), 2 * a + 1, 2 * (b - a)))) AS block FROM cuts JOIN documents USING (doc_id))
+    SELECT source, CAST(sum(n) AS BIGINT) AS n_blocks, count(*) AS n_unique, CAST(sum(n * size) AS BIGINT) AS raw_bytes, CAST(sum(size) AS BIGINT) AS unique_bytes,
+    (sum(n * size) - sum(size)) * 100.0::DOUBLE / sum(n * size) AS saved FROM (SELECT source, block, count(*) AS n, max(size) AS size FROM chunks GROUP BY source, block) GROUP BY source"""
+
+
+@query("chunk_dedup", _CHUNKS)
 def _(spark, d):
     """Chunks, distinct chunks and bytes saved by source: content-defined chunking finds repeats inside texts."""
-    chunks = chunking.chunk_files(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", least=64, most=1024)
-    docs = table(spark, d, "documents").select("doc_id", "source")
-    return blk.dedup_ratio(chunks.join(docs, "doc_id").select("source", "block", F.col("length").alias("size")), "source")
+    docs = table(spark, d, "documents").select("doc_id", "source", "text")
+    chunks = chunking.chunk_files(docs, "doc_id", "text", least=64, most=1024, carry=("source",))
+    return blk.dedup_ratio(chunks.select("source", "block", F.col("length").alias("size")), "source")
 
 
 @query("resume_verified", _TREE + """, have AS (SELECT content FROM files WHERE size % 3 = 0), trusted AS (SELECT path FROM tree WHERE is_dir AND md5(path) IN (SELECT md5(path) FROM tree WHERE name = 'en'))
@@ -709,9 +777,9 @@ def _(spark, d):
 
 @query(
     "session_counters",
-    _CHANGES + """SELECT CAST(0 AS BIGINT) AS directories, count(*) AS files, count(*) FILTER (change = 'same') AS unchanged, count(*) FILTER (change <> 'same') AS different,
-    CAST(sum(size) FILTER (change <> 'same') AS BIGINT) AS read_bytes, CAST(sum(size // 2) AS BIGINT) AS write_bytes,
-    (sum(size) FILTER (change <> 'same') - sum(size // 2)) * 100.0::DOUBLE / sum(size) FILTER (change <> 'same') AS compression FROM ch""",
+    _CHANGES + """SELECT count(*) FILTER (kind = 'dir') AS directories, count(*) FILTER (kind = 'file') AS files, count(*) FILTER (kind = 'file' AND change = 'same') AS unchanged,
+    count(*) FILTER (kind = 'file' AND change <> 'same') AS different, CAST(sum(size) FILTER (kind = 'file' AND change <> 'same') AS BIGINT) AS read_bytes, CAST(sum(size // 2) AS BIGINT) AS write_bytes,
+    (sum(size) FILTER (kind = 'file' AND change <> 'same') - sum(size // 2)) * 100.0::DOUBLE / sum(size) FILTER (kind = 'file' AND change <> 'same') AS compression FROM ch""",
 )
 def _(spark, d):
     rows = _changes(spark, d).withColumn("stored", F.expr("size div 2"))
@@ -720,7 +788,7 @@ def _(spark, d):
 
 @query(
     "carried_references",
-    with_("entries", "olds", "news") + """SELECT n.path, CASE WHEN n.content = o.content THEN 'old-' || o.lang ELSE 'now' END AS reference_id FROM news n LEFT JOIN olds o ON n.path = o.path""",
+    with_("entries", "olds", "news") + """SELECT n.path, CASE WHEN o.path IS NOT NULL AND n.content IS NOT DISTINCT FROM o.content THEN 'old-' || o.lang ELSE 'now' END AS reference_id FROM news n LEFT JOIN olds o ON n.path = o.path""",
 )
 def _(spark, d):
     old = m.old_entries(spark, d).withColumn("reference_id", F.concat(F.lit("old-"), "lang"))
@@ -751,9 +819,47 @@ def _(spark, d):
     return maintenance.compact_index(_slots(spark, d))
 
 
-@query("index_faults", _SLOTS + "SELECT block, ix_offset FROM slots WHERE ix_file = 0 AND ix_offset < 16 + 24 * CAST('0x' || right(block, 6) AS BIGINT)")
+@query(
+    "index_faults",
+    _SLOTS + """, moved AS (SELECT block, ix_file, ix_offset + CASE WHEN (ix_offset // 24) % 4 = 0 THEN 1 ELSE 0 END AS ix_offset FROM slots), judged AS (SELECT block, ix_offset, CASE WHEN (ix_offset - 16) % 24 <> 0 THEN 'off the grid'
+    WHEN ix_file = 0 AND ix_offset < 16 + 24 * CAST('0x' || right(block, 6) AS BIGINT) THEN 'before home' END AS fault FROM moved) SELECT * FROM judged WHERE fault IS NOT NULL""",
+)
+def _(spark, d):
+    """Every fourth slot is off by a byte."""
+    off = F.col("ix_offset") + F.when(F.floor(F.col("ix_offset") / 24) % 4 == 0, 1).otherwise(0)
+    return maintenance.slot_faults(_slots(spark, d).withColumn("ix_offset", off)).select("block", "ix_offset", "fault")
+
+
+@query(
+    "change_detect_offline",
+    with_("entries", "olds", "news") + """SELECT n.path, CASE WHEN o.path IS NULL THEN 'added' WHEN CASE WHEN n.size > 0 AND n.doc_id % 3 = 0
+    THEN n.name = o.name AND n.size = o.size AND n.mtime_ns // 1000000000 = o.mtime_ns // 1000000000
+    ELSE n.name = o.name AND n.size = o.size AND n.mode = o.mode AND n.mtime_ns = o.mtime_ns END THEN 'same' ELSE 'changed' END AS change FROM news n LEFT JOIN olds o ON n.path = o.path""",
+)
+def _(spark, d):
+    """Files without blocks on disk are compared to the second, whatever their mode."""
+    new = m.new_entries(spark, d).withColumn("offline", snapshot.is_offline(F.col("size"), F.col("doc_id") % 3))
+    return snapshot.changes(new, m.old_entries(spark, d), "offline").select("path", "change")
+
+
+@query("storable_entries", with_("entries") + "SELECT path FROM entries WHERE doc_id % 13 > 3")
 def _(spark, d):
-    return maintenance.slot_faults(_slots(spark, d)).select("block", "ix_offset")
+    """Of thirteen entries four are a temporary file, a device, a pipe and a socket."""
+    bits = F.element_at(F.array(*[F.lit(b) for b in (snapshot.TEMPORARY, snapshot.DEVICE, snapshot.PIPE, snapshot.SOCKET)]), (F.col("doc_id") % 13 + 1).cast("int"))
+    mode = F.when(F.col("doc_id") % 13 > 3, F.col("mode")).otherwise(F.col("mode").bitwiseOR(bits))
+    return snapshot.storable(m.entries(spark, d).withColumn("mode", mode)).select("path")
+
+
+@query(
+    "scalar_limits",
+    f"""SELECT o_orderkey, CAST(least(CAST(o_orderkey AS HUGEINT) * 1000000000000000, {s.MAX_INT}) AS BIGINT) AS clamped, CASE WHEN o_orderkey % 5 <> 0 THEN (o_orderkey % 37) * 100 // (o_orderkey % 5) END AS done,
+    o_orderstatus || '/' || o_orderpriority AS joined FROM orders""",
+)
+def _(spark, d):
+    key = F.col("o_orderkey")
+    return table(spark, d, "orders").select(
+        "o_orderkey", s.clamp_int(key.cast("decimal(30,0)") * 10**15).cast("long").alias("clamped"), s.percent(key % 37, key % 5).alias("done"), s.join_path(F.col("o_orderstatus"), F.col("o_orderpriority")).alias("joined")
+    )
 
 
 @query(
@@ -768,8 +874,8 @@ def _(spark, d):
 
 
 def queries() -> dict[str, _Query]:
-    return dict(_QUERIES)
+    return _QUERIES | source_queries.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return _SQL | source_queries.SQL

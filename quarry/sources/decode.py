@@ -60,8 +60,42 @@ def restore_files(files: DataFrame, folder: str) -> None:
                 with open(path, "wb") as f:
                     f.write(bytes(r["content"] or b""))
             if r["mode"] is not None:
-                os.chmod(path, r["mode"])
+                os.chmod(path, r["mode"] & 0o7777)
             if r["mtime_ns"] is not None:
                 os.utime(path, ns=(r["mtime_ns"], r["mtime_ns"]))
 
     files.select("path", "kind", F.col("content").cast("binary").alias("content"), "mode", "mtime_ns", "target").foreachPartition(write)
+
+
+def restore_parts(parts: DataFrame, folder: str) -> None:
+    """Write the parts (path, offset, data) of files below a folder that all executors mount, each at its place.
+
+    Parts of one file may be written by several tasks and again after a failure.
+    """
+
+    def write(rows) -> None:
+        for r in rows:
+            path = os.path.join(folder, r["path"])
+            os.makedirs(os.path.dirname(path) or folder, exist_ok=True)
+            fd = os.open(path, os.O_RDWR | os.O_CREAT)
+            try:
+                os.pwrite(fd, bytes(r["data"]), r["offset"])
+            finally:
+                os.close(fd)
+
+    parts.select("path", "offset", "data").foreachPartition(write)
+
+
+def finish_files(files: DataFrame, folder: str) -> None:
+    """Give written files (path, size, mode, mtime_ns) their size, mode and time; an older, longer file is cut."""
+
+    def write(rows) -> None:
+        for r in rows:
+            path = os.path.join(folder, r["path"])
+            os.makedirs(os.path.dirname(path) or folder, exist_ok=True)
+            with open(path, "ab") as f:
+                f.truncate(r["size"])
+            os.chmod(path, r["mode"] & 0o7777)
+            os.utime(path, ns=(r["mtime_ns"], r["mtime_ns"]))
+
+    files.select("path", "size", "mode", "mtime_ns").foreachPartition(write)

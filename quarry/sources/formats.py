@@ -221,6 +221,32 @@ def read_log(f: BinaryIO, start: int = 0, seq: int = 0) -> Iterator[tuple]:
         seq += 1
 
 
+#: Bytes of a whole transaction record by its type.
+_TX_SIZE = {ADD: 60, DEL: 28}
+
+
+def log_end(f: BinaryIO, start: int = 0, seq: int = 0, most: int | None = None) -> tuple[int, int]:
+    """(byte position, number) behind the last whole record, or behind ``most`` records from start on.
+
+    Only types are looked at and no record is kept, so that long logs cost the planner little.
+    """
+    read_name_header(f, LOG_TYPE)
+    at, size = start or f.tell(), f.seek(0, io.SEEK_END)
+    chunk, base = b"", at
+    while at + 12 <= size and (most is None or most > 0):
+        if at + 12 > base + len(chunk):
+            f.seek(at)
+            chunk, base = f.read(1 << 20), at
+        (kind,) = struct.unpack_from(">I", chunk, at - base + 8)
+        if kind not in _TX_SIZE:
+            raise ValueError(f"transaction type {kind:08x} at {at}")
+        if at + _TX_SIZE[kind] > size:
+            break
+        at, seq = at + _TX_SIZE[kind], seq + 1
+        most = None if most is None else most - 1
+    return at, seq
+
+
 def pack_tx(ts: int, op: str, state: str, block: str | None = None, size: int | None = None, unique: int | None = None) -> bytes:
     if op == "DEL":
         return struct.pack(">qI", ts, DEL) + bytes.fromhex(state)

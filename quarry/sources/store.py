@@ -4,7 +4,7 @@ kind is data, headers, meta, index, log, cache, accounts or tree.  The path is a
 that every executor mounts.  Each file is one partition and is read record by record.  For data,
 option ``payload`` = false leaves the payload in the file, and options ``from`` and ``to`` bound the file
 numbers, so that other files are never opened.  For log, option ``dataset`` opens only matching names.
-The log kind is also a stream, whose offset is a byte position for each file.
+The log kind is also a stream, whose offset is a byte position for each file (see ``LogStream``).
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import sys
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from quarry.sources import formats
 
@@ -54,6 +54,15 @@ def _name_hash(path: str, part: int) -> str | None:
     return raw.hex() if len(raw) == 16 else None
 
 
+#: Mode bits that say that an entry is no plain file.
+_SPECIAL = ((stat.S_ISBLK, 1 << 26), (stat.S_ISCHR, 1 << 26), (stat.S_ISFIFO, 1 << 25), (stat.S_ISSOCK, 1 << 24))
+
+
+def entry_mode(mode: int) -> int:
+    """Permissions, and for devices, pipes and sockets the bit that ``snapshot.storable`` looks at."""
+    return stat.S_IMODE(mode) | sum({bit for test, bit in _SPECIAL if test(mode)})
+
+
 def list_files(path: str, kind: str) -> list[str]:
     if os.path.isfile(path):
         return [path]
@@ -121,7 +130,7 @@ class StoreReader(DataSourceReader):
             s = os.lstat(path)
             kind = "link" if stat.S_ISLNK(s.st_mode) else "dir" if stat.S_ISDIR(s.st_mode) else "file" if stat.S_ISREG(s.st_mode) else "special"
             target = os.readlink(path) if kind == "link" else None
-            return os.path.relpath(path, base), os.path.basename(path), kind, s.st_size if kind == "file" else 0, stat.S_IMODE(s.st_mode), s.st_mtime_ns, s.st_blocks, target
+            return os.path.relpath(path, base), os.path.basename(path), kind, s.st_size if kind == "file" else 0, entry_mode(s.st_mode), s.st_mtime_ns, s.st_blocks, target
 
         if not top:
             return
@@ -133,37 +142,79 @@ class StoreReader(DataSourceReader):
                     yield entry(os.path.join(folder, name))
 
 
-class LogStream(SimpleDataSourceStreamReader):
-    """Complete records behind the last position of each file; a torn end waits for the rest of it."""
+class LogPart(InputPartition):
+    """The records of one log between two positions."""
+
+    def __init__(self, path: str, start: list[int], end: list[int]):
+        self.path, self.start, self.end = path, start, end
+
+
+class LogStream(DataSourceStreamReader):
+    """Transaction logs as a stream; an offset is the position (byte, record) in each file.
+
+    The planner finds positions by reading record types only; each log with new records is a partition, read
+    by an executor up to its end position and no further, so a batch that is run again after a failure
+    has the same rows.  A torn end waits for the rest of it.  With option ``maxRecordsPerBatch`` a batch has at most
+    so many records, shared out among the logs that have new ones, and no log waits for ever.  As Spark
+    does not tell a restarted source where it stood, the limit needs option ``positions``, a file beside the
+    checkpoint in which the source keeps its last offset; one batch after a restart may be up to twice as large.
+    """
 
     def __init__(self, options: dict):
         self.options = dict(options)
+        self.most = int(self.options["maxRecordsPerBatch"]) if "maxRecordsPerBatch" in self.options else None
+        self.positions = self.options.get("positions")
+        if self.most is not None and (self.most < 1 or not self.positions):
+            raise ValueError("maxRecordsPerBatch must be positive and needs the option positions")
+        self.at: dict[str, list[int]] = json.loads(self.options.get("startingOffset", "{}"))
+        if self.positions and os.path.exists(self.positions):
+            with open(self.positions) as f:
+                self.at = json.load(f)
+        self.turn = 0
 
     def initialOffset(self):
         return {"at": self.options.get("startingOffset", "{}")}
 
-    def _from(self, at: dict):
-        new, rows = dict(at), []
-        for path in list_files(self.options["path"], "log"):
-            pos, seq = new.get(path, [0, 0])
+    def latestOffset(self):
+        grown = [p for p in list_files(self.options["path"], "log") if os.path.getsize(p) > self.at.get(p, [0, 0])[0]]
+        if self.most is not None and grown:
+            self.turn = (self.turn + 1) % len(grown)
+            grown = grown[self.turn :] + grown[: self.turn]
+        left = self.most
+        for k, path in enumerate(grown):
+            share = None if left is None else -(-left // (len(grown) - k))
+            pos, seq = self.at.get(path, [0, 0])
             with open(path, "rb") as f:
-                for row in formats.read_log(f, pos, seq):
-                    rows.append((_name_hash(path, 0), *row))
-                    new[path] = [row[3], row[1] + 1]
-        return rows, new
-
-    def read(self, start):
-        rows, new = self._from(json.loads(start["at"]))
-        return iter(rows), {"at": json.dumps(new, sort_keys=True)}
-
-    def readBetweenOffsets(self, start, end):
-        stop = json.loads(end["at"])
-        rows, _ = self._from(json.loads(start["at"]))
-        ends = {_name_hash(p, 0): v for p, v in stop.items()}
-        return iter([r for r in rows if r[4] <= max(ends.get(r[0], [0])[0], 0)])
+                end, count = formats.log_end(f, pos, seq, share)
+            if count > seq:
+                self.at[path] = [end, count]
+                left = None if left is None else left - (count - seq)
+            if left == 0:
+                break
+        if self.positions:
+            with open(self.positions + ".new", "w") as f:
+                json.dump(self.at, f)
+                f.flush()
+                os.fsync(f.fileno())
+            os.replace(self.positions + ".new", self.positions)
+        return {"at": json.dumps(self.at, sort_keys=True)}
+
+    def partitions(self, start, end):
+        begin, parts = json.loads(start["at"]), []
+        for path, stop in json.loads(end["at"]).items():
+            at = begin.get(path, [0, 0])
+            if at[0] > stop[0]:
+                raise ValueError(f"{path} was read up to {at[0]} already; a rewritten log needs a new checkpoint")
+            if at[1] < stop[1]:
+                parts.append(LogPart(path, at, stop))
+        return parts
 
-    def commit(self, end):
-        pass
+    def read(self, part):
+        with open(part.path, "rb") as f:
+            for row in formats.read_log(f, *part.start):
+                if row[3] > part.end[0]:
+                    return
+                yield _name_hash(part.path, 0), *row
 
 
 class StoreSource(DataSource):
@@ -177,7 +228,7 @@ class StoreSource(DataSource):
     def reader(self, schema):
         return StoreReader(self.options)
 
-    def simpleStreamReader(self, schema):
+    def streamReader(self, schema):
         return LogStream(self.options)
 
 
@@ -198,6 +249,35 @@ def read_log_stream(spark: SparkSession, path: str, **options: str) -> DataFrame
     return spark.readStream.format("quarry_store").option("kind", "log").options(**options).load(path)
 
 
+def write_records(rows: DataFrame, folder: str) -> None:
+    """Files below a folder that all executors mount, from rows (file, ordinal, record): records in order of ordinal.
+
+    A file is one task's, streamed after a spilling sort, and appears under its name only when it is whole,
+    so that a task that is run again leaves no half of it.
+    """
+    os.makedirs(folder, exist_ok=True)
+
+    def write(part) -> None:
+        name, f = None, None
+
+        def close() -> None:
+            if f is not None:
+                f.flush()
+                os.fsync(f.fileno())
+                f.close()
+                os.replace(f.name, os.path.join(folder, name))
+
+        for r in part:
+            if r["file"] != name:
+                close()
+                name = r["file"]
+                f = open(os.path.join(folder, f".{name}.{os.getpid()}"), "wb")  # noqa: SIM115
+            f.write(bytes(r["record"]))
+        close()
+
+    rows.select("file", "ordinal", "record").repartition("file").sortWithinPartitions("file", "ordinal").foreachPartition(write)
+
+
 def write_log(path: str, dataset: str, rows: list[tuple], append: bool = False) -> None:
     """A .trn file from (ts, op, state, block, size, unique_size); the header is written first, appends are flushed."""
     fresh = not append or not os.path.exists(path)

@@ -124,3 +124,93 @@ def test_first_ignore_wins(spark):
 )
 def test_should_include(spark, account, dataset, include, exclude, want):
     assert one(spark, should_include(F.lit(account), F.lit(dataset), include, exclude)) is want
+
+
+def test_default_ignores_by_platform(spark):
+    from quarry.functions import glob
+
+    for platform in ("linux", "darwin", "win32"):
+        sep = glob.separator_of(platform)
+        env = {"TMPDIR": "/var/t", "TMP": "C:\\t", "TEMP": "C:\\u", "USERPROFILE": "C:\\me"}
+        assert glob.compile_ignores(glob.default_ignores(platform, f"{sep}home{sep}x"), env, sep)
+    win = glob.compile_ignores(glob.default_ignores("win32", "C:\\hb"), {"USERPROFILE": "C:\\me"}, "\\")
+    rows = [
+        ("C:\\$RECYCLE.BIN", True, "$$RECYCLE.BIN\\"), ("D:\\x\\Thumbs.db", False, "Thumbs.db"), ("C:\\pagefile.sys", False, "*\\pagefile.sys"), ("C:\\hb\\a.cache.tmp", False, "C:\\hb\\*.cache*"),
+        ("C:\\me\\Local Settings\\Temporary Internet Files", True, "$USERPROFILE\\Local Settings\\Temporary Internet Files\\"), ("C:\\x\\hb\\a.cache", False, None), ("C:\\Windows\\Temp", False, None), ("C:\\Windows\\Temp", True, "*\\Windows\\Temp\\"),
+    ]
+    df = spark.createDataFrame(rows, "path string, is_dir boolean, want string")
+    for r in df.withColumn("got", glob.ignored_by(F.col("path"), F.col("is_dir"), win, "\\")).collect():
+        assert r["got"] == r["want"], r
+    mac = glob.compile_ignores(glob.default_ignores("darwin"), {"TMPDIR": "/var/t"})
+    rows = [("/Users/me/Library/Caches", True, "/Users/*/Library/Caches/"), ("/x/.Spotlight-V100", True, ".Spotlight-V*"), ("/var/t", True, "$TMPDIR"), ("/proc/1", True, "/proc/*"), ("/Users/me/Library", True, None)]
+    for r in spark.createDataFrame(rows, "path string, is_dir boolean, want string").withColumn("got", glob.ignored_by(F.col("path"), F.col("is_dir"), mac)).collect():
+        assert r["got"] == r["want"], r
+
+
+def test_derived_keys():
+    import hashlib
+    import hmac
+
+    from quarry.functions import codecs
+
+    def deep(data, key):
+        for _ in range(20_000):
+            data = hmac.new(key, data, hashlib.md5).digest()
+        return data
+
+    secret = hashlib.md5("pässword".encode()).digest()
+    assert codecs.access_key("acc", "pässword") == deep(b"acc*ACCESS*KEY*PAD*", secret)
+    assert codecs.backup_key("acc", "pässword") == deep(b"acc*ENCRYPTION*PAD*", secret)
+    assert codecs.session_key("acc", b"n" * 16, b"k" * 16) == deep(hashlib.md5(b"acc").digest() + b"n" * 16, b"k" * 16)
+    assert len(codecs.data_key()) == 16 and codecs.data_key() != codecs.data_key()
+
+
+def test_scratch_tables_need_a_shared_folder(spark, tmp_path, monkeypatch):
+    from quarry.plans import scratch
+
+    class Elsewhere:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Elsewhere()
+
+        class conf:
+            value = None
+
+            @classmethod
+            def get(cls, key, default=None):
+                return cls.value or default
+
+    import pytest
+
+    with pytest.raises(RuntimeError):
+        scratch.shared_base(Session())
+    Session.conf.value = "/shared/"
+    assert scratch.shared_base(Session()) == "/shared"
+    kept = scratch.Scratch(spark, "kept").table(spark.range(3))
+    with scratch.released():
+        inner = scratch.Scratch(spark, "inner")
+        inner.table(spark.range(5))
+        assert inner in scratch._open
+    assert inner not in scratch._open and kept.count() == 3
+    import os
+
+    assert not os.path.exists(inner.root.removeprefix("file://"))
+
+
+def test_closure_of_deep_graphs(spark, monkeypatch):
+    """A chain, a cycle and a fan, with runs merged often."""
+    import random
+
+    from quarry.plans import fixpoint
+
+    monkeypatch.setattr(fixpoint, "RUNS", 2)
+    rng = random.Random(2)
+    edges = [(i, i + 1) for i in range(9)] + [(9, 3), (2, 20), (20, 21), (100, 101)] + [(4, 30 + k) for k in range(15)] + [(30 + rng.randrange(15), 60 + k) for k in range(9)]
+    out, level, depth = {0: 0}, [0], 0
+    while level:
+        depth += 1
+        level = sorted({b for a, b in edges if a in level} - set(out))
+        out.update(dict.fromkeys(level, depth))
+    got = fixpoint.closure(spark.createDataFrame(edges, "src long, dst long"), spark.createDataFrame([(0,), (0,)], "node long"))
+    assert sorted(map(tuple, got.select("node", "level").collect())) == sorted(out.items())

@@ -152,6 +152,98 @@ def test_log_stream_waits_for_whole_records(spark, tmp_path):
     assert replica.blocks().count() == 2 and replica.log().count() == 3
 
 
+def log_rows(n, name):
+    return [(i, "ADD", md5(f"{name}{i}"), md5(f"b{name}{i}"), i, i) if i % 3 else (i, "DEL", md5(f"{name}{i - 1}")) for i in range(1, n + 1)]
+
+
+def test_log_positions_are_those_of_whole_records():
+    raw = formats.name_header(formats.LOG_TYPE, "x") + b"".join(formats.pack_tx(*r) for r in log_rows(9, "x"))
+    ends = [r[3] for r in formats.read_log(io.BytesIO(raw))]
+    for cut in range(14, len(raw) + 1):
+        at, n = formats.log_end(io.BytesIO(raw[:cut]))
+        assert n == sum(e <= cut for e in ends) and at == ([13] + ends)[n]
+    assert formats.log_end(io.BytesIO(raw), ends[2], 3, most=4) == (ends[6], 7)
+
+
+def reader(path, **options):
+    return store.LogStream({"path": str(path), **options})
+
+
+def test_two_datasets_of_an_account_are_read_again_alike(tmp_path):
+    """What a batch had before a failure it has again, whatever other logs of its account there are."""
+    write_dataset(tmp_path, "photos", log_rows(5, "p"))
+    write_dataset(tmp_path, "docs", log_rows(2, "d"))
+    one = reader(tmp_path)
+    start, end = one.initialOffset(), one.latestOffset()
+    rows = lambda r, a, b: sorted(x for p in r.partitions(a, b) for x in r.read(p))
+    first = rows(one, start, end)
+    assert len(first) == 7 and len(one.partitions(start, end)) == 2
+    write_dataset(tmp_path, "photos", log_rows(9, "p")[5:], append=True)
+    write_dataset(tmp_path, "new", log_rows(4, "n"))
+    two = reader(tmp_path)  # after a restart
+    assert rows(two, start, end) == first
+    assert len(rows(two, end, two.latestOffset())) == 4 + 4 and two.partitions(end, end) == []
+    with pytest.raises(ValueError):
+        two.partitions(two.latestOffset(), end)
+
+
+def test_batches_have_a_limit(tmp_path):
+    write_dataset(tmp_path, "long", log_rows(40, "l"))
+    write_dataset(tmp_path, "short", log_rows(3, "s"))
+    options = {"maxRecordsPerBatch": "10", "positions": str(tmp_path / "positions.json")}
+    r = reader(tmp_path, **options)
+    at, seen, batches = r.initialOffset(), [], []
+    while True:
+        if len(batches) == 2:
+            r = reader(tmp_path, **options)  # a restart goes on where it stood
+        end = r.latestOffset()
+        if end == at:
+            break
+        got = [x for p in r.partitions(at, end) for x in r.read(p)]
+        batches.append(len(got))
+        seen += got
+        at = end
+    assert max(batches) <= 10 and len(seen) == 43 == len(set(seen)) and len(batches) >= 5
+    assert {x[1] for x in seen[:10]} == {"long", "short"}  # no log waits for another
+    with pytest.raises(ValueError):
+        reader(tmp_path, maxRecordsPerBatch="5")
+
+
+@pytest.mark.parametrize("limit", [None, "4"])
+def test_replication_survives_a_failed_batch(spark, tmp_path, limit):
+    """A batch fails after it was planned; a new query on the same checkpoint applies every transaction."""
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    write_dataset(logs, "photos", log_rows(11, "p"))
+    write_dataset(logs, "docs", log_rows(5, "d"))
+    options = {} if limit is None else {"maxRecordsPerBatch": limit, "positions": str(tmp_path / "positions.json")}
+    out, check = str(tmp_path / "replica"), str(tmp_path / "check")
+    stream = lambda: store.read_log_stream(spark, str(logs), **options).withColumnRenamed("account_h", "account").drop("pos", "end_pos")
+
+    class Failing(stream_sync.Replica):
+        def write(self, rows, name, batch):
+            if name == "log":
+                raise RuntimeError("killed")
+            super().write(rows, name, batch)
+
+    q = stream_sync.replicate(stream(), Failing(spark, out), check, interval="1 second")
+    with pytest.raises(Exception):
+        q.processAllAvailable()
+    q.stop()
+    path = next(p for p in logs.glob("*.trn") if store.dataset_of_log(str(p)) == "docs")
+    whole = path.read_bytes() + formats.pack_tx(6, "ADD", md5("late"), md5("blate"), 1, 1)
+    path.write_bytes(whole[:-7])  # the log has grown meanwhile, and its end is torn
+    replica = stream_sync.Replica(spark, out)
+    q = stream_sync.replicate(stream(), replica, check, interval="1 second")
+    q.processAllAvailable()
+    path.write_bytes(whole)
+    q.processAllAvailable()
+    q.stop()
+    log = store.read(spark, "log", str(logs)).withColumnRenamed("account_h", "account")
+    want = {(r["dataset"], r["state"]) for r in txlog.live_states(log).collect()}
+    assert {(r["dataset"], r["state"]) for r in replica.states().collect()} == want and ("docs", md5("late")) in want
+
+
 def test_batches_are_idempotent_and_dry_runs_write_nothing(spark, tmp_path):
     replica = stream_sync.Replica(spark, str(tmp_path / "r"))
     rows = [("a", "d", 0, 1, "ADD", "s1", "b1", 5, 5), ("a", "d", 1, 2, "ADD", "s2", "b1", 5, 5), ("a", "d", 2, 3, "DEL", "s1", None, None, None)]
@@ -188,3 +280,19 @@ def test_chunks_restore_in_order(spark):
     parts = [("f", i, "".join(rng.choice("ab") for _ in range(rng.randrange(5)))) for i in range(20)]
     df = spark.createDataFrame(parts, "file string, n int, data string").repartition(4)
     assert snapshot.restored(df, "file", "n", "data").first()["content"] == "".join(p[2] for p in parts)
+
+
+def test_records_are_written_in_order(spark, tmp_path):
+    rows = [(f"f{i % 3}", i, bytes([i])) for i in range(60)]
+    store.write_records(spark.createDataFrame(rows, "file string, ordinal long, record binary").repartition(7), str(tmp_path / "out"))
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir()} == {f"f{k}": bytes(range(k, 60, 3)) for k in range(3)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=3000), st.integers(4, 40), st.integers(2, 12))
+def test_streamed_chunks_are_the_files_chunks(data, least, times):
+    from quarry.operators import chunking
+
+    ends, most = chunking.cut_points(data, least, least * times), least * times
+    pieces = list(chunking.stream_chunks(io.BytesIO(data), least, most))
+    assert pieces == [data[a:b] for a, b in zip([0, *ends], ends)]
