@@ -157,7 +157,7 @@ def _judged(
     reps = scratch.table(
         all_rows.select(F.col("_uid").alias("rep"), "n", "sketch").join(classes.select("rep"), "rep"), "reps"
     )
-    need = scratch.table(_lists(scratch, reps, num, den, k).select("rep").distinct(), "listed")
+    need = scratch.table(_lists(scratch, reps, num, den, k).select("rep").distinct(), "listed", rows=reps.count())
     ids = need.select(F.col("rep").alias("_uid"))
     sets = scratch.table(full_sets(source.join(ids, "_uid", "left_semi"), text_col, width, k_long), "sets")
     listed = scratch.table(_lists(scratch, sets.select("rep", "n", "sketch"), num, den, k_long), "lists")
@@ -165,7 +165,7 @@ def _judged(
     scratch.drop(reps, need, sets, listed)
     name = F.col("least")
     if roots is not None:
-        linked = scratch.table(roots.withColumnRenamed("node", "rep").join(classes.select("rep", "least"), "rep"), "linked")
+        linked = scratch.table(roots.withColumnRenamed("node", "rep").join(classes.select("rep", "least"), "rep"), "linked", rows=roots.count())
         names = linked.groupBy("root").agg(F.min("least").alias("name"))
         classes = classes.join(linked.select("rep", "root").join(names, "root").select("rep", "name"), "rep", "left")
         name = F.coalesce("name", "least")
@@ -218,6 +218,7 @@ def _link_lists(scratch: Scratch, reps, listed, sets, num: int, den: int, k: int
     """(node, root) of linked representatives, or None."""
     fits = F.least("n", "pn") * den >= F.greatest("n", "pn") * num
     roots, links, step, rows = None, None, 0, 0
+    size = listed.count()
     left = listed.withColumn("root", F.col("rep"))
     while True:
         one = left.groupBy("v", "root").agg(
@@ -228,7 +229,7 @@ def _link_lists(scratch: Scratch, reps, listed, sets, num: int, den: int, k: int
             F.sum("c").alias("c"), F.sum(F.col("c") * F.col("c")).alias("within"), F.count(F.lit(1)).alias("parts"),
             F.min_by("p", F.struct("c", "p.rep") if step else F.col("p.rep")).alias("p"),
         ).filter("parts > 1")
-        spread = scratch.table(spread, "open")
+        spread = scratch.table(spread, "open", rows=size)
         across = (F.col("c") * F.col("c") - F.col("within")) / 2
         total = spread.agg(F.sum("c").alias("rows"), F.sum(across).alias("pairs"), F.count(F.lit(1)).alias("lists")).first()
         if not total["rows"]:
@@ -256,7 +257,8 @@ def _link_lists(scratch: Scratch, reps, listed, sets, num: int, den: int, k: int
             )
         else:
             left = left.withColumn("root", F.col("rep"))
-        left = scratch.table(left, "left")
+        size = total["rows"]
+        left = scratch.table(left, "left", rows=size)
         step += 1
 
 
@@ -270,7 +272,7 @@ def _in_blocks(scratch: Scratch, rest, sets, num: int, den: int, block: int = 40
     first = rest.groupBy("v").agg(F.min("rep").alias("a"))
     groups = contract(rest.join(first, "v").select("a", F.col("rep").alias("b")).distinct(), scratch)
     docs = rest.select("rep", "n", "root").distinct().join(groups.withColumnRenamed("node", "rep").withColumnRenamed("root", "grp"), "rep")
-    docs = scratch.table(docs, "rest")
+    docs = scratch.table(docs, "rest", rows=rest.count())
     load = F.greatest(F.count(F.lit(1)) / block, F.sum("n") / (block * 1000))
     many = docs.groupBy("grp").agg(F.ceil(load).cast("int").alias("nb"))
     own = F.pmod(F.xxhash64("rep"), F.col("nb")).cast("int")
