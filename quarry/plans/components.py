@@ -17,18 +17,17 @@ def contract(links: DataFrame, scratch: Scratch) -> DataFrame:
     the next round, so ends at least halve.  A hub's neighbours are combined before the shuffle, and
     lookups are plain equi-joins that adaptive execution can split.
     """
-    edges = scratch.table(links.select("a", "b").filter("a <> b").distinct(), "edges")
-    n, roots, nodes = edges.count(), None, 0
+    edges, n = scratch.counted(links.select("a", "b").filter("a <> b").distinct(), "edges")
+    roots, nodes = None, 0
     while n:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = scratch.table(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), "up", rows=2 * n)
-        nodes = nodes or up.count()
+        up, ends = scratch.counted(both.groupBy("a").agg(F.least("a", F.min("b")).alias("p")), "up", rows=2 * n)
+        nodes = nodes or ends
         jump, moving = up, True
         while moving:
             far = jump.select(F.col("a").alias("_at"), F.col("p").alias("_to"))
             ahead = jump.join(far, F.col("p") == F.col("_at"), "left").select("a", F.coalesce("_to", "p").alias("p"), (F.col("_to") < F.col("p")).alias("moved"))
-            ahead = scratch.table(ahead, "jump", rows=2 * n)
-            moving = not ahead.filter("moved").isEmpty()
+            ahead, moving = scratch.counted(ahead, "jump", rows=ends, which="moved")
             scratch.drop(jump)
             jump = ahead
         to = jump.select(F.col("a").alias("_at"), F.col("p").alias("_to"))
@@ -37,11 +36,11 @@ def contract(links: DataFrame, scratch: Scratch) -> DataFrame:
             # later rounds' nodes are earlier rounds' roots
             moved = roots.join(to, F.col("root") == F.col("_at"), "left").select("node", F.coalesce("_to", "root").alias("root"))
         before, roots = roots, scratch.table(moved, "roots", rows=nodes)
-        ends = edges.join(to, F.col("a") == F.col("_at")).select(F.col("_to").alias("a"), "b")
-        ends = ends.join(to, F.col("b") == F.col("_at")).select("a", F.col("_to").alias("b"))
-        ends = ends.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        done, edges = edges, scratch.table(ends, "edges", rows=n)
-        n = edges.count()
+        rest = edges.join(to, F.col("a") == F.col("_at")).select(F.col("_to").alias("a"), "b")
+        rest = rest.join(to, F.col("b") == F.col("_at")).select("a", F.col("_to").alias("b"))
+        rest = rest.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        done = edges
+        edges, n = scratch.counted(rest, "edges", rows=n)
         scratch.drop(done, jump, *([] if before is None else [before]))
     if roots is None:
         return links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)

@@ -16,7 +16,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 #: Rows of a narrow table that make a file, and files of a table at least (as many as it has partitions, if fewer).
@@ -95,6 +96,13 @@ class Scratch:
         out._quarry_path = path
         return out
 
+    def counted(self, df: DataFrame, name: str = "t", rows: int | None = None, which: str = "true") -> tuple[DataFrame, int]:
+        """As ``table``, and of how many rows ``which`` holds, seen while writing.  Tasks that run again may be counted twice; no row is missed."""
+        seen = Observation()
+        out = self.table(df.observe(seen, F.count_if(F.expr(which)).alias("n")), name, rows=rows)
+        found = seen.get.get("n")  # a plan that turns out to be empty may lose the observation
+        return out, out.filter(which).count() if found is None else found
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables that no returned plan reads any more."""
         for t in tables:
