@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm import bpe, exact_dedup, mixing, near_dedup, toxicity
 from quarry.llm.queries import VOCABULARY
-from quarry.plans.scratch import Scratch
+from quarry.plans.scratch import Scratch, released
 from quarry.plans.tables import table
 
 
@@ -66,5 +66,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before = docs
+        with released():  # what a stage wrote for itself goes once its outcome is stored
+            docs = scratch.table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        scratch.drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
