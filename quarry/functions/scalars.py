@@ -219,3 +219,22 @@ def has_flag(flags: Column, bit: int) -> Column:
 def compare_ids(a: Column, b: Column) -> Column:
     """-1, 0 or 1 by unsigned bytes; lower-case hex sorts as its bytes do."""
     return F.when(a < b, -1).when(a > b, 1).otherwise(0)
+
+
+# Bits that tell a server's message type (capital letters) from a client's (small ones).
+SERVER_MASK, CLIENT_MASK = 0xDFDFDFDF, 0x20202020
+
+
+def server_type(code: Column) -> Column:
+    """The server's form of a message type: its four letters as capitals."""
+    return code.cast("long").bitwiseAND(F.lit(SERVER_MASK))
+
+
+def client_type(code: Column) -> Column:
+    """The client's form of a message type: its four letters as small ones."""
+    return code.cast("long").bitwiseOR(F.lit(CLIENT_MASK))
+
+
+def four_letters(code: Column) -> Column:
+    """The text of a type's four bytes."""
+    return F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "ISO-8859-1")

@@ -104,3 +104,16 @@ def home_slots(blocks: DataFrame) -> DataFrame:
     slot = F.conv(F.substring("block", -6, 6), 16, 10).cast("long")
     order = Window.partitionBy("home").orderBy("block")
     return blocks.select("block").distinct().withColumn("home", slot).withColumn("place", F.row_number().over(order) - 1)
+
+
+def relocated(records: DataFrame, moves: DataFrame) -> DataFrame:
+    """Records (block, file, offset, ...) that point to where moves (block, file, offset) put their block.
+
+    A move says from where, too (old_file, old_offset); a record that has been changed meanwhile and
+    points elsewhere stays as it is.
+    """
+    to = moves.select("block", "old_file", "old_offset", F.col("file").alias("_file"), F.col("offset").alias("_offset"))
+    hit = (F.col("old_file") == F.col("file")) & (F.col("old_offset") == F.col("offset"))
+    both = records.join(to, "block", "left").withColumn("_hit", F.coalesce(hit, F.lit(False)))
+    moved = {"file": F.when(F.col("_hit"), F.col("_file")).otherwise(F.col("file")), "offset": F.when(F.col("_hit"), F.col("_offset")).otherwise(F.col("offset"))}
+    return both.select(*[moved[c].alias(c) if c in moved else F.col(c) for c in records.columns])

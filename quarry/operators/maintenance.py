@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+import os
+import shutil
+import time
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -149,3 +153,33 @@ def parse_host(text: str, default_port: int) -> tuple[str, int]:
 
 def name_hash(name: Column) -> Column:
     return content_id(name)
+
+
+# Slots of an index file, and the free bytes below which nothing is stored.
+INDEX_FILE = 16 + 24 * (2**24 + 682)
+LEAST_INDEX_FREE, LEAST_DATA_FREE = INDEX_FILE + INDEX_FILE // 20, 1 << 26
+
+
+def has_room(index_dir: str, data_dir: str, size: int) -> bool:
+    """Whether a block of this size may be stored: a new index file must fit, and the block with some room."""
+    return shutil.disk_usage(index_dir).free >= LEAST_INDEX_FREE and shutil.disk_usage(data_dir).free >= size + LEAST_DATA_FREE
+
+
+@contextmanager
+def exclusive(path: str, wait: float = 5.0) -> Iterator[None]:
+    """One runner at a time: an advisory lock on a file, or TimeoutError if another holds it for longer than ``wait`` seconds."""
+    import fcntl
+
+    fd, end = os.open(path, os.O_RDWR | os.O_CREAT), time.monotonic() + wait
+    try:
+        while True:
+            try:
+                fcntl.flock(fd, fcntl.LOCK_EX | fcntl.LOCK_NB)
+                break
+            except BlockingIOError:
+                if time.monotonic() > end:
+                    raise TimeoutError(f"{path} is locked by another runner") from None
+                time.sleep(0.05)
+        yield
+    finally:
+        os.close(fd)

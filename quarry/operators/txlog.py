@@ -6,6 +6,8 @@ block, size, unique_size.  Every operator is one shuffle by (account, dataset) o
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -186,3 +188,13 @@ def roots(states: DataFrame, accounts: DataFrame, skip_invalid: bool = True) ->
     if skip_invalid:
         return rows.filter(~bad)
     return rows.filter(F.when(bad, F.raise_error(F.lit("a state is invalid")).isNull()).otherwise(F.lit(True)))
+
+
+def of_tenant(rows: DataFrame, account: str, by_hash: str | None = None) -> DataFrame:
+    """The rows that a session of this account may see: its own, by name or by the name's hash.
+
+    The condition is on a plain column, so that it reaches the scan and prunes partitions by account.
+    """
+    if by_hash:
+        return rows.filter(F.col(by_hash) == hashlib.md5(account.encode("utf-8")).hexdigest())
+    return rows.filter(F.col("account") == account)

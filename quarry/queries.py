@@ -862,6 +862,39 @@ def _(spark, d):
     )
 
 
+@query(
+    "protocol_types",
+    """SELECT o_orderkey, code & 3755991007 AS server, code | 538976288 AS client, chr(CAST(code >> 24 AS INTEGER)) || chr(CAST(code >> 16 & 255 AS INTEGER)) || chr(CAST(code >> 8 & 255 AS INTEGER)) || chr(CAST(code & 255 AS INTEGER)) AS letters
+    FROM (SELECT o_orderkey, (97 + o_orderkey % 26) * 16777216 + (65 + o_orderkey % 25) * 65536 + (97 + o_orderkey % 23) * 256 + 65 + o_orderkey % 21 AS code FROM orders)""",
+)
+def _(spark, d):
+    """Message types of four letters, in the forms of both sides."""
+    key = F.col("o_orderkey")
+    code = (97 + key % 26) * 16777216 + (65 + key % 25) * 65536 + (97 + key % 23) * 256 + 65 + key % 21
+    return table(spark, d, "orders").select("o_orderkey", s.server_type(code).alias("server"), s.client_type(code).alias("client"), s.four_letters(code).alias("letters"))
+
+
+@query(
+    "index_relocated",
+    with_("copies", "ix") + """, rebuilt AS (SELECT block, file, "offset" FROM copies QUALIFY row_number() OVER (PARTITION BY block ORDER BY file DESC, "offset" DESC) = 1),
+    moves AS (SELECT r.block, r.file, r."offset", CASE WHEN r.file % 3 = 0 THEN -1 ELSE i.file END AS old_file, i."offset" AS old_offset FROM rebuilt r JOIN ix i USING (block))
+    SELECT i.block, CASE WHEN m.old_file = i.file THEN m.file ELSE i.file END AS file, CASE WHEN m.old_file = i.file THEN m."offset" ELSE i."offset" END AS "offset" FROM ix i LEFT JOIN moves m USING (block)""",
+)
+def _(spark, d):
+    """Blocks move to their last copies; moves that start from another place than the index says are left alone."""
+    ix = m.index(spark, d)
+    old = ix.select("block", F.col("file").alias("old_file"), F.col("offset").alias("old_offset"))
+    moves = blk.recovered(m.copies(spark, d)).select("block", "file", "offset").join(old, "block")
+    return blk.relocated(ix, moves.withColumn("old_file", F.when(F.col("file") % 3 == 0, -1).otherwise(F.col("old_file"))))
+
+
+@query("tenant_rows", "SELECT doc_id, source FROM documents WHERE md5(source) = md5('src3')")
+def _(spark, d):
+    """What a session of one account may see."""
+    rows = table(spark, d, "documents").select("doc_id", "source", F.md5("source").alias("account_h"))
+    return txlog.of_tenant(rows, "src3", "account_h").drop("account_h")
+
+
 @query(
     "unreadable_kept",
     with_("entries", "olds", "news") + """SELECT path, content FROM news WHERE source <> 'src2' UNION ALL SELECT path, content FROM olds WHERE source = 'src2' AND path IN (SELECT path FROM news WHERE source = 'src2')""",

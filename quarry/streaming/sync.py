@@ -74,3 +74,11 @@ def replicate(stream: DataFrame, replica: Replica, checkpoint: str, interval: st
 def live_state_stream(stream: DataFrame) -> DataFrame:
     """Live states of a log stream as an updating aggregate; a state whose last transaction deletes it has op 'DEL'."""
     return stream.groupBy(*STATE).agg(F.max_by(F.struct("op", "block", "size", "unique_size"), "seq").alias("t")).select(*STATE, "t.*")
+
+
+def transfer_statistics(query: StreamingQuery) -> dict:
+    """Batches, transactions, seconds and transactions a second of a replication so far, from its progress reports."""
+    seen = {p["batchId"]: p for p in query.recentProgress if p["numInputRows"]}
+    rows = sum(p["numInputRows"] for p in seen.values())
+    seconds = sum(p["batchDuration"] for p in seen.values()) / 1000
+    return {"batches": len(seen), "rows": rows, "seconds": seconds, "rows_per_second": rows / seconds if seconds else 0.0}

@@ -238,7 +238,9 @@ def test_replication_survives_a_failed_batch(spark, tmp_path, limit):
     q.processAllAvailable()
     path.write_bytes(whole)
     q.processAllAvailable()
+    done = stream_sync.transfer_statistics(q)
     q.stop()
+    assert done["rows"] >= 1 and done["batches"] >= 1 and done["rows_per_second"] > 0
     log = store.read(spark, "log", str(logs)).withColumnRenamed("account_h", "account")
     want = {(r["dataset"], r["state"]) for r in txlog.live_states(log).collect()}
     assert {(r["dataset"], r["state"]) for r in replica.states().collect()} == want and ("docs", md5("late")) in want

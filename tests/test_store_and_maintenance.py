@@ -219,3 +219,20 @@ def test_caches_and_resume_files(spark):
     files = spark.createDataFrame([("b", 5), ("a", 5), ("c", 9)], "path string, mtime_ns long")
     assert [r["path"] for r in mt.newest_first(files).collect()] == ["c", "a", "b"]
     assert spark.range(1).select(mt.name_hash(F.lit("abc"))).first()[0] == hashlib.md5(b"abc").hexdigest()
+
+
+def test_room_and_locks(tmp_path, monkeypatch):
+    from collections import namedtuple
+
+    free = {"ix": mt.LEAST_INDEX_FREE, "dat": (1 << 26) + 100}
+    monkeypatch.setattr(mt.shutil, "disk_usage", lambda p: namedtuple("Usage", "free")(free[p]))
+    assert mt.has_room("ix", "dat", 100) and not mt.has_room("ix", "dat", 101)
+    free["ix"] -= 1
+    assert not mt.has_room("ix", "dat", 1)
+    path = str(tmp_path / "lock")
+    with mt.exclusive(path):
+        with pytest.raises(TimeoutError):
+            with mt.exclusive(path, wait=0.2):
+                pass
+    with mt.exclusive(path):
+        pass
