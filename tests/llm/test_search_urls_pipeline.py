@@ -129,7 +129,7 @@ def test_soft_terms_weigh(spark, soft, limit, verdict):
 
 def test_pipeline_against_its_parts(spark, sf_dir):
     """Each stage against what its operator decides on the stage's own input."""
-    from quarry.llm import mixing
+    from quarry.llm import mixing, toxicity
     from tests.llm.test_dedup import near_brute
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -143,6 +143,9 @@ def test_pipeline_against_its_parts(spark, sf_dir):
     toxic = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 1").collect()}
     clean = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic = 0").collect()}
     assert len(clean & ids[1]) >= 0.97 * len(clean & ids[0]) and len(toxic & ids[1]) <= 0.5 * len(toxic & ids[0])
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scores = dict(zip(*[[r[c] for r in docs.select("doc_id", "text").collect()] for c in ("doc_id", "text")]))
+    assert ids[1] == {i for i, s in zip(scores, model.score(list(scores.values()))) if s < 0.5}
     rows = [(r["doc_id"], r["text"]) for r in tables[1].collect()]
     smallest = {}
     for i, t in rows:
