@@ -247,7 +247,8 @@ def mix(
     scratch = Scratch(docs.sparkSession, "mix")
     cols = docs.columns if carry else []
     sized = word_counts(docs.select(named(docs, id_col).alias("_id"), named(docs, source_col).cast("string").alias("_source"), named(docs, text_col).alias("_text"), *[named(docs, c).alias(f"c_{i}") for i, c in enumerate(cols)]), "_text").drop("_text")
-    sized = scratch.table(sized, "sized")  # ranges are found by a pass of their own
+    if not carry:
+        sized = scratch.table(sized, "sized")  # ranges are found by a pass of their own; texts are not written for it
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = sized.repartitionByRange(parts, "_source", "_id", "_size")
     rows = scratch.table(ranged.withColumn("_pid", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id()), "rows")

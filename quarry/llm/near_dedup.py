@@ -148,19 +148,21 @@ def _judged(
     k_long: int = 1024,
 ) -> DataFrame:
     """(_uid, doc, n, component_id, kept) of each numbered row."""
-    all_rows = scratch.table(sketches(source, id_col, text_col, width, k), "sketches")
+    sketched = scratch.table(sketches(source, id_col, text_col, width, k), "sketches")
     sig = ["s1", "s2", "n"]
+    all_rows = scratch.table(sketched.drop("sketch"), "signatures")
     least = F.struct(F.col("doc").isNull().alias("nul"), F.col("doc").alias("id"), F.col("_uid").alias("uid"))
     classes = scratch.table(
         all_rows.filter("n > 0").groupBy(*sig).agg(F.min(least).alias("least")).withColumn("rep", F.col("least.uid")), "classes"
     )
     reps = scratch.table(
-        all_rows.select(F.col("_uid").alias("rep"), "n", "sketch").join(classes.select("rep"), "rep"), "reps"
+        sketched.select(F.col("_uid").alias("rep"), "n", "sketch").join(classes.select("rep"), "rep"), "reps"
     )
-    need = scratch.table(_lists(scratch, reps, num, den, k).select("rep").distinct(), "listed", rows=reps.count())
+    scratch.drop(sketched)
+    need = _lists(scratch, reps, num, den, k, lambda lists: lists.select("rep").distinct())
     ids = need.select(F.col("rep").alias("_uid"))
     sets = scratch.table(full_sets(source.join(ids, "_uid", "left_semi"), text_col, width, k_long), "sets")
-    listed = scratch.table(_lists(scratch, sets.select("rep", "n", "sketch"), num, den, k_long), "lists")
+    listed = _lists(scratch, sets.select("rep", "n", "sketch"), num, den, k_long)
     roots = _link_lists(scratch, reps, listed, sets, num, den, k)
     scratch.drop(reps, need, sets, listed)
     name = F.col("least")
@@ -189,8 +191,8 @@ def _least(num: int, den: int, k: int) -> int:
     return int(q * k - 5 * (k * q * (1 - q)) ** 0.5)
 
 
-def _lists(scratch: Scratch, reps: DataFrame, num: int, den: int, k: int) -> DataFrame:
-    """(v, rep, n): the prefix of each sketch that has to be listed, values that only one sketch has left out.
+def _lists(scratch: Scratch, reps: DataFrame, num: int, den: int, k: int, part=lambda lists: lists) -> DataFrame:
+    """(v, rep, n), or the part of it that is wanted: the prefix of each sketch that has to be listed, values that only one sketch has left out.
 
     Counts are written, so that the join reads two plain shuffles, whose skewed parts can be split.
     """
@@ -206,12 +208,15 @@ def _lists(scratch: Scratch, reps: DataFrame, num: int, den: int, k: int) -> Dat
     least = F.least(whole, F.lit(_least(num, den, k)))
     alone = size - F.size("vs")
     take = (size - least + 1 - alone).cast("int")
-    return (
+    lists = (
         ranked.withColumn("take", take)
         .filter("take > 0")
         .select("rep", "n", F.explode(F.expr("slice(vs, 1, take)")).alias("e"))
         .select(F.col("e.v").alias("v"), "rep", "n")
     )
+    out = scratch.table(part(lists), "lists")
+    scratch.drop(shared)
+    return out
 
 
 def _link_lists(scratch: Scratch, reps, listed, sets, num: int, den: int, k: int):
@@ -219,7 +224,7 @@ def _link_lists(scratch: Scratch, reps, listed, sets, num: int, den: int, k: int
     fits = F.least("n", "pn") * den >= F.greatest("n", "pn") * num
     roots, links, step, rows = None, None, 0, 0
     size = listed.count()
-    left = listed.withColumn("root", F.col("rep"))
+    left, stored = listed.withColumn("root", F.col("rep")), None
     while True:
         one = left.groupBy("v", "root").agg(
             F.count(F.lit(1)).alias("c"),
@@ -258,7 +263,9 @@ def _link_lists(scratch: Scratch, reps, listed, sets, num: int, den: int, k: int
         else:
             left = left.withColumn("root", F.col("rep"))
         size = total["rows"]
-        left = scratch.table(left, "left", rows=size)
+        before, stored = stored, scratch.table(left, "left", rows=size)
+        left = stored
+        scratch.drop(spread, *([] if before is None else [before]))
         step += 1
 
 
