@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions.codecs import ZLIB, deflate, payload
@@ -138,21 +138,31 @@ def _(spark, d):
 
 @query("source_lookup", "SELECT md5(text) AS block, arg_min(CAST(substr(source, 4) AS INTEGER), doc_id) AS file, min(doc_id) * 65536 AS \"offset\", strlen(any_value(text)) AS size, count(*) AS n_links FROM documents GROUP BY md5(text)")
 def _(spark, d):
-    """Index slots lead to metadata by their location; metadata says where a block's payload is."""
-    path = _folder(spark, "lookup")
+    """Index slots lead to metadata by their location; metadata says where a block's payload is.
+
+    A location has 14 bits for the file and 34 for the offset, so a source's positions beyond 16 GiB go on in
+    further files, and the files that are needed are numbered one after the other.
+    """
+    path, scratch = _folder(spark, "lookup"), Scratch(spark, "lookup-volumes")
+    at = F.col("first") * 65536
     per = table(spark, d, "documents").groupBy(F.md5("text").alias("block")).agg(
-        F.min_by(_number(), "doc_id").alias("file"), F.min("doc_id").alias("first"), F.max(F.octet_length("text")).alias("size"), F.count(F.lit(1)).cast("int").alias("n")
+        F.min_by(_number(), "doc_id").alias("source"), F.min("doc_id").alias("first"), F.max(F.octet_length("text")).alias("size"), F.count(F.lit(1)).cast("int").alias("n")
     )
+    per = scratch.table(per.withColumns({"volume": F.shiftright(at, formats.OFFSET_BITS), "offset": at.bitwiseAND(F.lit((1 << formats.OFFSET_BITS) - 1))}), "blocks")
+    number = F.row_number().over(Window.orderBy("source", "volume")) - 1
+    volumes = scratch.table(per.select("source", "volume").distinct().withColumn("file_no", number), "volumes")
     links = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.md5(i.cast("string")))
-    metas = per.select(_name(F.col("file"), "meta").alias("file"), F.col("first").alias("ordinal"), "block", F.col("file").alias("at"), (F.col("first") * 65536).alias("offset"), "size", links.alias("links"))
+    placed = per.join(volumes, ["source", "volume"])
+    metas = placed.select(_name(F.col("file_no"), "meta").alias("file"), F.col("offset").alias("ordinal"), "block", F.col("file_no").alias("at"), "offset", "size", links.alias("links"))
     store.write_records(_headed(_packed(metas, formats.pack_meta), F.lit(formats.file_header(formats.META_TYPE))), path)
     meta = store.read(spark, "meta", path)
     slots = meta.select(_name(F.lit(0), "idx").alias("file"), F.col("offset").alias("ordinal"), F.lit(formats.EXISTS).alias("flags"), "block", "meta_file", "meta_offset")
     store.write_records(_headed(_packed(slots, formats.pack_index), F.lit(formats.file_header(formats.INDEX_TYPE) + bytes(2 * formats.SLOT))), path)
     index = store.read(spark, "index", path)
     stored = meta.select("block", "file", "offset")
-    got = blk.lookup(index.select("block", "meta_file", "meta_offset"), meta, stored)
-    return got.select("block", "file", "offset", "size", F.size("links").cast("long").alias("n_links"))
+    got = blk.lookup(index.select("block", "meta_file", "meta_offset"), meta, stored).join(volumes, F.col("file") == F.col("file_no"))
+    offset = F.shiftleft("volume", formats.OFFSET_BITS).bitwiseOR(F.col("offset"))
+    return got.select("block", F.col("source").cast("int").alias("file"), offset.alias("offset"), "size", F.size("links").cast("long").alias("n_links"))
 
 
 # --- logs, caches and accounts ----------------------------------------------------------------------

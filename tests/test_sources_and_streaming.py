@@ -298,3 +298,14 @@ def test_streamed_chunks_are_the_files_chunks(data, least, times):
     ends, most = chunking.cut_points(data, least, least * times), least * times
     pieces = list(chunking.stream_chunks(io.BytesIO(data), least, most))
     assert pieces == [data[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def test_lookup_goes_beyond_16_gib_of_positions(spark, tmp_path):
+    """Ids whose positions do not fit the 34 bits of a location, in sources of any number."""
+    from quarry import source_queries as q
+    from tests.oracle import connect, same_rows
+
+    rows = [(0, "a", "src3"), (262_143, "b", "src3"), (262_144, "c", "src3"), (262_145, "a", "src4"), (1 << 40, "d", "src16390"), (300_000, "d", "src3")]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(str(tmp_path / "w"))
+    next((tmp_path / "w").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    assert same_rows(q.QUERIES["source_lookup"](spark, str(tmp_path)), connect(tmp_path), q.SQL["source_lookup"]) == 4
