@@ -124,8 +124,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id, n_shingles, component_id, kept."""
     scratch = Scratch(docs.sparkSession, "near")
     source, cols = _numbered(docs, [id_col, text_col], scratch)
-    rows = _judged(source, cols[id_col], cols[text_col], scratch, **kw)
-    scratch.drop(source)
+    rows = _judged(source, cols[id_col], cols[text_col], scratch, spent=True, **kw)
     return rows.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), "component_id", "kept")
 
 
@@ -146,8 +145,9 @@ def _judged(
     den: int = 100,
     k: int = 64,
     k_long: int = 1024,
+    spent: bool = False,
 ) -> DataFrame:
-    """(_uid, doc, n, component_id, kept) of each numbered row."""
+    """(_uid, doc, n, component_id, kept) of each numbered row; a spent source is deleted once its texts are not needed any more."""
     sketched = scratch.table(sketches(source, id_col, text_col, width, k), "sketches")
     sig = ["s1", "s2", "n"]
     all_rows = scratch.table(sketched.drop("sketch"), "signatures")
@@ -161,10 +161,12 @@ def _judged(
     scratch.drop(sketched)
     need = _lists(scratch, reps, num, den, k, lambda lists: lists.select("rep").distinct())
     ids = need.select(F.col("rep").alias("_uid"))
+    scratch.drop(reps)
     sets = scratch.table(full_sets(source.join(ids, "_uid", "left_semi"), text_col, width, k_long), "sets")
+    scratch.drop(need, *([source] if spent else []))
     listed = _lists(scratch, sets.select("rep", "n", "sketch"), num, den, k_long)
-    roots = _link_lists(scratch, reps, listed, sets, num, den, k)
-    scratch.drop(reps, need, sets, listed)
+    roots = _link_lists(scratch, listed, sets, num, den, k)
+    scratch.drop(sets, listed)
     name = F.col("least")
     if roots is not None:
         linked = scratch.table(roots.withColumnRenamed("node", "rep").join(classes.select("rep", "least"), "rep"), "linked", rows=roots.count())
@@ -219,7 +221,7 @@ def _lists(scratch: Scratch, reps: DataFrame, num: int, den: int, k: int, part=l
     return out
 
 
-def _link_lists(scratch: Scratch, reps, listed, sets, num: int, den: int, k: int):
+def _link_lists(scratch: Scratch, listed, sets, num: int, den: int, k: int):
     """(node, root) of linked representatives, or None."""
     fits = F.least("n", "pn") * den >= F.greatest("n", "pn") * num
     roots, links, step, rows = None, None, 0, 0
@@ -251,7 +253,7 @@ def _link_lists(scratch: Scratch, reps, listed, sets, num: int, den: int, k: int
         members = left.select("v", "rep", "n", "root", F.col("p.rep").alias("q"), F.col("p.n").alias("pn"), F.col("p.root").alias("qroot"))
         pairs = members.filter((F.col("rep") != F.col("q")) & (F.col("root") != F.col("qroot")) & fits)
         pairs = pairs.select(F.least("rep", "q").alias("a"), F.greatest("rep", "q").alias("b"))
-        found = scratch.table(_verified(scratch, pairs.distinct(), reps, sets, num, den, k), "links")
+        found = scratch.table(_verified(pairs.distinct(), sets, num, den, k), "links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             roots = contract(links, scratch)
@@ -329,10 +331,10 @@ def _in_blocks(scratch: Scratch, rest, sets, num: int, den: int, block: int = 40
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _verified(scratch: Scratch, pairs, reps, sets, num: int, den: int, k: int):
-    """The pairs that are similar on full sets, after the estimate on the union sketch."""
-    one = reps.select(F.col("rep").alias("a"), F.col("sketch").alias("sa"))
-    two = reps.select(F.col("rep").alias("b"), F.col("sketch").alias("sb"))
+def _verified(pairs, sets, num: int, den: int, k: int):
+    """The pairs that are similar on full sets, after the estimate on the union sketch of the k smallest values of each."""
+    one = sets.select(F.col("rep").alias("a"), F.slice("sketch", 1, k).alias("sa"))
+    two = sets.select(F.col("rep").alias("b"), F.slice("sketch", 1, k).alias("sb"))
     union = F.slice(F.sort_array(F.array_union("sa", "sb")), 1, k)
     both = F.size(F.array_intersect(F.array_intersect("sa", "sb"), F.col("u")))
     likely = (
