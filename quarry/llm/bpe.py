@@ -4,7 +4,8 @@ Text is cut into pre-tokens by the vocabulary's pattern.  Tier one: a minimal pe
 displace, one slot per vocabulary entry, the entry's bytes compared) resolves a pre-token that is
 itself an entry.  Tier two: the other pre-tokens are merged from single bytes, a heap of
 (rank, position) over a doubly linked list giving the lowest-ranked leftmost pair each time, so a
-pre-token of n bytes takes O(n log n).  Workers remember resolved pre-tokens in a bounded memo.
+pre-token of n bytes takes O(n log n).  Workers remember resolved pre-tokens in a bounded memo, which goes
+with the vocabulary's broadcast: a worker that is given other work holds neither.
 
 Defined results: null text counts as empty; an empty text has no ids and decodes to empty bytes;
 ids outside the vocabulary or null ids raise ValueError on decoding; repeated rows are encoded alike.
@@ -28,8 +29,8 @@ from quarry.plans.columns import fresh, map_in_arrow, named
 from quarry.plans.scratch import ship
 
 _MASK = (1 << 64) - 1
-#: Pre-tokens in a generation of a worker's memo; at most two generations and one text's are held.
-MEMO_LIMIT = 400_000
+#: Pre-tokens in a generation of a worker's memo; at most two generations are held.
+MEMO_LIMIT = 200_000
 #: Characters of a pre-token that is remembered, at most; longer ones are rare and encoded each time.
 MEMO_LENGTH = 32
 
@@ -105,7 +106,6 @@ class BytePairCodec:
         self.tokens = list(ranks)
         self.ids = [ranks[t] for t in self.tokens]
         self.table = PerfectHash(self.tokens, built=built)
-        self.key = f"{pattern} {xxhash.xxh3_128_hexdigest(repr(ranks))}"
         self.split = regex.compile(pattern).findall
         size = max(self.ids) + 1
         by_id = [b""] * size
@@ -115,9 +115,9 @@ class BytePairCodec:
             self.known[i] = True
         self.by_id = pa.array(by_id, pa.large_binary())
 
-    def parts(self) -> tuple:
-        """What a worker needs to have this codec without building its hash again."""
-        return self.ranks, self.pattern, (self.table.shift, self.table.at)
+    def __reduce__(self):
+        """A worker has this codec without building its hash again."""
+        return BytePairCodec, (self.ranks, self.pattern, (self.table.shift, self.table.at))
 
     def piece(self, raw: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -177,23 +177,22 @@ class _Memo(dict):
         super().__init__()
         self.codec, self.old = codec, {}
 
+    def __reduce__(self):
+        return _Memo, (self.codec,)
+
     def __missing__(self, piece: str) -> tuple[int, ...]:
         if len(piece) > MEMO_LENGTH:
             return tuple(self.codec.piece(piece.encode("utf-8")))
         ids = self.old.get(piece)
         if ids is None:
             ids = tuple(self.codec.piece(piece.encode("utf-8")))
-        self[piece] = ids
-        return ids
-
-    def turn(self) -> None:
-        if len(self) > MEMO_LIMIT:
+        if len(self) >= MEMO_LIMIT:
             self.old = dict(self)
             self.clear()
+        self[piece] = ids
+        return ids
 
 
-#: One vocabulary's codec and memo for each worker, kept from task to task.
-_worker: dict = {}
 _built: dict[tuple[str, str], BytePairCodec] = {}
 
 
@@ -204,13 +203,6 @@ def codec_for(path: str, pattern: str) -> BytePairCodec:
     return _built[path, pattern]
 
 
-def _worker_memo(key: str, bc) -> _Memo:
-    if key not in _worker:
-        _worker.clear()
-        _worker[key] = _Memo(BytePairCodec(*bc.value))
-    return _worker[key]
-
-
 def encode_texts(memo: _Memo, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Flat ids and the offsets of each text."""
     ids, cuts = array("i"), [0]
@@ -218,7 +210,6 @@ def encode_texts(memo: _Memo, texts: list[str]) -> tuple[np.ndarray, np.ndarray]
     for t in texts:
         ids.extend(chain.from_iterable(map(look, split(t))))
         cuts.append(len(ids))
-        memo.turn()
     return np.frombuffer(ids, np.int32) if len(ids) else np.zeros(0, np.int32), np.array(cuts, np.int64)
 
 
@@ -255,11 +246,10 @@ def with_tokens(
     schema = T.StructType([*fields, T.StructField("token_ids", T.ArrayType(T.IntegerType(), False), False)])
     if decoded:
         schema = schema.add("decoded", T.BinaryType(), False)
-    key = codec.key
-    bc = spark.sparkContext.broadcast(codec.parts())  # a vocabulary, whatever the corpus' size
+    bc = spark.sparkContext.broadcast(_Memo(codec))  # a vocabulary, whatever the corpus' size
 
     def run(batches):
-        memo = _worker_memo(key, bc)
+        memo = bc.value
         for batch in batches:
             texts = [t or "" for t in batch.column(source).to_pylist()]
             for a, b in _slices(texts, 2_000_000):
@@ -281,11 +271,10 @@ def decode(df: DataFrame, codec: BytePairCodec, ids_col: str = "token_ids", keep
     names = [c for c in (df.columns if keep is None else keep) if c != "decoded"]
     schema = T.StructType([*[df.schema[c] for c in names], T.StructField("decoded", T.BinaryType(), False)])
     source = fresh("_ids", names)
-    key = codec.key
-    bc = spark.sparkContext.broadcast(codec.parts())
+    bc = spark.sparkContext.broadcast(codec)
 
     def run(batches):
-        own = _worker_memo(key, bc).codec
+        own = bc.value
         for batch in batches:
             lists = batch.column(source)
             lens = np.array([0 if x is None else x for x in lists.value_lengths().to_pylist()], np.int64)

@@ -60,6 +60,29 @@ def test_long_pre_tokens_are_not_remembered(codec, library):
     assert list(ids) == library.encode_ordinary(text) and max(map(len, memo)) <= bpe.MEMO_LENGTH
 
 
+def test_memo_is_bounded_within_a_text(codec, library, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO_LIMIT", 100)
+    memo, text = bpe._Memo(codec), " ".join(a + b + c for a in "bdfgk" for b in "aeiou" for c in "lmnprstvwxz")
+    ids, _ = bpe.encode_texts(memo, [text])
+    assert list(ids) == library.encode_ordinary(text)
+    assert len(memo) + len(memo.old) <= 200
+
+
+def test_workers_given_other_work_hold_no_memo(spark, docs_of, codec):
+    def held(batches):
+        import gc
+
+        from quarry.llm import bpe
+
+        list(batches)
+        gc.collect()
+        n = sum(isinstance(x, (bpe._Memo, bpe.BytePairCodec)) for x in gc.get_objects())
+        yield bpe.pa.RecordBatch.from_pydict({"n": bpe.pa.array([n], bpe.pa.int64())})
+
+    assert bpe.with_tokens(docs_of([(i, f"text {i}") for i in range(50)]), codec).filter("size(token_ids) > 0").count() == 50
+    assert {r["n"] for r in spark.range(50).mapInArrow(held, "n long").collect()} == {0}
+
+
 def test_tokens_of_odd_tables(spark, docs_of, codec, library):
     rows = [(1, None), (2, ""), (3, "é\x00 <|endoftext|>"), (3, "é\x00 <|endoftext|>"), (4, "long " * 60_000)]
     got = bpe.with_tokens(docs_of(rows), codec)
